@@ -43,11 +43,14 @@ def global_rank(
     running: dict[str, Column] | None = None,
     rank_col: str = "rn",
     num_partitions: int | None = None,
+    total_col: str | None = None,
 ) -> DataFrame:
     """Add a 1-based global row number and inclusive running sums.
 
     ``running`` maps output names to *integral* expressions (counts, pence);
     integer sums are exact and order-independent, so results are reproducible.
+    ``total_col`` (optional) names a column with the total row count, taken
+    from the per-range table, so no extra pass over the data is needed.
     """
     running = dict(running or {})
     measure_names = [f"__m{i}" for i in range(len(running))]
@@ -71,8 +74,10 @@ def global_rank(
         F.count(F.lit(1)).alias(_ROWS), *[F.sum(m).alias(f"{m}_t") for m in measure_names]
     )
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    extra = [F.sum(_ROWS).over(Window.partitionBy()).alias(total_col)] if total_col else []
     offsets = stats.select(
         _PID,
+        *extra,
         F.coalesce(F.sum(_ROWS).over(before), F.lit(0)).alias(_BASE),
         *[F.coalesce(F.sum(f"{m}_t").over(before), F.lit(0)).alias(f"{m}_b") for m in measure_names],
     )

@@ -51,3 +51,41 @@ JOBS["cancellation_kpis"] = lambda r: sales.cancellation_kpis(r.sales, r.cancels
 JOBS["cancelled_by_month"] = lambda r: sales.cancelled_by_month(r.cancels)
 JOBS["most_cancelled_products"] = lambda r: sales.most_cancelled_products(r.cancels)
 JOBS["fee_vs_return_split"] = lambda r: sales.fee_vs_return_split(r.cancels)
+
+# --- customers, 90-day rule (published basis) -------------------------------------
+from tillroll.plans import cadence, concentration, customers  # noqa: E402
+
+JOBS["segment_summary"] = lambda r: customers.segment_summary(r.profile)
+JOBS["retention_priority"] = lambda r: customers.retention_priority(r.profile)
+JOBS["top_customers"] = lambda r: customers.top_customers(r.profile)
+JOBS["spend_quintile_summary"] = lambda r: customers.spend_quintile_summary(r.profile)
+JOBS["m_segment_counts"] = lambda r: customers.segment_measures(r.profile)
+
+# --- reversals and concentration (corrected basis) -----------------------------------
+JOBS["reversed_sales_impact"] = lambda r: concentration.reversed_sales_impact(r.sales, r.cancels)
+JOBS["published_vs_corrected"] = lambda r: concentration.published_vs_corrected(r.sales, r.net)
+JOBS["pareto_test"] = lambda r: concentration.pareto_test(r.net)
+JOBS["concentration_curve"] = lambda r: concentration.concentration_curve(r.net)
+JOBS["home_country"] = lambda r: concentration.home_country(r.net)
+JOBS["top10_customers"] = lambda r: concentration.top10_customers(r.net)
+JOBS["top10_exposure"] = lambda r: concentration.top10_exposure(r.net)
+JOBS["top10_geography"] = lambda r: concentration.top10_geography(r.net)
+JOBS["unmatched_cancellations"] = lambda r: concentration.unmatched_cancellation_summary(r.sales, r.cancels)
+JOBS["reversal_bracket"] = lambda r: concentration.reversal_bracket(r.sales, r.cancels)
+JOBS["reversal_delay"] = lambda r: concentration.reversal_delay_summary(r.sales, r.cancels)
+
+# --- cadence rule (published basis) -------------------------------------------------
+JOBS["cadence_multiple_evidence"] = lambda r: cadence.cadence_multiple_evidence(r.sales)
+JOBS["cadence_segment_summary"] = lambda r: cadence.cadence_segment_summary(r.cadence)
+JOBS["cadence_at_risk_list"] = lambda r: cadence.cadence_at_risk_list(r.cadence)
+JOBS["rule_before_after"] = lambda r: cadence.rule_before_after(r.profile, r.cadence)
+JOBS["rule_movement_like_for_like"] = lambda r: cadence.rule_movement_like_for_like(r.profile, r.cadence)
+JOBS["rule_movement_headline"] = lambda r: cadence.rule_movement_headline(r.profile, r.cadence)
+JOBS["old_rule_false_alarms"] = lambda r: cadence.old_rule_false_alarms(r.profile, r.cadence)
+JOBS["old_rule_misses"] = lambda r: cadence.old_rule_misses(r.profile, r.cadence)
+JOBS["thin_history_buckets"] = lambda r: cadence.thin_history_buckets(r.cadence)
+JOBS["cadence_censoring"] = lambda r: cadence.cadence_censoring(r.cadence)
+JOBS["floor_suppressed"] = lambda r: cadence.floor_suppressed(r.cadence)
+JOBS["same_day_collapse"] = lambda r: cadence.same_day_collapse(r.sales)
+JOBS["gap_distribution"] = lambda r: cadence.gap_distribution(r.sales)
+JOBS["rule_overlap_by_basis"] = lambda r: cadence.rule_overlap_by_basis(r.cadence, r.cadence_net)
