@@ -36,14 +36,23 @@ def round_div(num, den, digits: int) -> Column:
     """
     n = _c(num).cast(_WIDE)
     d = _c(den).cast(_WIDE)
-    twice_d = F.abs(d) * F.lit(2)
-    scaled = F.abs(n) * F.lit(2 * 10**digits) + F.abs(d)
-    units = F.call_function("div", scaled, twice_d) * F.signum(n) * F.signum(d)
+    units = floor_div(F.abs(n) * F.lit(2 * 10**digits) + F.abs(d), F.abs(d) * F.lit(2))
+    signed = units * F.signum(n).cast("int") * F.signum(d).cast("int")
     return F.when(d == 0, F.lit(None).cast("double")).otherwise(
-        units.cast("double") / F.lit(float(10**digits))
+        signed.cast("double") / F.lit(float(10**digits))
     )
 
 
+def floor_div(a, b) -> Column:
+    """Exact floor(a / b) for non-negative whole decimals (no 64-bit limit).
+
+    ``a - a % b`` is an exact multiple of ``b``, so the decimal quotient has
+    no rounding; it is cast back to a whole ``decimal(38,0)``.
+    """
+    a, b = _c(a).cast(_WIDE), _c(b).cast(_WIDE)
+    return ((a - a % b) / b).cast(_WIDE)
+
+
 def pct(num, den, digits: int) -> Column:
     """round(100 * num / den, digits) on whole numbers."""
     return round_div(_c(num).cast(_WIDE) * F.lit(100), den, digits)

@@ -9,9 +9,9 @@ one task (``Exchange SinglePartition``).  ``global_rank`` keeps the work spread:
    proven bound, so this tiny table is broadcast);
 4. rank = range offset + position inside the range; running sum likewise.
 
-The range exchange is computed once per query and read by both branches
-(exchange reuse), and the range bounds are fixed when the exchange is planned,
-so a retried task puts every row in the same range again.  Callers must give a
+The sorted ranges are checkpointed (reliably, to the cluster's checkpoint
+directory) before the two branches read them, so both see the same cut even
+if the input is recomputed or an executor is lost.  Callers must give a
 *total* order (add the key as the last sort column) so ties are deterministic.
 """
 
@@ -59,7 +59,12 @@ def global_rank(
     base = df
     for name, expr in zip(measure_names, running.values()):
         base = base.withColumn(name, expr.cast("long"))
+    # The range bounds come from a sample of the input, so two evaluations of
+    # the exchange may cut differently.  A reliable checkpoint (files in the
+    # cluster's checkpoint directory) fixes one cut for both branches below and
+    # for any task retry; it also ends the lineage of the ranked relation.
     ranged = base.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
+    ranged = ranged.checkpoint(eager=True)
 
     if running:
         local = _local_scan(ranged, measure_names)

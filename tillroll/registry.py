@@ -89,3 +89,30 @@ JOBS["floor_suppressed"] = lambda r: cadence.floor_suppressed(r.cadence)
 JOBS["same_day_collapse"] = lambda r: cadence.same_day_collapse(r.sales)
 JOBS["gap_distribution"] = lambda r: cadence.gap_distribution(r.sales)
 JOBS["rule_overlap_by_basis"] = lambda r: cadence.rule_overlap_by_basis(r.cadence, r.cadence_net)
+
+# --- first to second purchase, cohorts, value, stayers (corrected basis) ---------------
+from tillroll.plans import cohorts, second_purchase, stayers, value  # noqa: E402
+
+JOBS["one_and_done_rate"] = lambda r: second_purchase.one_and_done_rate(r.first_second)
+JOBS["single_invoice_rate"] = lambda r: second_purchase.single_invoice_rate(r.net)
+JOBS["one_and_done_by_window"] = lambda r: second_purchase.one_and_done_by_window(r.first_second)
+JOBS["second_purchase_timing"] = lambda r: second_purchase.second_purchase_timing(r.first_second)
+JOBS["gap_first_vs_later"] = lambda r: second_purchase.gap_first_vs_later(r.net)
+JOBS["return_cutoff_curve"] = lambda r: second_purchase.return_cutoff_curve(r.first_second)
+JOBS["one_and_done_value"] = lambda r: second_purchase.one_and_done_value(r.first_second)
+JOBS["cohort_sizes"] = lambda r: cohorts.cohort_sizes(r.net)
+JOBS["opening_pileup"] = lambda r: cohorts.opening_pileup(r.net)
+JOBS["retention_triangle"] = lambda r: cohorts.retention_triangle(r.net)
+JOBS["cohort_equal_age_repeat"] = lambda r: cohorts.cohort_equal_age_repeat(r.first_second)
+JOBS["monthly_volume_net"] = lambda r: cohorts.monthly_volume(r.net)
+JOBS["customer_value_distribution"] = lambda r: value.value_distribution(r.net)
+JOBS["mean_robustness"] = lambda r: value.mean_robustness(r.net)
+JOBS["one_time_vs_repeat"] = lambda r: value.one_time_vs_repeat(r.net)
+JOBS["value_ladder"] = lambda r: value.value_ladder(r.net)
+JOBS["first_hurdle"] = lambda r: stayers.first_hurdle(r.first_second)
+JOBS["first_hurdle_fair"] = lambda r: stayers.first_hurdle_fair(r.first_second)
+JOBS["stayers_vs_lapsed"] = lambda r: stayers.stayers_vs_lapsed(r.cadence_net, r.first_second)
+JOBS["control_check"] = lambda r: stayers.control_check(r.cadence_net)
+JOBS["first_order_spread"] = lambda r: stayers.first_order_spread(r.cadence_net, r.first_second)
+JOBS["cadence_structure"] = lambda r: stayers.cadence_structure(r.cadence_net)
+JOBS["within_band_compare"] = lambda r: stayers.within_band_compare(r.cadence_net, r.first_second)
