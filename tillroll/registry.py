@@ -116,3 +116,24 @@ JOBS["control_check"] = lambda r: stayers.control_check(r.cadence_net)
 JOBS["first_order_spread"] = lambda r: stayers.first_order_spread(r.cadence_net, r.first_second)
 JOBS["cadence_structure"] = lambda r: stayers.cadence_structure(r.cadence_net)
 JOBS["within_band_compare"] = lambda r: stayers.within_band_compare(r.cadence_net, r.first_second)
+
+# --- measures and the date dimension --------------------------------------------------
+from tillroll.plans import extras, measures  # noqa: E402
+from tillroll.sources.files import raw_preview  # noqa: E402
+
+# A page filter context: a half-year of trading in two markets.
+EXAMPLE_SLICER = measures.Slicer(start="2011-03-01", end="2011-08-31", countries=("NATION_0", "NATION_1"))
+
+JOBS["m_kpi_measures"] = lambda r: measures.kpi_measures(r.sales, r.cancels)
+JOBS["filtered_kpis"] = lambda r: measures.kpi_measures(r.sales, r.cancels, EXAMPLE_SLICER)
+JOBS["m_measures_by_country"] = lambda r: measures.measures_by(r.sales, ["country"])
+JOBS["date_dimension"] = lambda r: measures.date_dimension(r.sales)
+JOBS["sales_by_year_month"] = lambda r: measures.sales_by_year_month(r.sales)
+JOBS["top_n_by_measure"] = lambda r: measures.top_n_by_measure(r.sales, "country", "m_total_orders", 5)
+
+# --- analyses stated in prose --------------------------------------------------------
+JOBS["sales_all_lines"] = lambda r: extras.sales_all_lines(r.raw)
+JOBS["month_outlier_share"] = lambda r: extras.month_outlier_share(r.cancels, "cancellation_value", "cancellation_month")
+JOBS["daily_run_rate"] = lambda r: extras.daily_run_rate(r.net)
+JOBS["peak_trough_ratio"] = lambda r: extras.peak_trough_ratio(r.sales)
+JOBS["raw_preview"] = lambda r: raw_preview(r.raw)
