@@ -69,3 +69,14 @@ def latest_by(df: DataFrame, key: str, value: str, order: list[str]) -> DataFram
     """
     ordering: Column = F.struct(*[F.col(c) for c in order])
     return df.groupBy(key).agg(F.max_by(F.col(value), ordering).alias(value))
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Compute a relation once for a report that reads it several times.
+
+    Customer-grain inputs feed both exact quantiles and plain aggregates; a
+    reliable checkpoint (files in the cluster's checkpoint directory, not
+    executor memory) evaluates the upstream lines once, survives executor
+    loss and cuts the lineage the later branches would otherwise replay.
+    """
+    return df.checkpoint(eager=True)

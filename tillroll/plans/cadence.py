@@ -333,7 +333,9 @@ def gap_distribution(sales: DataFrame) -> DataFrame:
     """Mean, exact median and longest of all real gaps (one exact quantile job)."""
     from tillroll.operators.quantiles import exact_quantiles
 
-    g = gap_table(sales)
+    from tillroll.operators.grain import reuse
+
+    g = reuse(gap_table(sales).select("gap_days"))
     q = exact_quantiles(g, [], "gap_days", ["0.5"], value_type="decimal(12,0)")
     agg = g.agg(
         F.count(F.lit(1)).alias("gaps_examined"),

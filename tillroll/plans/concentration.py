@@ -69,7 +69,8 @@ def ranked_spend(net: DataFrame) -> DataFrame:
         running={"cum_pence": as_units("spend", 2)},
         total_col="n_customers",
     )
-    total = spend.agg(as_units(F.sum("spend"), 2).alias("total_pence"))
+    # The last running value is the total: read it from the ranked checkpoint.
+    total = ranked.agg(F.max("cum_pence").alias("total_pence"))
     return ranked.crossJoin(F.broadcast(total))
 
 

@@ -41,16 +41,24 @@ def segment_rule(orders, spend, quiet, high_value=1000, quiet_days=90, min_order
     )
 
 
-def customer_profile(sales: DataFrame, high_value=1000, quiet_days=90, min_orders=2, quintiles=5) -> DataFrame:
+def customer_profile(
+    sales: DataFrame, high_value=1000, quiet_days=90, min_orders=2, quintiles: int | None = 5
+) -> DataFrame:
+    """The profile view; ``quintiles=None`` leaves out the spend quintile (and
+    with it the global spend ranking) for reports that do not read it."""
     summ = with_dataset_end(customer_summary(sales), sales).withColumn(
         "days_since_last_order", F.datediff("dataset_end_date", "last_order_date").cast("bigint")
     )
-    ranked = global_rank(
-        summ,
-        [F.col("total_spend").desc(), F.col("customer_id").asc()],
-        rank_col="__rn",
-        total_col="__n",
-    )
+    if quintiles:
+        ranked = global_rank(
+            summ,
+            [F.col("total_spend").desc(), F.col("customer_id").asc()],
+            rank_col="__rn",
+            total_col="__n",
+        )
+        quintile = ntile_from_rank(F.col("__rn"), F.col("__n"), quintiles)
+    else:
+        ranked, quintile = summ, F.lit(None).cast("int")
     return ranked.select(
         "customer_id",
         "first_order_date",
@@ -61,7 +69,7 @@ def customer_profile(sales: DataFrame, high_value=1000, quiet_days=90, min_order
         "total_items",
         "total_spend",
         avg_money("total_spend", "total_invoices").alias("average_order_value"),
-        ntile_from_rank(F.col("__rn"), F.col("__n"), quintiles).alias("spend_quintile"),
+        quintile.alias("spend_quintile"),
         segment_rule(
             F.col("total_invoices"), F.col("total_spend"), F.col("days_since_last_order"),
             high_value, quiet_days, min_orders,

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.exact import avg_money, avg_round, money, pct, round_div
-from tillroll.operators.grain import invoice_grain, occasions, sequenced_occasions, with_dataset_end
+from tillroll.operators.grain import invoice_grain, occasions, reuse, sequenced_occasions, with_dataset_end
 from tillroll.operators.quantiles import exact_quantiles
 
 # Group labels of the reports.
@@ -99,7 +99,7 @@ def one_and_done_by_window(fsp: DataFrame, windows: Sequence[int] = DEFAULT_WIND
 
 
 def second_purchase_timing(fsp: DataFrame) -> DataFrame:
-    rep = fsp.where(F.col("second_purchase_date").isNotNull())
+    rep = reuse(fsp.where(F.col("second_purchase_date").isNotNull()).select("days_to_second_purchase"))
     q = exact_quantiles(rep, [], "days_to_second_purchase", ["0.25", "0.5", "0.75", "0.9"], value_type="decimal(12,0)")
     agg = rep.agg(
         F.count(F.lit(1)).alias("repeat_buyers"),
@@ -121,8 +121,11 @@ def second_purchase_timing(fsp: DataFrame) -> DataFrame:
 
 def gap_first_vs_later(net: DataFrame) -> DataFrame:
     seq = sequenced_occasions(occasions(net).select("customer_id", "order_date"))
-    gaps = seq.where(F.col("gap_days").isNotNull()).withColumn(
-        "which_gap", F.when(F.col("purchase_no") == 2, F.lit(FIRST_GAP)).otherwise(F.lit(LATER_GAPS))
+    gaps = reuse(
+        seq.where(F.col("gap_days").isNotNull()).select(
+            F.when(F.col("purchase_no") == 2, F.lit(FIRST_GAP)).otherwise(F.lit(LATER_GAPS)).alias("which_gap"),
+            "gap_days",
+        )
     )
     q = exact_quantiles(gaps, ["which_gap"], "gap_days", ["0.5"], value_type="decimal(12,0)")
     agg = gaps.groupBy("which_gap").agg(
@@ -172,8 +175,12 @@ def return_cutoff_curve(fsp: DataFrame, cutoffs: Sequence[int] = DEFAULT_CUTOFFS
 
 
 def one_and_done_value(fsp: DataFrame) -> DataFrame:
-    g = fsp.withColumn(
-        "group_name", F.when(F.col("is_one_and_done"), F.lit(ONE_AND_DONE)).otherwise(F.lit(CAME_BACK))
+    g = reuse(
+        fsp.select(
+            F.when(F.col("is_one_and_done"), F.lit(ONE_AND_DONE)).otherwise(F.lit(CAME_BACK)).alias("group_name"),
+            "first_order_value",
+            "first_order_items",
+        )
     )
     q = exact_quantiles(g, ["group_name"], "first_order_value", ["0.5"])
     agg = g.groupBy("group_name").agg(

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.exact import avg_money, avg_round, round_exact
+from tillroll.operators.grain import reuse
 from tillroll.operators.quantiles import exact_quantiles
 from tillroll.plans.cadence import OVERDUE, SCORED_SEGMENTS, WITHIN
 
@@ -28,6 +29,7 @@ def _returned_group(fsp: DataFrame) -> DataFrame:
 
 
 def _value_items_report(g: DataFrame, with_days_observed: bool) -> DataFrame:
+    g = reuse(g.select("customer_group", "first_order_value", "first_order_items", "observation_days"))
     qv = exact_quantiles(g, ["customer_group"], "first_order_value", ["0.5"]).select(
         "customer_group", F.col("p_0_5").alias("__mv")
     )
@@ -81,6 +83,7 @@ def stayers_vs_lapsed(cadence_net: DataFrame, fsp: DataFrame) -> DataFrame:
             "customer_id",
         )
     )
+    j = reuse(j)
     grp = ["customer_group"]
     qv = exact_quantiles(j, grp, "first_order_value", ["0.5"]).select(*grp, F.col("p_0_5").alias("__mv"))
     qi = exact_quantiles(j, grp, "first_order_items", ["0.5"], value_type="decimal(20,0)").select(
@@ -139,8 +142,10 @@ def control_check(cadence_net: DataFrame) -> DataFrame:
 
 def first_order_spread(cadence_net: DataFrame, fsp: DataFrame) -> DataFrame:
     probs = ["0.1", "0.25", "0.5", "0.75", "0.9"]
-    j = _scored(cadence_net).select("customer_id", F.col("cadence_segment").alias("customer_group")).join(
-        fsp, "customer_id"
+    j = reuse(
+        _scored(cadence_net)
+        .select("customer_id", F.col("cadence_segment").alias("customer_group"))
+        .join(fsp.select("customer_id", "first_order_value"), "customer_id")
     )
     q = exact_quantiles(j, ["customer_group"], "first_order_value", probs)
     n = j.groupBy("customer_group").agg(F.count(F.lit(1)).alias("customers"))
@@ -157,7 +162,11 @@ def first_order_spread(cadence_net: DataFrame, fsp: DataFrame) -> DataFrame:
 
 
 def cadence_structure(cadence_net: DataFrame) -> DataFrame:
-    s = _scored(cadence_net).withColumnRenamed("cadence_segment", "customer_group")
+    s = reuse(
+        _scored(cadence_net).select(
+            F.col("cadence_segment").alias("customer_group"), "median_gap_days", "days_since_last_order"
+        )
+    )
     q = exact_quantiles(s, ["customer_group"], "median_gap_days", ["0.5"], value_type="decimal(12,1)")
     agg = s.groupBy("customer_group").agg(
         F.count(F.lit(1)).alias("customers"),
@@ -188,6 +197,7 @@ def within_band_compare(cadence_net: DataFrame, fsp: DataFrame) -> DataFrame:
         .select("customer_id", "cadence_segment", band.alias("cadence_band"))
         .join(fsp.select("customer_id", "days_to_second_purchase"), "customer_id")
     )
+    j = reuse(j)
     q = exact_quantiles(j, ["cadence_band", "cadence_segment"], "days_to_second_purchase", ["0.5"], "decimal(20,0)")
     counts = j.groupBy("cadence_band").agg(
         F.count_if(F.col("cadence_segment") == WITHIN).alias("n_active"),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.exact import as_units, avg_money, avg_round, floor_div, money, pct, round_div, round_exact
-from tillroll.operators.grain import occasions
+from tillroll.operators.grain import occasions, reuse
 from tillroll.operators.quantiles import exact_quantiles
 from tillroll.operators.ranking import global_rank
 
@@ -35,7 +35,7 @@ def customer_value(net: DataFrame) -> DataFrame:
 
 
 def value_distribution(net: DataFrame) -> DataFrame:
-    cv = customer_value(net)
+    cv = reuse(customer_value(net))
     q = exact_quantiles(cv, [], "spend", ["0.25", "0.5", "0.75", "0.9"])
     agg = cv.agg(
         F.count(F.lit(1)).alias("customers"),
@@ -86,7 +86,7 @@ def mean_robustness(net: DataFrame, top_k: int = 10, top_share_pct: int = 1) ->
 
 
 def _group_report(cv: DataFrame, group: F.Column, name: str, extra_aggs, extra_cols, order_col: str) -> DataFrame:
-    g = cv.withColumn(name, group)
+    g = reuse(cv.withColumn(name, group))
     q = exact_quantiles(g, [name], "spend", ["0.5"])
     agg = g.groupBy(name).agg(
         F.count(F.lit(1)).alias("customers"),

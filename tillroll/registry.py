@@ -55,11 +55,11 @@ JOBS["fee_vs_return_split"] = lambda r: sales.fee_vs_return_split(r.cancels)
 # --- customers, 90-day rule (published basis) -------------------------------------
 from tillroll.plans import cadence, concentration, customers  # noqa: E402
 
-JOBS["segment_summary"] = lambda r: customers.segment_summary(r.profile)
-JOBS["retention_priority"] = lambda r: customers.retention_priority(r.profile)
-JOBS["top_customers"] = lambda r: customers.top_customers(r.profile)
+JOBS["segment_summary"] = lambda r: customers.segment_summary(r.segments)
+JOBS["retention_priority"] = lambda r: customers.retention_priority(r.segments)
+JOBS["top_customers"] = lambda r: customers.top_customers(r.segments)
 JOBS["spend_quintile_summary"] = lambda r: customers.spend_quintile_summary(r.profile)
-JOBS["m_segment_counts"] = lambda r: customers.segment_measures(r.profile)
+JOBS["m_segment_counts"] = lambda r: customers.segment_measures(r.segments)
 
 # --- reversals and concentration (corrected basis) -----------------------------------
 JOBS["reversed_sales_impact"] = lambda r: concentration.reversed_sales_impact(r.sales, r.cancels)
@@ -78,11 +78,11 @@ JOBS["reversal_delay"] = lambda r: concentration.reversal_delay_summary(r.sales,
 JOBS["cadence_multiple_evidence"] = lambda r: cadence.cadence_multiple_evidence(r.sales)
 JOBS["cadence_segment_summary"] = lambda r: cadence.cadence_segment_summary(r.cadence)
 JOBS["cadence_at_risk_list"] = lambda r: cadence.cadence_at_risk_list(r.cadence)
-JOBS["rule_before_after"] = lambda r: cadence.rule_before_after(r.profile, r.cadence)
-JOBS["rule_movement_like_for_like"] = lambda r: cadence.rule_movement_like_for_like(r.profile, r.cadence)
-JOBS["rule_movement_headline"] = lambda r: cadence.rule_movement_headline(r.profile, r.cadence)
-JOBS["old_rule_false_alarms"] = lambda r: cadence.old_rule_false_alarms(r.profile, r.cadence)
-JOBS["old_rule_misses"] = lambda r: cadence.old_rule_misses(r.profile, r.cadence)
+JOBS["rule_before_after"] = lambda r: cadence.rule_before_after(r.segments, r.cadence)
+JOBS["rule_movement_like_for_like"] = lambda r: cadence.rule_movement_like_for_like(r.segments, r.cadence)
+JOBS["rule_movement_headline"] = lambda r: cadence.rule_movement_headline(r.segments, r.cadence)
+JOBS["old_rule_false_alarms"] = lambda r: cadence.old_rule_false_alarms(r.segments, r.cadence)
+JOBS["old_rule_misses"] = lambda r: cadence.old_rule_misses(r.segments, r.cadence)
 JOBS["thin_history_buckets"] = lambda r: cadence.thin_history_buckets(r.cadence)
 JOBS["cadence_censoring"] = lambda r: cadence.cadence_censoring(r.cadence)
 JOBS["floor_suppressed"] = lambda r: cadence.floor_suppressed(r.cadence)

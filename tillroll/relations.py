@@ -53,6 +53,13 @@ class Relations:
 
         return customer_profile(self.sales)
 
+    @cached_property
+    def segments(self) -> DataFrame:
+        """The profile without the spend quintile (no global spend ranking)."""
+        from tillroll.plans.customers import customer_profile
+
+        return customer_profile(self.sales, quintiles=None)
+
     @cached_property
     def cadence(self) -> DataFrame:
         from tillroll.plans.cadence import customer_cadence
