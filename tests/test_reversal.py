@@ -70,3 +70,28 @@ def test_fully_reversed_customer_leaves_the_net_basis(raw_of):
     s, c = valid_sales(raw), cancellations(raw)
     rows = {r.basis: r for r in published_vs_corrected(s, valid_sales_net(s, c)).collect()}
     assert rows["As published"].customers == 2 and rows["Corrected for reversals"].customers == 1
+
+
+def test_reversal_delay_matches_pairwise_brute_force(raw_of):
+    import datetime as dt
+    import random
+
+    rnd = random.Random(5)
+    rows, base = [], dt.datetime(2011, 3, 1, 8, 0)
+    for i in range(300):
+        key = rnd.choice(["P", "Q"])
+        t = base + dt.timedelta(days=rnd.randint(0, 3), minutes=rnd.randint(0, 600))
+        qty = rnd.choice([1, 2])
+        inv = f"{'C' if rnd.random() < 0.3 else ''}{i}"
+        rows.append((inv, key, "X", -qty if inv.startswith("C") else qty, t, 1.50, rnd.choice(["7", "8"]), "UK"))
+    raw = raw_of(rows)
+    s, c = valid_sales(raw), cancellations(raw)
+    got = {(r.invoice_no, r.stock_code, r.customer_id): r.minutes_to_reversal for r in reversal_delay(s, c).collect()}
+    want = {}
+    sales_rows = [r for r in rows if not r[0].startswith("C")]
+    cancel_rows = [r for r in rows if r[0].startswith("C")]
+    for inv, key, _, q, t, _, cust, _ in sales_rows:
+        later = [ct for cinv, ck, _, cq, ct, _, cc, _ in cancel_rows if ck == key and cc == cust and -cq == q and ct >= t]
+        if later:
+            want[(inv, key, cust)] = int((min(later) - t).total_seconds() // 60)
+    assert got == want

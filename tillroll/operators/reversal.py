@@ -79,36 +79,57 @@ def unmatched_cancellations(sales: DataFrame, cancels: DataFrame) -> DataFrame:
 def reversal_delay(sales: DataFrame, cancels: DataFrame) -> DataFrame:
     """For each reversed sale, minutes until its earliest matching reversal.
 
-    An as-of lookup: sales and reversals are unioned per match key and ordered
-    by time (a reversal at the same instant counts, so it sorts first among
-    equal times when scanning backwards); a running ``min`` scanned from the
-    latest event backwards gives each sale the next reversal time.  The frame
-    is a running one (linear, spillable), never a pairwise join.
+    An as-of lookup ("first reversal at or after the sale"), split in two so
+    that no window ever holds more than one calendar's worth of rows, even
+    when one match key carries a third of all lines:
+
+    * same day: per (key, day), the distinct sale and reversal *timestamps*
+      (bounded by the clock), scanned from the latest backwards with a
+      running ``min``; a reversal at the same instant counts;
+    * later days: per key, one row per day with sales and per day with
+      reversals (bounded by the calendar), again a backwards running ``min``
+      giving the first reversal on any later day.
+
+    The answer is the earlier of the two; equi-joins carry it back to the
+    sale lines (adaptive execution splits skewed join partitions).
     """
-    s = sales.select(*MATCH_KEYS, "invoice_no", F.col("invoice_date").alias("t"), F.lit(0).alias("kind"))
-    c = cancels.where((F.col("quantity") < 0) & F.col("customer_id").isNotNull()).select(
-        "customer_id",
-        "stock_code",
-        "unit_price",
-        F.abs("quantity").alias("quantity"),
-        F.lit(None).cast("string").alias("invoice_no"),
-        F.col("invoice_date").alias("t"),
-        F.lit(1).alias("kind"),
+    keys = list(MATCH_KEYS)
+    s = sales.select(*keys, "invoice_no", F.col("invoice_date").alias("t")).withColumn("day", F.to_date("t"))
+    c = (
+        cancels.where((F.col("quantity") < 0) & F.col("customer_id").isNotNull())
+        .select("customer_id", "stock_code", "unit_price", F.abs("quantity").alias("quantity"),
+                F.col("invoice_date").alias("t"))
+        .withColumn("day", F.to_date("t"))
+    )
+    running = Window.unboundedPreceding, Window.currentRow
+
+    same = (
+        s.select(*keys, "day", "t").distinct().withColumn("kind", F.lit(0))
+        .unionByName(c.select(*keys, "day", "t").distinct().withColumn("kind", F.lit(1)))
     )
-    w = (
-        Window.partitionBy(*MATCH_KEYS)
-        .orderBy(F.col("t").desc(), F.col("kind").desc())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w_same = Window.partitionBy(*keys, "day").orderBy(F.col("t").desc(), F.col("kind").desc()).rowsBetween(*running)
+    same = same.withColumn("same_day_next", F.min(F.when(F.col("kind") == 1, F.col("t"))).over(w_same)).where(
+        F.col("kind") == 0
+    ).drop("kind")
+
+    days = (
+        s.select(*keys, "day").distinct().withColumn("first_t", F.lit(None).cast("timestamp_ntz")).withColumn("kind", F.lit(0))
+        .unionByName(c.groupBy(*keys, "day").agg(F.min("t").alias("first_t")).withColumn("kind", F.lit(1)))
     )
-    events = s.unionByName(c).withColumn(
-        "next_reversal_at", F.min(F.when(F.col("kind") == 1, F.col("t"))).over(w)
+    w_days = Window.partitionBy(*keys).orderBy(F.col("day").desc(), F.col("kind").asc()).rowsBetween(*running)
+    later = days.withColumn("later_day_next", F.min("first_t").over(w_days)).where(F.col("kind") == 0).select(
+        *keys, "day", "later_day_next"
     )
-    return events.where((F.col("kind") == 0) & F.col("next_reversal_at").isNotNull()).select(
-        *MATCH_KEYS,
+
+    nxt = same.join(later, keys + ["day"]).withColumn(
+        "next_reversal_at", F.least("same_day_next", "later_day_next")
+    ).where(F.col("next_reversal_at").isNotNull())
+    return s.join(nxt.select(*keys, "day", "t", "next_reversal_at"), keys + ["day", "t"]).select(
+        *keys,
         "invoice_no",
         F.col("t").alias("sale_at"),
         "next_reversal_at",
-        (
+        F.floor(
             (F.unix_micros(F.col("next_reversal_at").cast("timestamp"))
              - F.unix_micros(F.col("t").cast("timestamp"))) / F.lit(60_000_000)
         ).cast("bigint").alias("minutes_to_reversal"),
