@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tillroll.operators.grain import invoice_grain
 from tillroll.plans import cohorts, concentration, measures, sales
 from tillroll.plans.clean import cancellations, valid_sales
 
@@ -33,7 +34,7 @@ def test_retention_triangle_null_when_unobserved_zero_when_empty(raw_of):
             _line("5", "c", "2011-04-30"),  # data ends on a month end: April is complete
         ]
     )
-    s = valid_sales(raw)
+    s = invoice_grain(valid_sales(raw))
     rows = {str(r.cohort_month): r for r in cohorts.retention_triangle(s).collect()}
     jan = rows["2011-01-01"]
     assert jan.cohort_size == 2 and jan.m1 == 50.0 and jan.m2 == 0.0 and jan.m3 == 0.0 and jan.m4 is None
@@ -45,7 +46,7 @@ def test_retention_triangle_null_when_unobserved_zero_when_empty(raw_of):
 
 def test_concentration_cut_above_customer_count_is_null(raw_of):
     raw = raw_of([_line(str(i), f"c{i}", "2011-01-05", 10.0 * (i + 1)) for i in range(4)])
-    rows = {r.top_n_customers: r for r in concentration.concentration_curve(valid_sales(raw), cuts=[1, 4, 5]).collect()}
+    rows = {r.top_n_customers: r for r in concentration.concentration_curve(invoice_grain(valid_sales(raw)), cuts=[1, 4, 5]).collect()}
     assert rows[1].cumulative_revenue == 40.0 and rows[1].pct_of_revenue == 40.0
     assert rows[4].cumulative_revenue == 100.0 and rows[4].pct_of_revenue == 100.0
     assert rows[5].cumulative_revenue is None and rows[5].pct_of_customers == 125.0

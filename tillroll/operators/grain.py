@@ -1,7 +1,9 @@
 """Grain changes shared by the customer-level jobs.
 
 line -> invoice (customer, day, invoice) -> purchase occasion (customer, day)
--> customer.  Each step is a ``groupBy`` with map-side partial aggregation,
+-> customer.  Customer-level jobs take the *invoice grain* (``invoice_grain``,
+materialised once per basis by ``Relations``), so the line-level work of a
+basis (scan, cleaning, reversal join) happens once per report.  Each step is a ``groupBy`` with map-side partial aggregation,
 so a customer holding a third of all lines is pre-summed in every map task
 before anything is shuffled.  Per-customer windows run on the occasion grain,
 whose group size is bounded by the number of calendar days, not by volume.
@@ -31,9 +33,9 @@ def invoice_grain(sales: DataFrame) -> DataFrame:
     )
 
 
-def occasions(sales: DataFrame) -> DataFrame:
-    """One row per purchase occasion (customer, distinct day)."""
-    return invoice_grain(sales).groupBy("customer_id", "order_date").agg(
+def occasions(grain: DataFrame) -> DataFrame:
+    """One row per purchase occasion (customer, distinct day) from the invoice grain."""
+    return grain.groupBy("customer_id", "order_date").agg(
         F.sum("items").alias("items"),
         F.sum("value").alias("value"),
         F.count(F.lit(1)).alias("invoices"),
@@ -48,9 +50,8 @@ def sequenced_occasions(occ: DataFrame) -> DataFrame:
     )
 
 
-def customer_summary(sales: DataFrame) -> DataFrame:
-    """Per customer: first/last day, invoices, occasions, items, spend."""
-    grain = invoice_grain(sales)
+def customer_summary(grain: DataFrame) -> DataFrame:
+    """Per customer (from the invoice grain): first/last day, invoices, occasions, items, spend."""
     return grain.groupBy("customer_id").agg(
         F.min("order_date").alias("first_order_date"),
         F.max("order_date").alias("last_order_date"),

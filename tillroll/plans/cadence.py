@@ -35,14 +35,14 @@ FLAGGED = "4. Past 2x and past the floor - FLAGGED"
 MEDIAN_TYPE = "decimal(10,1)"
 
 
-def gap_table(sales: DataFrame) -> DataFrame:
+def gap_table(grain: DataFrame) -> DataFrame:
     """One row per real gap (customer, gap_days, purchase_no of the later occasion)."""
-    seq = sequenced_occasions(occasions(sales).select("customer_id", "order_date"))
+    seq = sequenced_occasions(occasions(grain).select("customer_id", "order_date"))
     return seq.where(F.col("gap_days").isNotNull()).select("customer_id", "order_date", "purchase_no", "gap_days")
 
 
-def gap_stats(sales: DataFrame) -> DataFrame:
-    g = gap_table(sales)
+def gap_stats(grain: DataFrame) -> DataFrame:
+    g = gap_table(grain)
     return g.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("gap_count"),
         F.percentile(F.col("gap_days"), F.lit(0.5)).cast(MEDIAN_TYPE).alias("median_gap_days"),
@@ -52,10 +52,11 @@ def gap_stats(sales: DataFrame) -> DataFrame:
     )
 
 
-def customer_cadence(sales: DataFrame, multiple: int = 2, floor_days: int = 30) -> DataFrame:
-    """One row per customer of this basis with gap statistics and the segment."""
-    summ = with_dataset_end(customer_summary(sales), sales)
-    df = summ.join(gap_stats(sales), "customer_id", "left")
+def customer_cadence(grain: DataFrame, multiple: int = 2, floor_days: int = 30) -> DataFrame:
+    """One row per customer of this basis (given as its invoice grain) with gap
+    statistics and the segment."""
+    summ = with_dataset_end(customer_summary(grain), grain)
+    df = summ.join(gap_stats(grain), "customer_id", "left")
     quiet = F.datediff("dataset_end_date", "last_order_date").cast("bigint")
     med = F.col("median_gap_days")
     tenths = (med * 10).cast("decimal(20,0)")
@@ -93,14 +94,14 @@ def _med_dbl(c="median_gap_days"):
 
 
 def cadence_multiple_evidence(
-    sales: DataFrame, multiples: Sequence[str] = ("1.5", "2", "2.5", "3", "4"), min_gaps: int = 2
+    grain: DataFrame, multiples: Sequence[str] = ("1.5", "2", "2.5", "3", "4"), min_gaps: int = 2
 ) -> DataFrame:
     """Share of real gaps above k x the customer's own median (customers with >= min_gaps gaps).
 
     The median and gap count are window aggregates over the customer's gaps,
     which are already clustered by customer after the ``lag`` window.
     """
-    g = gap_table(sales)
+    g = gap_table(grain)
     w = Window.partitionBy("customer_id")
     g = g.withColumn("__med", F.percentile(F.col("gap_days"), F.lit(0.5)).over(w).cast(MEDIAN_TYPE)).withColumn(
         "__n", F.count(F.lit(1)).over(w)
@@ -316,9 +317,9 @@ def floor_suppressed(cadence: DataFrame, multiple: int = 2, floor_days: int = 30
     )
 
 
-def same_day_collapse(sales: DataFrame) -> DataFrame:
+def same_day_collapse(grain: DataFrame) -> DataFrame:
     """Invoices against purchase occasions; customers with several invoices on a day."""
-    occ = occasions(sales)
+    occ = occasions(grain)
     return occ.agg(
         F.sum("invoices").alias("customer_day_invoices"),
         F.count(F.lit(1)).alias("purchase_occasions"),
@@ -329,13 +330,13 @@ def same_day_collapse(sales: DataFrame) -> DataFrame:
     )
 
 
-def gap_distribution(sales: DataFrame) -> DataFrame:
+def gap_distribution(grain: DataFrame) -> DataFrame:
     """Mean, exact median and longest of all real gaps (one exact quantile job)."""
     from tillroll.operators.quantiles import exact_quantiles
 
     from tillroll.operators.grain import reuse
 
-    g = reuse(gap_table(sales).select("gap_days"))
+    g = reuse(gap_table(grain).select("gap_days"))
     q = exact_quantiles(g, [], "gap_days", ["0.5"], value_type="decimal(12,0)")
     agg = g.agg(
         F.count(F.lit(1)).alias("gaps_examined"),

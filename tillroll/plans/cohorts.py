@@ -19,12 +19,12 @@ from tillroll.functions.exact import money, pct
 DEFAULT_TRIANGLE_MONTHS = (1, 2, 3, 4, 5, 6, 9, 11)
 
 
-def first_months(net: DataFrame) -> DataFrame:
-    return net.groupBy("customer_id").agg(F.min("order_month").alias("cohort_month"))
+def first_months(grain: DataFrame) -> DataFrame:
+    return grain.groupBy("customer_id").agg(F.trunc(F.min("order_date"), "MM").alias("cohort_month"))
 
 
-def cohort_sizes(net: DataFrame) -> DataFrame:
-    sizes = first_months(net).groupBy("cohort_month").agg(F.count(F.lit(1)).alias("cohort_size"))
+def cohort_sizes(grain: DataFrame) -> DataFrame:
+    sizes = first_months(grain).groupBy("cohort_month").agg(F.count(F.lit(1)).alias("cohort_size"))
     total = sizes.agg(F.sum("cohort_size").alias("__t"))
     return (
         sizes.crossJoin(F.broadcast(total))
@@ -33,12 +33,12 @@ def cohort_sizes(net: DataFrame) -> DataFrame:
     )
 
 
-def opening_pileup(net: DataFrame, before: str | None = None, opening_days: int = 12) -> DataFrame:
+def opening_pileup(grain: DataFrame, before: str | None = None, opening_days: int = 12) -> DataFrame:
     """Customers whose first purchase falls in the opening days of the data.
 
     ``before`` is an exclusive date; by default the first day + ``opening_days``.
     """
-    firsts = net.groupBy("customer_id").agg(F.min("order_date").alias("first_date"))
+    firsts = grain.groupBy("customer_id").agg(F.min("order_date").alias("first_date"))
     if before is None:
         bound = firsts.agg(F.date_add(F.min("first_date"), opening_days).alias("__b"))
     else:
@@ -52,11 +52,11 @@ def opening_pileup(net: DataFrame, before: str | None = None, opening_days: int
     )
 
 
-def last_complete_month(net: DataFrame) -> DataFrame:
+def last_complete_month(grain: DataFrame) -> DataFrame:
     """One row: the last month fully inside the data (a month ending on the
     last day counts as complete)."""
     end = F.max("order_date")
-    return net.agg(
+    return grain.agg(
         F.when(end == F.last_day(end), F.trunc(end, "MM"))
         .otherwise(F.add_months(F.trunc(end, "MM"), -1))
         .alias("last_complete_month")
@@ -64,15 +64,15 @@ def last_complete_month(net: DataFrame) -> DataFrame:
 
 
 def retention_triangle(
-    net: DataFrame, last_complete: str | None = None, months: Sequence[int] = DEFAULT_TRIANGLE_MONTHS
+    grain: DataFrame, last_complete: str | None = None, months: Sequence[int] = DEFAULT_TRIANGLE_MONTHS
 ) -> DataFrame:
-    spark = net.sparkSession
+    spark = grain.sparkSession
     if last_complete is None:
-        bound = last_complete_month(net)
+        bound = last_complete_month(grain)
     else:
         bound = spark.range(1).select(F.lit(last_complete).cast("date").alias("last_complete_month"))
 
-    active = net.select("customer_id", "order_month").distinct()
+    active = grain.select("customer_id", F.trunc("order_date", "MM").alias("order_month")).distinct()
     active = active.withColumn("cohort_month", F.min("order_month").over(Window.partitionBy("customer_id")))
     idx = (F.year("order_month") - F.year("cohort_month")) * 12 + F.month("order_month") - F.month("cohort_month")
     counts = (
@@ -117,13 +117,13 @@ def cohort_equal_age_repeat(fsp: DataFrame, ages: Sequence[int] = (30, 60, 90))
     )
 
 
-def monthly_volume(net: DataFrame) -> DataFrame:
+def monthly_volume(grain: DataFrame) -> DataFrame:
     return (
-        net.groupBy("order_month")
+        grain.groupBy(F.trunc("order_date", "MM").alias("order_month"))
         .agg(
             F.countDistinct("invoice_no").alias("orders"),
             F.countDistinct("customer_id").alias("active_customers"),
-            money(F.sum("sales_value")).alias("net_sales"),
+            money(F.sum("value")).alias("net_sales"),
         )
         .orderBy("order_month")
     )

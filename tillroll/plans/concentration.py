@@ -51,18 +51,18 @@ def published_vs_corrected(sales: DataFrame, net: DataFrame) -> DataFrame:
     return basis(sales, "As published").unionByName(basis(net, "Corrected for reversals"))
 
 
-def customer_spend(net: DataFrame) -> DataFrame:
-    return net.groupBy("customer_id").agg(
-        F.sum("sales_value").alias("spend"),
+def customer_spend(grain: DataFrame) -> DataFrame:
+    return grain.groupBy("customer_id").agg(
+        F.sum("value").alias("spend"),
         F.countDistinct("invoice_no").alias("orders"),
         F.min("order_date").alias("first_order"),
         F.max("order_date").alias("last_order"),
     )
 
 
-def ranked_spend(net: DataFrame) -> DataFrame:
+def ranked_spend(grain: DataFrame) -> DataFrame:
     """Customers in spend order with rank, running revenue (pence) and totals."""
-    spend = net.groupBy("customer_id").agg(F.sum("sales_value").alias("spend"))
+    spend = grain.groupBy("customer_id").agg(F.sum("value").alias("spend"))
     ranked = global_rank(
         spend,
         [F.col("spend").desc(), F.col("customer_id").asc()],
@@ -74,12 +74,12 @@ def ranked_spend(net: DataFrame) -> DataFrame:
     return ranked.crossJoin(F.broadcast(total))
 
 
-def pareto_test(net: DataFrame, share: int = 80, top_pct: int = 20) -> DataFrame:
+def pareto_test(grain: DataFrame, share: int = 80, top_pct: int = 20) -> DataFrame:
     """Customers needed for ``share``% of revenue; revenue share of the top ``top_pct``%.
 
     The top group size is round(n * top_pct / 100) half up, in integers.
     """
-    r = ranked_spend(net)
+    r = ranked_spend(grain)
     top_n = F.call_function("div", F.col("n_customers") * (2 * top_pct) + 100, F.lit(200))
     agg = r.agg(
         F.min(F.when(F.col("cum_pence") * 100 >= F.col("total_pence") * share, F.col("rn"))).alias("k"),
@@ -99,13 +99,13 @@ def pareto_test(net: DataFrame, share: int = 80, top_pct: int = 20) -> DataFrame
 DEFAULT_CUTS = (1, 5, 10, 20, 50, 100, 433, 865, 1170)
 
 
-def concentration_curve(net: DataFrame, cuts: Sequence[int] = DEFAULT_CUTS) -> DataFrame:
+def concentration_curve(grain: DataFrame, cuts: Sequence[int] = DEFAULT_CUTS) -> DataFrame:
     """Cumulative revenue of the top N customers for each N in ``cuts``.
 
     A cut above the customer count has no rank row and yields NULL revenue.
     """
-    spark = net.sparkSession
-    r = ranked_spend(net)
+    spark = grain.sparkSession
+    r = ranked_spend(grain)
     cut_df = spark.createDataFrame([(int(c),) for c in cuts], "cut long")
     at_cut = r.where(F.col("rn").isin([int(c) for c in cuts])).select(
         F.col("rn").alias("cut"), "cum_pence"
@@ -131,8 +131,8 @@ def home_country(net: DataFrame) -> DataFrame:
     return latest_by(net, "customer_id", "country", ["invoice_date", "invoice_no", "country"])
 
 
-def top10_customers(net: DataFrame, k: int = 10) -> DataFrame:
-    cs = customer_spend(net)
+def top10_customers(grain: DataFrame, net: DataFrame, k: int = 10) -> DataFrame:
+    cs = customer_spend(grain)
     total = cs.agg(as_units(F.sum("spend"), 2).alias("__t"))
     top = cs.orderBy(F.desc("spend"), "customer_id").limit(k)
     top = top.join(home_country(net), "customer_id").crossJoin(F.broadcast(total))
@@ -149,8 +149,8 @@ def top10_customers(net: DataFrame, k: int = 10) -> DataFrame:
     ).orderBy("rank")
 
 
-def top10_exposure(net: DataFrame, k: int = 10) -> DataFrame:
-    spend = net.groupBy("customer_id").agg(F.sum("sales_value").alias("spend"))
+def top10_exposure(grain: DataFrame, k: int = 10) -> DataFrame:
+    spend = grain.groupBy("customer_id").agg(F.sum("value").alias("spend"))
     totals = spend.agg(as_units(F.sum("spend"), 2).alias("t"), F.count(F.lit(1)).alias("n"))
     top = (
         spend.orderBy(F.desc("spend"), "customer_id")
@@ -167,8 +167,8 @@ def top10_exposure(net: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
-def top10_geography(net: DataFrame, k: int = 10) -> DataFrame:
-    spend = net.groupBy("customer_id").agg(F.sum("sales_value").alias("spend"))
+def top10_geography(grain: DataFrame, net: DataFrame, k: int = 10) -> DataFrame:
+    spend = grain.groupBy("customer_id").agg(F.sum("value").alias("spend"))
     total = spend.agg(as_units(F.sum("spend"), 2).alias("__t"))
     top = spend.orderBy(F.desc("spend"), "customer_id").limit(k).join(home_country(net), "customer_id")
     return (

@@ -42,11 +42,12 @@ def segment_rule(orders, spend, quiet, high_value=1000, quiet_days=90, min_order
 
 
 def customer_profile(
-    sales: DataFrame, high_value=1000, quiet_days=90, min_orders=2, quintiles: int | None = 5
+    grain: DataFrame, high_value=1000, quiet_days=90, min_orders=2, quintiles: int | None = 5
 ) -> DataFrame:
-    """The profile view; ``quintiles=None`` leaves out the spend quintile (and
-    with it the global spend ranking) for reports that do not read it."""
-    summ = with_dataset_end(customer_summary(sales), sales).withColumn(
+    """The profile view from a basis' invoice grain; ``quintiles=None`` leaves
+    out the spend quintile (and with it the global spend ranking) for reports
+    that do not read it."""
+    summ = with_dataset_end(customer_summary(grain), grain).withColumn(
         "days_since_last_order", F.datediff("dataset_end_date", "last_order_date").cast("bigint")
     )
     if quintiles:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.exact import avg_money, avg_round, money, pct, round_div
-from tillroll.operators.grain import invoice_grain, occasions, reuse, sequenced_occasions, with_dataset_end
+from tillroll.operators.grain import occasions, reuse, sequenced_occasions, with_dataset_end
 from tillroll.operators.quantiles import exact_quantiles
 
 # Group labels of the reports.
@@ -28,8 +28,9 @@ FIRST_GAP = "Gap 1->2 (winning the second purchase)"
 LATER_GAPS = "All later gaps (2->3, 3->4, ...)"
 
 
-def first_second_purchase(net: DataFrame) -> DataFrame:
-    seq = sequenced_occasions(occasions(net))
+def first_second_purchase(grain: DataFrame) -> DataFrame:
+    """One row per customer from the corrected basis' invoice grain."""
+    seq = sequenced_occasions(occasions(grain))
     first = F.col("purchase_no") == 1
     folded = seq.groupBy("customer_id").agg(
         F.max(F.when(first, F.col("order_date"))).alias("first_purchase_date"),
@@ -38,7 +39,7 @@ def first_second_purchase(net: DataFrame) -> DataFrame:
         F.max(F.when(first, F.col("value"))).alias("first_order_value"),
         F.max(F.when(first, F.col("items"))).cast("bigint").alias("first_order_items"),
     )
-    return with_dataset_end(folded, net).select(
+    return with_dataset_end(folded, grain).select(
         "customer_id",
         "first_purchase_date",
         "second_purchase_date",
@@ -62,8 +63,8 @@ def one_and_done_rate(fsp: DataFrame) -> DataFrame:
     )
 
 
-def single_invoice_rate(net: DataFrame) -> DataFrame:
-    per_customer = invoice_grain(net).groupBy("customer_id").agg(F.countDistinct("invoice_no").alias("invoices"))
+def single_invoice_rate(grain: DataFrame) -> DataFrame:
+    per_customer = grain.groupBy("customer_id").agg(F.countDistinct("invoice_no").alias("invoices"))
     agg = per_customer.agg(
         F.count(F.lit(1)).alias("customers"),
         F.count_if(F.col("invoices") == 1).alias("single_invoice_customers"),
@@ -119,8 +120,8 @@ def second_purchase_timing(fsp: DataFrame) -> DataFrame:
     )
 
 
-def gap_first_vs_later(net: DataFrame) -> DataFrame:
-    seq = sequenced_occasions(occasions(net).select("customer_id", "order_date"))
+def gap_first_vs_later(grain: DataFrame) -> DataFrame:
+    seq = sequenced_occasions(occasions(grain).select("customer_id", "order_date"))
     gaps = reuse(
         seq.where(F.col("gap_days").isNotNull()).select(
             F.when(F.col("purchase_no") == 2, F.lit(FIRST_GAP)).otherwise(F.lit(LATER_GAPS)).alias("which_gap"),

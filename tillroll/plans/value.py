@@ -26,16 +26,17 @@ TOP_BAND = "11+ purchases"
 _FINE = 18
 
 
-def customer_value(net: DataFrame) -> DataFrame:
-    return occasions(net).groupBy("customer_id").agg(
+def customer_value(grain: DataFrame) -> DataFrame:
+    """Spend, purchase occasions and items per customer from the invoice grain."""
+    return occasions(grain).groupBy("customer_id").agg(
         F.sum("value").alias("spend"),
         F.count(F.lit(1)).alias("purchase_occasions"),
         F.sum("items").alias("items"),
     )
 
 
-def value_distribution(net: DataFrame) -> DataFrame:
-    cv = reuse(customer_value(net))
+def value_distribution(grain: DataFrame) -> DataFrame:
+    cv = reuse(customer_value(grain))
     q = exact_quantiles(cv, [], "spend", ["0.25", "0.5", "0.75", "0.9"])
     agg = cv.agg(
         F.count(F.lit(1)).alias("customers"),
@@ -54,10 +55,10 @@ def value_distribution(net: DataFrame) -> DataFrame:
     )
 
 
-def mean_robustness(net: DataFrame, top_k: int = 10, top_share_pct: int = 1) -> DataFrame:
+def mean_robustness(grain: DataFrame, top_k: int = 10, top_share_pct: int = 1) -> DataFrame:
     """Mean and median spend for all customers, without the top k, and
     without the top ``top_share_pct``% (round(n * pct / 100) customers)."""
-    spend = net.groupBy("customer_id").agg(F.sum("sales_value").alias("spend"))
+    spend = grain.groupBy("customer_id").agg(F.sum("value").alias("spend"))
     ranked = global_rank(spend, [F.col("spend").desc(), F.col("customer_id").asc()], total_col="__n")
     cut = floor_div(F.col("__n") * (2 * top_share_pct) + 100, F.lit(200))
     label_pct = F.concat(
@@ -111,8 +112,8 @@ def _group_report(cv: DataFrame, group: F.Column, name: str, extra_aggs, extra_c
     )
 
 
-def one_time_vs_repeat(net: DataFrame) -> DataFrame:
-    cv = customer_value(net)
+def one_time_vs_repeat(grain: DataFrame) -> DataFrame:
+    cv = customer_value(grain)
     group = F.when(F.col("purchase_occasions") == 1, F.lit(ONE_TIME_BUYER)).otherwise(F.lit(REPEAT_BUYER))
     return _group_report(
         cv,
@@ -124,8 +125,8 @@ def one_time_vs_repeat(net: DataFrame) -> DataFrame:
     )
 
 
-def value_ladder(net: DataFrame) -> DataFrame:
-    cv = customer_value(net)
+def value_ladder(grain: DataFrame) -> DataFrame:
+    cv = customer_value(grain)
     occ = F.col("purchase_occasions")
     band = F.lit(TOP_BAND)
     for lo, hi, label in reversed(BANDS):

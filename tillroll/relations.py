@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.operators import reversal
+from tillroll.operators.grain import invoice_grain, reuse
 from tillroll.plans import clean
 
 
@@ -47,36 +48,46 @@ class Relations:
     def net(self) -> DataFrame:
         return reversal.valid_sales_net(self.sales, self.cancels)
 
+    @cached_property
+    def grain(self) -> DataFrame:
+        """Published sales at the (customer, day, invoice) grain, computed once."""
+        return reuse(invoice_grain(self.sales))
+
+    @cached_property
+    def grain_net(self) -> DataFrame:
+        """Corrected sales at the (customer, day, invoice) grain, computed once."""
+        return reuse(invoice_grain(self.net))
+
     @cached_property
     def profile(self) -> DataFrame:
         from tillroll.plans.customers import customer_profile
 
-        return customer_profile(self.sales)
+        return customer_profile(self.grain)
 
     @cached_property
     def segments(self) -> DataFrame:
         """The profile without the spend quintile (no global spend ranking)."""
         from tillroll.plans.customers import customer_profile
 
-        return customer_profile(self.sales, quintiles=None)
+        return customer_profile(self.grain, quintiles=None)
 
     @cached_property
     def cadence(self) -> DataFrame:
         from tillroll.plans.cadence import customer_cadence
 
-        return customer_cadence(self.sales)
+        return customer_cadence(self.grain)
 
     @cached_property
     def cadence_net(self) -> DataFrame:
         from tillroll.plans.cadence import customer_cadence
 
-        return customer_cadence(self.net)
+        return customer_cadence(self.grain_net)
 
     @cached_property
     def first_second(self) -> DataFrame:
         from tillroll.plans.second_purchase import first_second_purchase
 
-        return first_second_purchase(self.net)
+        return first_second_purchase(self.grain_net)
 
     def materialise(self, path: str | None = None) -> "Relations":
         """Write the corrected-basis sales once and read them back.
@@ -89,6 +100,6 @@ class Relations:
         target = path or ensure_checkpoint_dir(self.spark).rstrip("/") + "/tillroll-net-sales"
         self.net.write.mode("overwrite").parquet(target)
         self.__dict__["net"] = self.spark.read.parquet(target)
-        for name in ("cadence_net", "first_second"):
+        for name in ("grain_net", "cadence_net", "first_second"):
             self.__dict__.pop(name, None)
         return self
