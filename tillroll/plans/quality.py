@@ -65,3 +65,18 @@ def cancellation_rate_consistent(raw: DataFrame) -> DataFrame:
         F.countDistinct(F.when(is_cancellation(), F.col("invoice_no"))).alias("cancelled_invoices"),
         F.countDistinct("invoice_no").alias("all_invoices"),
     ).withColumn("cancellation_rate_pct", pct(F.col("cancelled_invoices"), F.col("all_invoices"), 2))
+
+
+def raw_profile(raw: DataFrame) -> DataFrame:
+    """A fingerprint of a raw table: counts, nulls, sums and the time span."""
+    return raw.agg(
+        F.count(F.lit(1)).alias("total_rows"),
+        F.countDistinct("invoice_no").alias("invoices"),
+        F.count_if(F.col("description").isNull()).alias("missing_description"),
+        F.count_if(F.col("customer_id").isNull()).alias("missing_customer_id"),
+        F.sum("quantity").cast("bigint").alias("total_quantity"),
+        money(F.sum("unit_price")).alias("total_unit_price"),
+        F.countDistinct("description").alias("descriptions"),
+        F.min("invoice_date").alias("earliest_transaction"),
+        F.max("invoice_date").alias("latest_transaction"),
+    )

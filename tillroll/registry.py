@@ -137,3 +137,41 @@ JOBS["month_outlier_share"] = lambda r: extras.month_outlier_share(r.cancels, "c
 JOBS["daily_run_rate"] = lambda r: extras.daily_run_rate(r.net)
 JOBS["peak_trough_ratio"] = lambda r: extras.peak_trough_ratio(r.sales)
 JOBS["raw_preview"] = lambda r: raw_preview(r.raw)
+
+# --- the base relations themselves (row-level outputs) -----------------------------------
+from pyspark.sql import functions as _F  # noqa: E402
+from pyspark.sql import types as _T  # noqa: E402
+
+
+def as_output(df: DataFrame) -> DataFrame:
+    """Exact decimals leave as doubles (the agreed output type for amounts)."""
+    return df.select(
+        *[_F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, _T.DecimalType) else _F.col(f.name)
+          for f in df.schema.fields]
+    )
+
+
+JOBS["valid_sales"] = lambda r: as_output(r.sales)
+JOBS["cancellations"] = lambda r: as_output(r.cancels)
+JOBS["valid_sales_net"] = lambda r: as_output(r.net)
+JOBS["customer_profile"] = lambda r: as_output(r.profile)
+JOBS["customer_cadence"] = lambda r: as_output(r.cadence)
+JOBS["customer_cadence_net"] = lambda r: as_output(r.cadence_net)
+JOBS["first_second_purchase"] = lambda r: as_output(r.first_second)
+
+
+def _csv_roundtrip(r: Relations) -> DataFrame:
+    """Write the raw lines as CSV (result sink) into the shared checkpoint folder,
+    read them back with the typed CSV source and profile what came back."""
+    import uuid
+
+    from tillroll.plans.quality import raw_profile
+    from tillroll.session import ensure_checkpoint_dir
+    from tillroll.sources.files import read_raw_csv, write_result_csv
+
+    path = ensure_checkpoint_dir(r.spark).rstrip("/") + f"/raw-csv-{uuid.uuid4().hex[:12]}"
+    write_result_csv(r.raw, path, single_file=False)
+    return raw_profile(read_raw_csv(r.spark, path))
+
+
+JOBS["raw_csv_roundtrip"] = _csv_roundtrip

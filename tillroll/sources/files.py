@@ -69,7 +69,21 @@ def write_result_csv(df: DataFrame, path: str, mode: str = "overwrite", single_f
     """Export a result table to CSV with a header.
 
     Result tables are aggregates (a few hundred rows); ``single_file`` folds
-    them into one file.  Large outputs should go to Parquet instead.
+    them into one file.  With ``single_file=False`` every task writes its own
+    part, so large tables (a raw extract) are written in parallel.
     """
     out = df.coalesce(1) if single_file else df
-    out.write.mode(mode).option("header", True).csv(path)
+    (
+        out.write.mode(mode)
+        .option("header", True)
+        # RFC 4180 text that ``read_raw_csv`` reads back unchanged: doubled
+        # quotes, untrimmed values (the writer trims by default) and
+        # zone-less timestamps without the ISO 'T'.
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+        .option("dateFormat", "yyyy-MM-dd")
+        .csv(path)
+    )
