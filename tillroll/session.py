@@ -22,6 +22,9 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
+    # Checkpointed intermediates (ranges, invoice grains) are deleted once
+    # the DataFrames that own them are garbage collected.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
