@@ -175,3 +175,57 @@ def _csv_roundtrip(r: Relations) -> DataFrame:
 
 
 JOBS["raw_csv_roundtrip"] = _csv_roundtrip
+
+# --- one key per measure (Catalyst prunes the aggregates a key does not select) --------
+for _m in ("m_net_sales", "m_total_orders", "m_unique_customers", "m_average_order_value", "m_total_items",
+           "m_cancelled_value", "m_cancelled_invoices", "m_cancellation_rate"):
+    JOBS[_m] = (lambda name: lambda r: measures.kpi_measures(r.sales, r.cancels).select(name))(_m)
+for _m, _col in (("m_high_value_active", "high_value_active_customers"),
+                 ("m_high_value_at_risk", "high_value_at_risk_customers"),
+                 ("m_at_risk_repeat", "at_risk_repeat_customers"),
+                 ("m_one_time", "one_time_customers")):
+    JOBS[_m] = (lambda col: lambda r: customers.segment_measures(r.segments).select(col))(_col)
+
+
+# --- sources and sinks ---------------------------------------------------------------
+
+
+def _scratch(r: Relations, name: str) -> str:
+    import uuid
+
+    from tillroll.session import ensure_checkpoint_dir
+
+    return ensure_checkpoint_dir(r.spark).rstrip("/") + f"/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _read_raw_csv(r: Relations) -> DataFrame:
+    """Raw lines written with the CSV sink and read back with the typed CSV source."""
+    from tillroll.sources.files import read_raw_csv, write_result_csv
+
+    path = _scratch(r, "raw-csv")
+    write_result_csv(r.raw, path, single_file=False)
+    return as_output(read_raw_csv(r.spark, path))
+
+
+def _name_columns(r: Relations) -> DataFrame:
+    """A positional extract (generic column names) renamed to the raw names."""
+    from tillroll.sources.files import name_columns
+
+    extract = r.raw.toDF(*[f"column_{i}" for i in range(len(r.raw.columns))])
+    return as_output(name_columns(extract))
+
+
+def _write_result_csv(r: Relations) -> DataFrame:
+    """The monthly trend exported as one CSV file with a header, read back."""
+    from tillroll.sources.files import write_result_csv
+
+    result = sales.monthly_trend(r.sales)
+    path = _scratch(r, "result-csv")
+    write_result_csv(result, path)
+    return r.spark.read.schema(result.schema).option("header", True).csv(path)
+
+
+JOBS["raw_from_star"] = lambda r: as_output(r.raw)
+JOBS["read_raw_csv"] = _read_raw_csv
+JOBS["name_columns"] = _name_columns
+JOBS["write_result_csv"] = _write_result_csv
