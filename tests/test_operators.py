@@ -104,3 +104,17 @@ def test_pct_handles_values_beyond_64_bits(spark):
     df = spark.createDataFrame([(Decimal("123456789012345678901"), Decimal("987654321098765432109"))], "a decimal(38,0), b decimal(38,0)")
     r = df.select(pct("a", "b", 2).alias("p")).first()
     assert r.p == 12.5
+
+
+def test_column_quantiles_equal_one_pass_per_column(spark):
+    from tillroll.operators.quantiles import column_quantiles
+
+    rnd = random.Random(9)
+    rows = [(g, Decimal(rnd.randint(0, 9999)) / 100, rnd.randint(0, 50)) for g in ("x", "y") for _ in range(77)]
+    df = spark.createDataFrame(rows, "g string, a decimal(12,2), b long")
+    both = {r.g: r for r in column_quantiles(df, ["g"], ["a", "b"], ["0.1", "0.5"]).collect()}
+    for col in ("a", "b"):
+        single = {r.g: r for r in exact_quantiles(df, ["g"], col, ["0.1", "0.5"]).collect()}
+        for g in ("x", "y"):
+            for p in ("p_0_1", "p_0_5"):
+                assert both[g][f"{col}__{p}"] == single[g][p]

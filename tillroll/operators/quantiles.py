@@ -83,3 +83,32 @@ def exact_quantiles(
         picked = picked.withColumn(name, lo + (hi - lo) * fr)
         out_cols.append(name)
     return picked.select(*out_cols)
+
+
+def column_quantiles(
+    df: DataFrame,
+    group_cols: Sequence[str],
+    value_cols: Sequence[str],
+    probs: Sequence[str],
+    value_type: str = "decimal(20,2)",
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """Exact quantiles of several columns in one ranking pass.
+
+    The columns are stacked as (group..., column name, value) -- at most
+    ``len(value_cols)`` rows per input row -- so a single range partitioning
+    and prefix scan serve all of them.  Output: one row per group with
+    ``<column>__p_<p>`` columns.
+    """
+    group_cols = list(group_cols)
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast(value_type).alias("v")) for c in value_cols])
+    stacked = df.select(*group_cols, F.explode(cells).alias("__s")).select(
+        *group_cols, F.col("__s.c").alias("__col"), F.col("__s.v").alias("__val")
+    )
+    q = exact_quantiles(stacked, group_cols + ["__col"], "__val", probs, value_type, num_partitions)
+    picks = [
+        F.max(F.when(F.col("__col") == c, F.col(_p_name(p)))).alias(f"{c}__{_p_name(p)}")
+        for c in value_cols
+        for p in probs
+    ]
+    return q.groupBy(*group_cols).agg(*picks) if group_cols else q.agg(*picks)

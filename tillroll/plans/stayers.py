@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.exact import avg_money, avg_round, round_exact
 from tillroll.operators.grain import reuse
-from tillroll.operators.quantiles import exact_quantiles
+from tillroll.operators.quantiles import column_quantiles, exact_quantiles
 from tillroll.plans.cadence import OVERDUE, SCORED_SEGMENTS, WITHIN
 
 # Group and band labels.
@@ -30,11 +30,10 @@ def _returned_group(fsp: DataFrame) -> DataFrame:
 
 def _value_items_report(g: DataFrame, with_days_observed: bool) -> DataFrame:
     g = reuse(g.select("customer_group", "first_order_value", "first_order_items", "observation_days"))
-    qv = exact_quantiles(g, ["customer_group"], "first_order_value", ["0.5"]).select(
-        "customer_group", F.col("p_0_5").alias("__mv")
-    )
-    qi = exact_quantiles(g, ["customer_group"], "first_order_items", ["0.5"], value_type="decimal(20,0)").select(
-        "customer_group", F.col("p_0_5").alias("__mi")
+    q = column_quantiles(g, ["customer_group"], ["first_order_value", "first_order_items"], ["0.5"]).select(
+        "customer_group",
+        F.col("first_order_value__p_0_5").alias("__mv"),
+        F.col("first_order_items__p_0_5").alias("__mi"),
     )
     agg = g.groupBy("customer_group").agg(
         F.count(F.lit(1)).alias("customers"),
@@ -55,8 +54,7 @@ def _value_items_report(g: DataFrame, with_days_observed: bool) -> DataFrame:
     if with_days_observed:
         cols.append(avg_round("__o", "customers", 0).alias("mean_days_observed"))
     return (
-        agg.join(qv, "customer_group", "left")
-        .join(qi, "customer_group", "left")
+        agg.join(q, "customer_group", "left")
         .select(*cols)
         .orderBy("customer_group")
     )
@@ -85,12 +83,13 @@ def stayers_vs_lapsed(cadence_net: DataFrame, fsp: DataFrame) -> DataFrame:
     )
     j = reuse(j)
     grp = ["customer_group"]
-    qv = exact_quantiles(j, grp, "first_order_value", ["0.5"]).select(*grp, F.col("p_0_5").alias("__mv"))
-    qi = exact_quantiles(j, grp, "first_order_items", ["0.5"], value_type="decimal(20,0)").select(
-        *grp, F.col("p_0_5").alias("__mi")
-    )
-    qd = exact_quantiles(j, grp, "days_to_second_purchase", ["0.5"], value_type="decimal(20,0)").select(
-        *grp, F.col("p_0_5").alias("__md")
+    q = column_quantiles(
+        j, grp, ["first_order_value", "first_order_items", "days_to_second_purchase"], ["0.5"]
+    ).select(
+        *grp,
+        F.col("first_order_value__p_0_5").alias("__mv"),
+        F.col("first_order_items__p_0_5").alias("__mi"),
+        F.col("days_to_second_purchase__p_0_5").alias("__md"),
     )
     agg = j.groupBy(*grp).agg(
         F.count(F.lit(1)).alias("customers"),
@@ -104,9 +103,7 @@ def stayers_vs_lapsed(cadence_net: DataFrame, fsp: DataFrame) -> DataFrame:
         F.sum("total_spend").alias("__s"),
     )
     return (
-        agg.join(qv, grp, "left")
-        .join(qi, grp, "left")
-        .join(qd, grp, "left")
+        agg.join(q, grp, "left")
         .select(
             "customer_group",
             "customers",
