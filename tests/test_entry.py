@@ -62,3 +62,14 @@ def test_query_matches_duckdb_oracle(spark, key):
     assert len(sr) == len(dr)
     for x, y in zip(sr, dr):
         assert all(close(a, b) for a, b in zip(x, y)), (x, y)
+
+
+def test_materialise_writes_net_once_and_reads_it_back(spark, tmp_path):
+    r = Relations.from_star(spark, SF_SMALL)
+    before = r.net.agg(F.count(F.lit(1)), F.sum("sales_value")).first()
+    r.materialise(str(tmp_path / "net"))
+    plan = r.net._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "lineitem" not in plan
+    after = r.net.agg(F.count(F.lit(1)), F.sum("sales_value")).first()
+    assert tuple(before) == tuple(after)
+    assert r.cadence_net.count() == r.first_second.count() == 127
