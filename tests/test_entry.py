@@ -51,7 +51,7 @@ def test_invariants(spark):
 
 @pytest.mark.parametrize("key", sorted(E.oracle_sql()))
 def test_query_matches_duckdb_oracle(spark, key):
-    from tools.oracle_check import close, duck, rows_of
+    from tools.oracle_check import close, duck, rows_of, type_diffs
 
     df = E.queries()[key](spark, SF_SMALL)
     s_cols, s_rows = df.columns, [tuple(x) for x in df.collect()]
@@ -59,6 +59,7 @@ def test_query_matches_duckdb_oracle(spark, key):
     sc, sr = rows_of(s_cols, s_rows)
     dc, dr = rows_of(list(rel.columns), rel.fetchall())
     assert sc == dc
+    assert type_diffs(df, rel) == []
     assert len(sr) == len(dr)
     for x, y in zip(sr, dr):
         assert all(close(a, b) for a, b in zip(x, y)), (x, y)

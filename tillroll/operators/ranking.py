@@ -137,4 +137,4 @@ def ntile_from_rank(rank: Column, total: Column, buckets: int) -> Column:
     big = r * (q + 1)
     first = F.call_function("div", rank - 1, q + 1) + 1
     rest = F.call_function("div", rank - 1 - r, F.greatest(q, F.lit(1))) + 1
-    return F.when(rank <= big, first).otherwise(rest).cast("int")
+    return F.when(rank <= big, first).otherwise(rest).cast("bigint")

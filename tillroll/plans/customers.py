@@ -59,7 +59,7 @@ def customer_profile(
         )
         quintile = ntile_from_rank(F.col("__rn"), F.col("__n"), quintiles)
     else:
-        ranked, quintile = summ, F.lit(None).cast("int")
+        ranked, quintile = summ, F.lit(None).cast("bigint")
     return ranked.select(
         "customer_id",
         "first_order_date",

@@ -85,8 +85,8 @@ def date_dimension(sales: DataFrame) -> DataFrame:
     days = bounds.select(F.explode(F.sequence("__lo", "__hi")).alias("date"))
     return days.select(
         "date",
-        F.year("date").alias("year"),
-        F.month("date").alias("month_number"),
+        F.year("date").cast("bigint").alias("year"),
+        F.month("date").cast("bigint").alias("month_number"),
         F.date_format("date", "MMMM").alias("month_name"),
         F.date_format("date", "yyyy-MM").alias("year_month"),
         F.concat(F.lit("Q"), F.quarter("date").cast("string")).alias("quarter"),
