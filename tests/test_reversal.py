@@ -95,3 +95,19 @@ def test_reversal_delay_matches_pairwise_brute_force(raw_of):
         if later:
             want[(inv, key, cust)] = int((min(later) - t).total_seconds() // 60)
     assert got == want
+
+
+def test_reversal_delay_ignores_the_session_time_zone(spark, raw_of):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/London")  # clocks go forward at 01:00 that night
+    try:
+        raw = raw_of(
+            [
+                ("1", "P", "X", 1, "2011-03-27 00:30", 1.00, "7", "UK"),
+                ("C1", "P", "X", -1, "2011-03-27 02:30", 1.00, "7", "UK"),
+            ]
+        )
+        rows = reversal_delay(valid_sales(raw), cancellations(raw)).collect()
+        assert [r.minutes_to_reversal for r in rows] == [120]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

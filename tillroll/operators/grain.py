@@ -80,4 +80,7 @@ def reuse(df: DataFrame) -> DataFrame:
     executor memory) evaluates the upstream lines once, survives executor
     loss and cuts the lineage the later branches would otherwise replay.
     """
+    from tillroll.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

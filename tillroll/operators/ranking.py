@@ -63,6 +63,9 @@ def global_rank(
     # the exchange may cut differently.  A reliable checkpoint (files in the
     # cluster's checkpoint directory) fixes one cut for both branches below and
     # for any task retry; it also ends the lineage of the ranked relation.
+    from tillroll.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
     ranged = base.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
     ranged = ranged.checkpoint(eager=True)
 

@@ -129,8 +129,7 @@ def reversal_delay(sales: DataFrame, cancels: DataFrame) -> DataFrame:
         "invoice_no",
         F.col("t").alias("sale_at"),
         "next_reversal_at",
-        F.floor(
-            (F.unix_micros(F.col("next_reversal_at").cast("timestamp"))
-             - F.unix_micros(F.col("t").cast("timestamp"))) / F.lit(60_000_000)
-        ).cast("bigint").alias("minutes_to_reversal"),
+        # Whole minutes between two zone-less times: no session zone (and so
+        # no daylight-saving shift) takes part.
+        F.timestamp_diff("MINUTE", F.col("t"), F.col("next_reversal_at")).cast("bigint").alias("minutes_to_reversal"),
     )
