@@ -76,12 +76,12 @@ def unmatched_cancellations(sales: DataFrame, cancels: DataFrame) -> DataFrame:
     ).drop("__abs_q", "first_sale_at")
 
 
-def reversal_delay(sales: DataFrame, cancels: DataFrame) -> DataFrame:
-    """For each reversed sale, minutes until its earliest matching reversal.
+def next_reversal_grid(sales: DataFrame, cancels: DataFrame) -> DataFrame:
+    """For each (match key, day, sale time): the number of sale lines and the
+    first reversal at or after that time (an as-of lookup).
 
-    An as-of lookup ("first reversal at or after the sale"), split in two so
-    that no window ever holds more than one calendar's worth of rows, even
-    when one match key carries a third of all lines:
+    Split in two so that no window ever holds more than one calendar's worth
+    of rows, even when one match key carries a third of all lines:
 
     * same day: per (key, day), the distinct sale and reversal *timestamps*
       (bounded by the clock), scanned from the latest backwards with a
@@ -90,11 +90,11 @@ def reversal_delay(sales: DataFrame, cancels: DataFrame) -> DataFrame:
       reversals (bounded by the calendar), again a backwards running ``min``
       giving the first reversal on any later day.
 
-    The answer is the earlier of the two; equi-joins carry it back to the
-    sale lines (adaptive execution splits skewed join partitions).
+    The answer is the earlier of the two.  Sale lines are counted per time
+    point first, so the windows never see individual lines.
     """
     keys = list(MATCH_KEYS)
-    s = sales.select(*keys, "invoice_no", F.col("invoice_date").alias("t")).withColumn("day", F.to_date("t"))
+    s = sales.select(*keys, F.col("invoice_date").alias("t")).withColumn("day", F.to_date("t"))
     c = (
         cancels.where((F.col("quantity") < 0) & F.col("customer_id").isNotNull())
         .select("customer_id", "stock_code", "unit_price", F.abs("quantity").alias("quantity"),
@@ -103,9 +103,9 @@ def reversal_delay(sales: DataFrame, cancels: DataFrame) -> DataFrame:
     )
     running = Window.unboundedPreceding, Window.currentRow
 
-    same = (
-        s.select(*keys, "day", "t").distinct().withColumn("kind", F.lit(0))
-        .unionByName(c.select(*keys, "day", "t").distinct().withColumn("kind", F.lit(1)))
+    sale_points = s.groupBy(*keys, "day", "t").agg(F.count(F.lit(1)).alias("lines"))
+    same = sale_points.withColumn("kind", F.lit(0)).unionByName(
+        c.select(*keys, "day", "t").distinct().withColumn("lines", F.lit(None).cast("bigint")).withColumn("kind", F.lit(1))
     )
     w_same = Window.partitionBy(*keys, "day").orderBy(F.col("t").desc(), F.col("kind").desc()).rowsBetween(*running)
     same = same.withColumn("same_day_next", F.min(F.when(F.col("kind") == 1, F.col("t"))).over(w_same)).where(
@@ -113,23 +113,41 @@ def reversal_delay(sales: DataFrame, cancels: DataFrame) -> DataFrame:
     ).drop("kind")
 
     days = (
-        s.select(*keys, "day").distinct().withColumn("first_t", F.lit(None).cast("timestamp_ntz")).withColumn("kind", F.lit(0))
+        sale_points.select(*keys, "day").distinct()
+        .withColumn("first_t", F.lit(None).cast("timestamp_ntz")).withColumn("kind", F.lit(0))
         .unionByName(c.groupBy(*keys, "day").agg(F.min("t").alias("first_t")).withColumn("kind", F.lit(1)))
     )
     w_days = Window.partitionBy(*keys).orderBy(F.col("day").desc(), F.col("kind").asc()).rowsBetween(*running)
     later = days.withColumn("later_day_next", F.min("first_t").over(w_days)).where(F.col("kind") == 0).select(
         *keys, "day", "later_day_next"
     )
+    return (
+        same.join(later, keys + ["day"])
+        .withColumn("next_reversal_at", F.least("same_day_next", "later_day_next"))
+        .where(F.col("next_reversal_at").isNotNull())
+        .select(
+            *keys,
+            "day",
+            "t",
+            "lines",
+            "next_reversal_at",
+            # Whole minutes between two zone-less times: no session zone (and
+            # so no daylight-saving shift) takes part.
+            F.timestamp_diff("MINUTE", F.col("t"), F.col("next_reversal_at")).cast("bigint").alias("minutes_to_reversal"),
+        )
+    )
 
-    nxt = same.join(later, keys + ["day"]).withColumn(
-        "next_reversal_at", F.least("same_day_next", "later_day_next")
-    ).where(F.col("next_reversal_at").isNotNull())
-    return s.join(nxt.select(*keys, "day", "t", "next_reversal_at"), keys + ["day", "t"]).select(
-        *keys,
-        "invoice_no",
-        F.col("t").alias("sale_at"),
-        "next_reversal_at",
-        # Whole minutes between two zone-less times: no session zone (and so
-        # no daylight-saving shift) takes part.
-        F.timestamp_diff("MINUTE", F.col("t"), F.col("next_reversal_at")).cast("bigint").alias("minutes_to_reversal"),
+
+def reversal_delay(sales: DataFrame, cancels: DataFrame) -> DataFrame:
+    """For each reversed sale line, minutes until its earliest matching reversal.
+
+    The as-of answer is computed on the (key, day, time) grid
+    (``next_reversal_grid``); an equi-join carries it back to the sale lines
+    (adaptive execution splits skewed join partitions).
+    """
+    keys = list(MATCH_KEYS)
+    lines = sales.select(*keys, "invoice_no", F.col("invoice_date").alias("t")).withColumn("day", F.to_date("t"))
+    grid = next_reversal_grid(sales, cancels).drop("lines")
+    return lines.join(grid, keys + ["day", "t"]).select(
+        *keys, "invoice_no", F.col("t").alias("sale_at"), "next_reversal_at", "minutes_to_reversal"
     )

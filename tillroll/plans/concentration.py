@@ -219,15 +219,22 @@ def reversal_bracket(sales: DataFrame, cancels: DataFrame) -> DataFrame:
 
 
 def reversal_delay_summary(sales: DataFrame, cancels: DataFrame) -> DataFrame:
-    """Reversed sale lines and the minutes to their earliest reversal."""
-    from tillroll.operators.reversal import reversal_delay
+    """Reversed sale lines and the minutes to their earliest reversal,
+    aggregated on the (key, day, time) grid weighted by its line counts."""
+    from tillroll.operators.reversal import next_reversal_grid
 
-    d = reversal_delay(sales, cancels)
-    return d.agg(
-        F.count(F.lit(1)).alias("reversed_sale_lines"),
+    g = next_reversal_grid(sales, cancels)
+    agg = g.agg(
+        F.sum("lines").alias("reversed_sale_lines"),
         F.min("minutes_to_reversal").alias("fastest_minutes"),
         F.max("minutes_to_reversal").alias("slowest_minutes"),
-        round_div(F.sum("minutes_to_reversal"), F.count(F.lit(1)), 1).alias("mean_minutes"),
+        F.sum(F.col("minutes_to_reversal") * F.col("lines")).alias("__m"),
+    )
+    return agg.select(
+        F.coalesce(F.col("reversed_sale_lines"), F.lit(0)).cast("bigint").alias("reversed_sale_lines"),
+        "fastest_minutes",
+        "slowest_minutes",
+        round_div("__m", "reversed_sale_lines", 1).alias("mean_minutes"),
     )
 
 
