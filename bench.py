@@ -21,7 +21,6 @@ import re
 import statistics
 import sys
 import time
-import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -34,12 +33,13 @@ def main() -> None:
 
     from tillroll.registry import JOBS
     from tillroll.relations import Relations
-    from tillroll.session import build_session, ensure_checkpoint_dir
+    from tillroll.session import build_session
     from tillroll.sources.files import read_raw_parquet, write_raw_parquet
     from tillroll.sources.star import raw_from_star
+    from tillroll.storage import fresh_path
 
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(8, cpus), app="tillroll-bench")
-    scratch = ensure_checkpoint_dir(spark).rstrip("/") + f"/bench-raw-{uuid.uuid4().hex[:8]}"
+    scratch = fresh_path(spark, "bench-raw")
 
     t0 = time.perf_counter()
     write_raw_parquet(raw_from_star(spark, sf_dir), scratch)

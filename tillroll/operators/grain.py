@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.storage import written
+
 
 def dataset_end(sales: DataFrame) -> DataFrame:
     """One row: the last order date of this basis ("now" of the data)."""
@@ -75,12 +77,9 @@ def latest_by(df: DataFrame, key: str, value: str, order: list[str]) -> DataFram
 def reuse(df: DataFrame) -> DataFrame:
     """Compute a relation once for a report that reads it several times.
 
-    Customer-grain inputs feed both exact quantiles and plain aggregates; a
-    reliable checkpoint (files in the cluster's checkpoint directory, not
-    executor memory) evaluates the upstream lines once, survives executor
-    loss and cuts the lineage the later branches would otherwise replay.
+    Customer-grain inputs feed both exact quantiles and plain aggregates;
+    files in the shared folder (not executor memory) evaluate the upstream
+    lines once, survive executor loss and cut the lineage the later branches
+    would otherwise replay.
     """
-    from tillroll.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return written(df, "reuse")

@@ -4,26 +4,28 @@
 one task (``Exchange SinglePartition``).  ``global_rank`` keeps the work spread:
 
 1. ``repartitionByRange`` on the (total) order -> N sorted, disjoint ranges;
-2. per range: row count and sums of the running measures (a map-side scan);
-3. exclusive prefix offsets over the N per-range rows (N = partition count, a
-   proven bound, so this tiny table is broadcast);
-4. rank = range offset + position inside the range; running sum likewise.
-
-The sorted ranges are checkpointed (reliably, to the cluster's checkpoint
-directory) before the two branches read them, so both see the same cut even
-if the input is recomputed or an executor is lost.  Callers must give a
-*total* order (add the key as the last sort column) so ties are deterministic.
+   each row is given its range number and its position there, as columns, and
+   the ranges are written once to the shared folder;
+2. per range: row count and sums of the running measures, one row each
+   (N = partition count, a proven bound, so this tiny table is broadcast)
+   -> exclusive prefix offsets;
+3. rank = range offset + position; running sum = range offset + a window sum
+   inside the range.
+
+Range and position are data, not properties of the task that reads them, so
+the result may be united, coalesced or limited like any other DataFrame.
+Callers must give a *total* order (add the key as the last sort column) so
+ties are deterministic.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tillroll.storage import written
 
 _PID = "__range_id"
 _POS = "__range_pos"
@@ -48,85 +50,40 @@ def global_rank(
     """Add a 1-based global row number and inclusive running sums.
 
     ``running`` maps output names to *integral* expressions (counts, pence);
-    integer sums are exact and order-independent, so results are reproducible.
-    ``total_col`` (optional) names a column with the total row count, taken
-    from the per-range table, so no extra pass over the data is needed.
+    integer sums are exact and order-independent, so results are reproducible,
+    and a NULL measure adds nothing.  ``total_col`` (optional) names a column
+    with the total row count, taken from the per-range table, so no extra pass
+    over the data is needed.
     """
     running = dict(running or {})
-    measure_names = [f"__m{i}" for i in range(len(running))]
+    sums = [f"__m{i}" for i in range(len(running))]
     n = _num_ranges(df, num_partitions)
 
-    base = df
-    for name, expr in zip(measure_names, running.values()):
-        base = base.withColumn(name, expr.cast("long"))
-    # The range bounds come from a sample of the input, so two evaluations of
-    # the exchange may cut differently.  A reliable checkpoint (files in the
-    # cluster's checkpoint directory) fixes one cut for both branches below and
-    # for any task retry; it also ends the lineage of the ranked relation.
-    from tillroll.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = base.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
-    ranged = ranged.checkpoint(eager=True)
-
-    if running:
-        local = _local_scan(ranged, measure_names)
-    else:
-        local = ranged.withColumn(_PID, F.spark_partition_id()).withColumn(
-            _POS, F.monotonically_increasing_id() - F.shiftleft(F.col(_PID).cast("long"), 33)
-        )
-
-    # One row per range: its size and measure totals -> exclusive prefix offsets.
-    # Read straight from the (reused) range exchange, so the Python scan runs once.
-    stats = ranged.withColumn(_PID, F.spark_partition_id()).groupBy(_PID).agg(
-        F.count(F.lit(1)).alias(_ROWS), *[F.sum(m).alias(f"{m}_t") for m in measure_names]
+    base = df.withColumns({m: F.coalesce(e.cast("long"), F.lit(0)) for m, e in zip(sums, running.values())})
+    ranged = written(
+        base.repartitionByRange(n, *order_by)
+        .sortWithinPartitions(*order_by)
+        .withColumn(_PID, F.spark_partition_id())
+        # The low 33 bits count the rows of a partition in order.
+        .withColumn(_POS, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
+        "ranges",
     )
+
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    stats = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias(_ROWS), *[F.sum(m).alias(f"{m}_t") for m in sums])
     extra = [F.sum(_ROWS).over(Window.partitionBy()).alias(total_col)] if total_col else []
     offsets = stats.select(
         _PID,
         *extra,
         F.coalesce(F.sum(_ROWS).over(before), F.lit(0)).alias(_BASE),
-        *[F.coalesce(F.sum(f"{m}_t").over(before), F.lit(0)).alias(f"{m}_b") for m in measure_names],
+        *[F.coalesce(F.sum(f"{m}_t").over(before), F.lit(0)).alias(f"{m}_b") for m in sums],
     )
+    within = Window.partitionBy(_PID).orderBy(_POS).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.withColumns({f"{m}_c": F.sum(m).over(within) for m in sums})
     out = local.join(F.broadcast(offsets), _PID).withColumn(rank_col, F.col(_BASE) + F.col(_POS) + 1)
-    for name, m in zip(running.keys(), measure_names):
+    for name, m in zip(running, sums):
         out = out.withColumn(name, F.col(f"{m}_b") + F.col(f"{m}_c"))
-    drop = [_PID, _POS, _BASE] + measure_names + [f"{m}_b" for m in measure_names] + [
-        f"{m}_c" for m in measure_names
-    ]
-    return out.drop(*drop)
-
-
-def _local_scan(ranged: DataFrame, measure_names: list[str]) -> DataFrame:
-    """Position and running sums inside each range (one vectorised pass)."""
-    schema = T.StructType(
-        list(ranged.schema.fields)
-        + [T.StructField(_PID, T.IntegerType(), False), T.StructField(_POS, T.LongType(), False)]
-        + [T.StructField(f"{m}_c", T.LongType(), True) for m in measure_names]
-    )
-
-    def scan(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        seen = 0
-        carry = {m: 0 for m in measure_names}
-        for pdf in batches:
-            rows = len(pdf)
-            if rows == 0:
-                continue
-            pdf[_PID] = np.int32(pid)
-            pdf[_POS] = np.arange(seen, seen + rows, dtype=np.int64)
-            seen += rows
-            for m in measure_names:
-                vals = pdf[m].fillna(0).astype(np.int64).to_numpy()
-                cum = np.cumsum(vals) + carry[m]
-                carry[m] = int(cum[-1])
-                pdf[f"{m}_c"] = pd.Series(cum, index=pdf.index)
-            yield pdf
-
-    return ranged.mapInPandas(scan, schema)
+    return out.drop(_PID, _POS, _BASE, *[c for m in sums for c in (m, f"{m}_b", f"{m}_c")])
 
 
 def ntile_from_rank(rank: Column, total: Column, buckets: int) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 from tillroll.plans import quality, sales
 from tillroll.relations import Relations
+from tillroll.storage import fresh_path
 
 Job = Callable[[Relations], DataFrame]
 
@@ -163,13 +164,10 @@ JOBS["first_second_purchase"] = lambda r: as_output(r.first_second)
 def _csv_roundtrip(r: Relations) -> DataFrame:
     """Write the raw lines as CSV (result sink) into the shared checkpoint folder,
     read them back with the typed CSV source and profile what came back."""
-    import uuid
-
     from tillroll.plans.quality import raw_profile
-    from tillroll.session import ensure_checkpoint_dir
     from tillroll.sources.files import read_raw_csv, write_result_csv
 
-    path = ensure_checkpoint_dir(r.spark).rstrip("/") + f"/raw-csv-{uuid.uuid4().hex[:12]}"
+    path = _scratch(r, "raw-csv")
     write_result_csv(r.raw, path, single_file=False)
     return raw_profile(read_raw_csv(r.spark, path))
 
@@ -191,11 +189,7 @@ for _m, _col in (("m_high_value_active", "high_value_active_customers"),
 
 
 def _scratch(r: Relations, name: str) -> str:
-    import uuid
-
-    from tillroll.session import ensure_checkpoint_dir
-
-    return ensure_checkpoint_dir(r.spark).rstrip("/") + f"/{name}-{uuid.uuid4().hex[:12]}"
+    return fresh_path(r.spark, name)
 
 
 def _read_raw_csv(r: Relations) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tillroll.operators import reversal
 from tillroll.operators.grain import invoice_grain, reuse
 from tillroll.plans import clean
+from tillroll.storage import fresh_path
 
 
 class Relations:
@@ -92,12 +93,10 @@ class Relations:
     def materialise(self, path: str | None = None) -> "Relations":
         """Write the corrected-basis sales once and read them back.
 
-        ``path`` defaults to a folder under the cluster's shared checkpoint
-        directory; the written table also cuts the lineage of later jobs.
+        ``path`` defaults to a folder of this call's own under the shared
+        checkpoint directory; the written table also cuts the lineage of later jobs.
         """
-        from tillroll.session import ensure_checkpoint_dir
-
-        target = path or ensure_checkpoint_dir(self.spark).rstrip("/") + "/tillroll-net-sales"
+        target = path or fresh_path(self.spark, "net-sales")
         self.net.write.mode("overwrite").parquet(target)
         self.__dict__["net"] = self.spark.read.parquet(target)
         for name in ("grain_net", "cadence_net", "first_second"):

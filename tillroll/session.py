@@ -6,11 +6,10 @@ Library code never builds its own session: every job takes the caller's
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
+from tillroll.storage import shared_dir
+
 # Settings every job relies on: zone-less time handling, adaptive execution
 # (runtime coalescing of small shuffles, skew-join splitting) and no UI server.
 BASE_CONF = {
@@ -44,22 +43,5 @@ def build_session(
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    shared_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint directory the cluster names.
-
-    The cluster's ``spark.checkpoint.dir`` wins.  Only when nothing is set
-    (a bare local test session) do we create a private scratch directory.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="tillroll-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir()

@@ -14,7 +14,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tillroll.plans.clean import cancellations, valid_sales
 from tillroll.schema import RAW_SCHEMA
-from tillroll.session import ensure_checkpoint_dir
 
 
 def raw_stream(spark: SparkSession, source_dir: str, fmt: str = "csv", max_files_per_trigger: int | None = None):
@@ -32,17 +31,17 @@ def start_clean_ingest(
     source_dir: str,
     sales_out: str,
     cancels_out: str,
+    checkpoint_root: str,
     fmt: str = "csv",
-    checkpoint_root: str | None = None,
     available_now: bool = False,
     processing_time: str = "1 minute",
 ) -> list[StreamingQuery]:
     """Start the two append streams; returns the running queries.
 
-    Checkpoints default to folders under the cluster's shared checkpoint
-    directory, so a restarted driver resumes where it stopped.
+    ``checkpoint_root`` is a folder on shared storage that outlives the
+    driver, so a restarted stream resumes where it stopped.
     """
-    root = (checkpoint_root or ensure_checkpoint_dir(spark)).rstrip("/")
+    root = checkpoint_root.rstrip("/")
     raw = raw_stream(spark, source_dir, fmt)
     outputs = [
         (valid_sales(raw), sales_out, "order_month", "sales"),

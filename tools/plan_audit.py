@@ -14,7 +14,6 @@ import argparse
 import os
 import re
 import sys
-import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -110,12 +109,13 @@ def main() -> None:
 
     from tillroll.registry import JOBS
     from tillroll.relations import Relations
-    from tillroll.session import build_session, ensure_checkpoint_dir
+    from tillroll.session import build_session
+    from tillroll.storage import fresh_path
     from tillroll.sources.files import read_raw_parquet, write_raw_parquet
     from tillroll.sources.star import raw_from_star
 
     spark = build_session()
-    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/audit-raw-{uuid.uuid4().hex[:8]}"
+    path = fresh_path(spark, "audit-raw")
     write_raw_parquet(raw_from_star(spark, args.sf_dir), path)
     keys = [args.show] if args.show else list(JOBS)
     for key in keys:
