@@ -32,8 +32,10 @@ MIN_WORDS = 10
 REPEAT_PERCENT = 20
 
 ITERATIONS = 25
-#: Where expectation-maximisation starts: share of good documents, and chance that a vote is right.
-PRIOR_GOOD, PRIOR_RIGHT = 0.85, 0.8
+#: Where expectation-maximisation starts: the share of good documents, and how often a rule votes
+#: (bad, good, abstains) on a good and on a bad document.  Junk is of many kinds, so a rule sees only
+#: some of it, but seldom blames a good document.
+PRIOR_GOOD, VOTES_ON_GOOD, VOTES_ON_BAD = 0.85, (0.01, 0.88, 0.11), (0.40, 0.45, 0.15)
 #: Pseudo-counts of votes (share of all documents) that keep accuracies off 0 and 1.
 SMOOTHING = 0.001
 
@@ -49,10 +51,10 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def measures(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, text, ...) -> ``keep`` columns and the counts the rules are about."""
-    keep = ["doc_id"] if keep is None else keep
+    """(doc_id, text, ...) -> the counts the rules are about, and ``doc``, a struct of the ``keep`` columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = _once(docs.select(*keep, "text"), __words=words_of(F.col("text")))
+    kept = F.struct(*[F.col(c) for c in keep or ["doc_id"]])
+    base = _once(docs.select(kept.alias("doc"), "text"), __words=words_of(F.col("text")))
     n = F.size("__words")
     # A hash of each window; hashes of a row are compared with each other only.
     windows = F.when(
@@ -60,7 +62,9 @@ def measures(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(F.col("__words"), i + k) for k in range(WINDOW)])),
     ).otherwise(F.array().cast("array<bigint>"))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "")
-    base = _once(base, __windows=windows, __lines=lines)
+    stutters = F.size(F.filter("__words", lambda x, i: F.get(F.col("__words"), i - 1) == x))
+    marks = F.size(F.filter("__words", lambda x: F.translate(x, SYMBOLS, "") == ""))
+    base = _once(base, __windows=windows, __lines=lines, __stutters=stutters, __marks=marks)
     # Only rows with a repeated window go on to sort theirs.
     repeats = F.size(F.array_distinct("__windows")) < F.size("__windows")
     placed = F.when(
@@ -93,13 +97,15 @@ def measures(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     letters = F.regexp_replace(solid, r"[\p{L}\p{M}]+", "")
     upper = F.regexp_replace(solid, r"\p{Lu}+", "")
     return base.select(
-        *keep,
+        "doc",
         F.size("__words").cast("long").alias("n_words"),
         F.length(solid).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("__lines").cast("long").alias("n_lines"),
+        F.col("__stutters").cast("long").alias("n_stutters"),
+        F.col("__marks").cast("long").alias("n_marks"),
         (F.length(solid) - F.length(letters)).cast("long").alias("n_letters"),
         (F.length(solid) - F.length(upper)).cast("long").alias("n_upper"),
     )
@@ -119,16 +125,18 @@ def _vote(good: Column, bad: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Votes: 1 good, 0 bad, null abstains between the two limits."""
+    """Votes: 1 good, 0 bad, null abstains between the two limits.  Each kind of junk is seen by two rules or more."""
     length = _share("word_chars", "n_words")
     return {
-        "words": _vote(F.col("n_words") >= 20, F.col("n_words") < 12),
+        "words": _vote(F.col("n_words") >= 20, F.lit(False)),
         "word_length": _vote(length.between(2.5, 8.5), (length < 2.0) | (length > 12)),
-        "symbols": _vote(_share("n_symbols", "n_words") < 0.05, _share("n_symbols", "n_words") > 0.1),
-        "letters": _vote(_share("n_letters", "word_chars") > 0.9, _share("n_letters", "word_chars") < 0.75),
-        "upper": _vote(_share("n_upper", "n_letters") < 0.2, _share("n_upper", "n_letters") > 0.4),
-        "lines": _vote(F.col("n_dup_lines") == 0, _share("n_dup_lines", "n_lines") > 0.3),
-        "repeats": _vote(_share("n_repeat_words", "n_words") < 0.05, _share("n_repeat_words", "n_words") > 0.2),
+        "symbols": _vote(_share("n_symbols", "n_words") < 0.02, _share("n_symbols", "n_words") > 0.1),
+        "marks": _vote(_share("n_marks", "n_words") < 0.02, _share("n_marks", "n_words") > 0.1),
+        "letters": _vote(_share("n_letters", "word_chars") > 0.8, _share("n_letters", "word_chars") < 0.72),
+        "upper": _vote(_share("n_upper", "n_letters") < 0.15, _share("n_upper", "n_letters") > 0.4),
+        "lines": _vote(_share("n_dup_lines", "n_lines") < 0.35, _share("n_dup_lines", "n_lines") > 0.5),
+        "repeats": _vote(_share("n_repeat_words", "n_words") < 0.12, _share("n_repeat_words", "n_words") > 0.15),
+        "stutter": _vote(_share("n_stutters", "n_words") < 0.05, _share("n_stutters", "n_words") > 0.2),
     }
 
 
@@ -154,12 +162,7 @@ def fit(votes: DataFrame, names: list[str], iterations: int = ITERATIONS) -> dic
     a triple per rule.
     """
     patterns = written(votes.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("__n")).coalesce(1), "patterns")
-    half = (1 - PRIOR_RIGHT) / 2
-    params = {
-        "prior": PRIOR_GOOD,
-        "good": {n: (half, PRIOR_RIGHT, half) for n in names},
-        "bad": {n: (PRIOR_RIGHT, half, half) for n in names},
-    }
+    params = {"prior": PRIOR_GOOD, "good": dict.fromkeys(names, VOTES_ON_GOOD), "bad": dict.fromkeys(names, VOTES_ON_BAD)}
     kinds = [lambda c: c == 0, lambda c: c == 1, lambda c: c.isNull()]
     for _ in range(iterations):
         weighed = patterns.withColumn("__g", F.col("__n") * posterior(names, params))
@@ -184,7 +187,7 @@ def fit(votes: DataFrame, names: list[str], iterations: int = ITERATIONS) -> dic
 
 
 def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Measures, votes, ``base_failed``, ``p_good`` and ``kept`` of each document."""
+    """Measures, votes, ``base_failed``, ``p_good`` and ``kept`` of each document, beside ``doc`` with its ``keep`` columns."""
     measured = written(measures(docs, keep), "measures")
     ours = rules()
     names = [f"v_{n}" for n in ours]
@@ -197,5 +200,5 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 def op6_quality(spark, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents"))
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good"
+        "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good"
     )

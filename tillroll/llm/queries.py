@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from tillroll.llm import chat, licenses, mixing
+from tillroll.llm import chat, licenses, minhash, mixing, quality
 
 JOBS = {
     "op2_licenses": licenses.op2_licenses,
+    "op3_minhash": minhash.op3_minhash,
     "op5_mixing": mixing.op5_mixing,
+    "op6_quality": quality.op6_quality,
     "op8_chat": chat.op8_chat,
 }
 
 ORACLE = {
+    "op3_minhash": minhash.op3_minhash,
     "op5_mixing": mixing.ORACLE,
     "op8_chat": chat.ORACLE,
 }
