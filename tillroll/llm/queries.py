@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from tillroll.llm import chat, licenses, minhash, mixing, quality
+from tillroll.llm import chat, licenses, minhash, mixing, pieces, pii, quality, rollup, topk
 
 JOBS = {
+    "op1_topk": topk.op1_topk,
     "op2_licenses": licenses.op2_licenses,
     "op3_minhash": minhash.op3_minhash,
+    "op4_rollup": rollup.op4_rollup,
     "op5_mixing": mixing.op5_mixing,
     "op6_quality": quality.op6_quality,
+    "op7_pieces": pieces.op7_pieces,
     "op8_chat": chat.op8_chat,
+    "op9_pii": pii.op9_pii,
 }
 
 ORACLE = {
+    "op1_topk": topk.ORACLE,
+    "op4_rollup": rollup.ORACLE,
     "op3_minhash": minhash.op3_minhash,
     "op5_mixing": mixing.ORACLE,
     "op8_chat": chat.ORACLE,
