@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillroll.llm import chat, licenses, minhash, mixing, pieces, pii, quality, rollup, topk
+from tillroll.llm import chat, licenses, minhash, mixing, pieces, pii, quality, repeats, rollup, topk
 
 JOBS = {
     "op1_topk": topk.op1_topk,
@@ -14,6 +14,7 @@ JOBS = {
     "op7_pieces": pieces.op7_pieces,
     "op8_chat": chat.op8_chat,
     "op9_pii": pii.op9_pii,
+    "op10_repeats": repeats.op10_repeats,
 }
 
 ORACLE = {
