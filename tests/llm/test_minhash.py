@@ -99,3 +99,19 @@ def test_registers_agree_as_the_sets_do(similar):
         merged = minhash.sketch(np.unique(np.concatenate([a, b])), np.array([0, len(np.unique(np.concatenate([a, b])))]))
         assert (np.maximum(r[0], r[1]) == merged[0]).all()  # mergeable
     assert abs(np.mean(near) - similar) < 0.03
+
+
+def test_crowd_of_uneven_copies(documents_of):
+    """Copies changed so much that only those near the original are linked, through it or each other."""
+    import random
+
+    rng = random.Random(9)
+    rows = []
+    for d in range(150):
+        words = [f"c{i}" for i in range(150)]
+        for _ in range(rng.randrange(0, 9)):
+            words[rng.randrange(150)] = f"m{d}x{rng.randrange(1000)}"
+        rows.append((d, " ".join(words)))
+    expected = brute_force(rows)
+    assert 1 < len({c for _, _, c, _ in expected}) < 150
+    assert got(minhash.near_duplicates(documents_of(rows))) == expected

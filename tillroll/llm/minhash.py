@@ -11,12 +11,16 @@
    equal registers are as likely as the sets are similar.
 3. Bands of ``ROWS`` registers are hashed; classes that share a band are
    candidates.  In each band's bucket, every class is first compared with the
-   smallest one only.  Linked classes become components, and then only classes
-   of a bucket that are still in different components are compared, those
-   outside the bucket's largest component with the rest.  So a bucket of near
-   copies costs as many comparisons as it has members, and no pair that could
-   join two components is left out or capped.
-4. A pair is dropped if the joint likelihood of both sketches (given the exact
+   smallest one only, and linked classes become components.
+4. For the classes of buckets that still hold several components, the shingles
+   that no other such class has are counted.  They can't be shared, which bounds
+   the similarity to any partner.  Each bucket's class with the smallest part of
+   them, the one nearest to all, is compared with those of other components; then
+   those outside the bucket's largest component with the rest, where the bounds
+   of both allow a link.  So a bucket of near copies costs about as many
+   comparisons as it has members, and no pair that could join two components is
+   left out or capped.
+5. A pair is dropped if the joint likelihood of both sketches (given the exact
    set sizes) rules out the threshold; what is left is verified on full sets,
    made from the two texts.
 
@@ -187,6 +191,40 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return met.mapInArrow(scan, "a long, b long").distinct()
 
 
+def _own_shingles(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """How many shingles of each class no other class in ``reps`` has: (rep, own)."""
+
+    def scan(batches):
+        for batch in batches:
+            for part in slices(batch, 1):
+                values, begins, _ = shingle_hashes(part.column(1))
+                rows = np.repeat(np.arange(part.num_rows), np.diff(begins))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(values.view(np.int64))], names=["rep", "s"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps, "rep", "left_semi")
+    shingles = texts.mapInArrow(scan, "rep long, s long")
+    alone = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep"))
+    own = alone.where("c = 1").groupBy(F.col("rep").alias("__r")).agg(F.count(F.lit(1)).alias("own"))
+    sizes = reps.join(own, F.col("rep") == F.col("__r"), "left")
+    return sizes.select("rep", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def _shares_enough(shared, n_a, n_b):
+    """|A n B| is at least t / (1 + t) of |A| + |B| if the similarity is at least t."""
+    return shared * (THRESHOLD[0] + THRESHOLD[1]) >= (n_a + n_b) * THRESHOLD[0]
+
+
+def _may_link(n_a, shared_a, n_b, shared_b):
+    return _length_fits(n_a, n_b) & _shares_enough(F.least(shared_a, shared_b), n_a, n_b)
+
+
+def _apart_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) whose classes are in different components."""
+    side = lambda x: labels.select(F.col("node").alias(f"__{x}"), F.col("label").alias(f"label_{x}"))
+    met = pairs.distinct().join(side("a"), F.col("a") == F.col("__a"), "left").join(side("b"), F.col("b") == F.col("__b"), "left")
+    return met.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id, kept; one row per row of ``docs``."""
     docs = docs.select("doc_id", "text")
@@ -215,28 +253,46 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = written(_verified(written(_likely(stars, classes), "likely"), docs), "links")
     labels = components(links)
 
-    # What is still apart within a bucket.
-    own = labels.select(F.col("node").alias("__node"), "label")
-    apart = members.where("size > 2").join(own, F.col("rep") == F.col("__node"), "left").select(
-        "key", "rep", "n", "leader", F.coalesce("label", "rep").alias("label")
-    )
-    apart = written(apart, "apart")
-    counts = apart.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    largest = counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
-    mixed = largest.where("labels > 1").select(F.col("key").alias("__key"), F.col("top.label").alias("top"))
-    minor = apart.join(mixed, F.col("key") == F.col("__key")).where("label != top").where("rep != leader")
-    minor = minor.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), "top")
-    rest = apart.where("rep != leader").select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    pairs = minor.join(rest, "key").where(
+    def apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several components: their label, and the bucket's largest one."""
+        own = labels.select(F.col("node").alias("__node"), F.col("label").alias("__label"))
+        rows = rows.join(own, F.col("rep") == F.col("__node"), "left").withColumn("label", F.coalesce("__label", "rep"))
+        counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+        largest = counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
+        mixed = largest.where("labels > 1").select(F.col("key").alias("__key"), F.col("top.label").alias("top"))
+        return written(rows.join(mixed, F.col("key") == F.col("__key")).drop("__key", "__node", "__label"), "apart")
+
+    still = apart(members.where("size > 2").select("key", "rep", "n", "leader"), labels)
+    # A doc_id that stands for several sets could count the shingles of one against another: it counts none.
+    several = sketched.groupBy(F.col("doc_id").alias("__several")).agg(F.min("f1").alias("x"), F.max("f1").alias("y")).where("x != y")
+    own = _own_shingles(still.select("rep").distinct(), docs).join(several, F.col("rep") == F.col("__several"), "left")
+    own = own.select(F.col("rep").alias("__rep"), F.when(F.col("x").isNull(), F.col("own")).otherwise(0).alias("own"))
+    # A class whose own shingles alone rule out a partner of any size leaves.
+    still = still.join(own, F.col("rep") == F.col("__rep")).withColumn("shared", F.col("n") - F.col("own")).where(_shares_enough(F.col("shared"), F.col("n"), F.col("n") * THRESHOLD[0] / THRESHOLD[1]))
+    still = written(still.drop("__rep", "own", "top", "label"), "apart")
+
+    nearest = still.groupBy("key").agg(F.min(F.struct((1 - F.col("shared") / F.col("n")).alias("own"), "rep", "n", "shared")).alias("l"))
+    nearest = nearest.select(F.col("key").alias("__key"), F.col("l.rep").alias("hub"), F.col("l.n").alias("hub_n"), F.col("l.shared").alias("hub_shared"))
+    near = still.join(nearest, F.col("key") == F.col("__key")).where((F.col("rep") != F.col("hub")) & (F.col("rep") != F.col("leader")) & (F.col("hub") != F.col("leader")))
+    near = near.where(_may_link(F.col("n"), F.col("shared"), F.col("hub_n"), F.col("hub_shared")))
+    pairs = _apart_pairs(near.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")), labels)
+    more = written(_verified(written(_likely(pairs, classes), "likely"), docs), "links")
+    links = links.union(more)
+    labels = components(links, labels)
+
+    rest = apart(still, labels).where("rep != leader")
+    minor = rest.where("label != top").select("key", "top", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "shared", "label")])
+    other = rest.select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "shared", "label")])
+    pairs = minor.join(other, "key").where(
         (F.col("label_a") != F.col("label_b"))
-        & ((F.col("label_b") == F.col("top")) | (F.col("a") < F.col("b")))
-        & _length_fits(F.col("n_a"), F.col("n_b"))
+        & ((F.col("label_b") == F.col("top")) | (F.col("rep_a") < F.col("rep_b")))
+        & _may_link(F.col("n_a"), F.col("shared_a"), F.col("n_b"), F.col("shared_b"))
     )
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
     likely = written(_likely(pairs, classes), "likely")
     if likely.limit(1).count():
         more = written(_verified(likely, docs), "links")
-        labels = components(links.union(more))
+        labels = components(links.union(more), labels)
 
     own = labels.select(F.col("node").alias("__node"), "label")
     component = classes.drop("registers").join(own, F.col("rep") == F.col("__node"), "left").select(
