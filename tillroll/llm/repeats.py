@@ -12,8 +12,8 @@ A byte goes if a string of ``WIDTH`` bytes that covers it also starts earlier
    runs and sends on one of each kind, so a passage that a third of all
    documents share arrives once per task, not once per document.
 3. Different runs with the same anchor may still share windows.  Only these are
-   looked up in the texts and sorted.  Tasks get all runs of their anchors.  They
-   cut them into shards, build the Burrows-Wheeler transform of each, and merge
+   looked up in the texts.  Tasks get all runs of their anchors, leave out those
+   whose bytes beside the anchor occur in no other, cut the rest into shards, build the Burrows-Wheeler transform of each, and merge
    the transforms by refining an interleave: starting from shard after shard,
    each round stably sorts the merged rows by their transform's character and
    steps to the suffix that begins with it, so after h rounds the rows are in
@@ -39,6 +39,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -65,9 +66,9 @@ _BYTE = np.random.default_rng(20240502).integers(1, 1 << 63, 256, dtype=np.uint6
 
 
 def runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: (row, start in the row, windows, anchor hash, content hash)."""
+    """Runs of windows with one anchor: (row, start in the row, windows, anchor hash, content hash, anchor's offset)."""
     n, span = len(raw), WIDTH - K + 1
-    none = tuple(np.zeros(0, np.int64) for _ in range(5))
+    none = tuple(np.zeros(0, np.int64) for _ in range(6))
     sizes = np.diff(offsets)
     n_windows = np.maximum(sizes - WIDTH + 1, 0)
     if not n_windows.sum():
@@ -99,7 +100,7 @@ def runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     with np.errstate(over="ignore"):
         content = mix64((sums[start + length - 1 + WIDTH] - sums[start]) * undo[start] + length.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
     row = row[first]
-    return row, start - offsets[row], length, grams[anchor[first]].view(np.int64), content.view(np.int64)
+    return row, start - offsets[row], length, grams[anchor[first]].view(np.int64), content.view(np.int64), anchor[first] - start
 
 
 def united(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +142,8 @@ RUN = "m long, c long, doc long, h int, at long"
 def find_runs(docs: DataFrame) -> DataFrame:
     """(doc, h, text) -> rows (m, c, doc, h, at): a run by anchor, content and place, or a span that goes.
 
-    ``at`` is the start times 128 plus the run's windows; 0 windows mean a span that goes, whose end is c.
+    ``at`` holds the start, the anchor's offset (8 bits) and the run's windows (7 bits); 0 windows mean a
+    span that goes, whose end is c.
     """
 
     def scan(batches):
@@ -152,7 +154,7 @@ def find_runs(docs: DataFrame) -> DataFrame:
             hashes = np.concatenate([p[1] for p in held])
             bases = np.cumsum([0, *[len(p[0]) for p in held[:-1]]])
             doc_at = np.concatenate([p[2] + b for p, b in zip(held, bases)])
-            start, length, anchor, content = (np.concatenate([p[k] for p in held]) for k in range(3, 7))
+            start, length, anchor, content, offset = (np.concatenate([p[k] for p in held]) for k in range(3, 8))
             firsts, later = _settle(docs, hashes, doc_at, start, length, anchor, content)
             d, s, e = united(doc_at[later], start[later], start[later] + length[later] - 1 + WIDTH)
             with np.errstate(over="ignore"):
@@ -160,7 +162,7 @@ def find_runs(docs: DataFrame) -> DataFrame:
             f = doc_at[firsts]
             columns = [
                 (anchor[firsts], deal), (content[firsts], e), (docs[f], docs[d]), (hashes[f], hashes[d]),
-                (start[firsts] * 128 + length[firsts], s * 128),
+                (start[firsts] << 15 | offset[firsts] << 7 | length[firsts], s << 15),
             ]
             arrays = [pa.array(np.concatenate(c)) for c in columns]
             return pa.RecordBatch.from_arrays(arrays, names=["m", "c", "doc", "h", "at"])
@@ -267,7 +269,7 @@ def repeated_windows(strings: list[bytes], when: np.ndarray, shard_bytes: int =
     return string[later], offset[later]
 
 
-PIECE = "m long, doc long, h int, start int, content binary"
+PIECE = "m long, doc long, h int, start int, content binary, anchor int"
 SPAN = "doc long, h int, s int, e int"
 
 
@@ -282,25 +284,45 @@ def _pieces(reps: DataFrame, docs: DataFrame) -> DataFrame:
             for part in slices(batch, 2):
                 flat = part.column(3).flatten()
                 at = flat.field(1).to_numpy()
-                start, n = at >> 7, at & 127
+                start, n, anchor = at >> 15, at & 127, (at >> 7) & 255
                 of = np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(part.column(3)).to_numpy())
                 texts = [(t.as_py() or "").encode() for t in part.column(2)]
                 content = [texts[i][b : b + k - 1 + WIDTH] for i, b, k in zip(of.tolist(), start.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [flat.field(0), part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)),
-                     pa.array(start.astype(np.int32)), pa.array(content, pa.binary())],
-                    names=["m", "doc", "h", "start", "content"],
+                     pa.array(start.astype(np.int32)), pa.array(content, pa.binary()), pa.array(anchor.astype(np.int32))],
+                    names=["m", "doc", "h", "start", "content", "anchor"],
                 )
 
     # A repeated row of a document brings its runs again, with the same places, which changes nothing.
     return met.select("doc", "h", "text", "runs").mapInArrow(scan, PIECE)
 
 
+_PIECES = pa.schema([("m", pa.int64()), ("doc", pa.int64()), ("h", pa.int32()), ("start", pa.int32()), ("content", pa.binary()), ("anchor", pa.int32())])
+
+
+def _may_share(m: list[int], content: list[bytes], anchor: list[int]) -> list[int]:
+    """Runs that may share a window with another of their anchor.
+
+    A window holds WIDTH - K bytes beside the anchor, so half of that many on one side at least:
+    a run that shares them with no other, on either side, shares no window.
+    """
+    half = (WIDTH - K) // 2
+    sides, seen = [], Counter()
+    for i, (k, c, a) in enumerate(zip(m, content, anchor)):
+        left, right = c[a - half : a] if a >= half else None, c[a + K : a + K + half]
+        own = [(k, 0, left)] * (left is not None) + [(k, 1, right)] * (len(right) == half)
+        sides.append(own)
+        seen.update(own)
+    return [i for i, own in enumerate(sides) if any(seen[x] > 1 for x in own)]
+
+
 def _sorted_spans(pieces: DataFrame, parts: int) -> DataFrame:
     """Spans that go, from merged transforms: all runs of an anchor are in one of ``parts`` tasks."""
 
     def scan(batches):
-        held = pa.Table.from_batches(list(batches), schema=pa.schema([("m", pa.int64()), ("doc", pa.int64()), ("h", pa.int32()), ("start", pa.int32()), ("content", pa.binary())]))
+        held = pa.Table.from_batches(list(batches), schema=_PIECES)
+        held = held.take(pa.array(_may_share(*(held.column(k).to_pylist() for k in ("m", "content", "anchor"))), pa.int64()))
         if not held.num_rows:
             return
         doc, h, start = (held.column(k).to_numpy() for k in ("doc", "h", "start"))
@@ -352,7 +374,7 @@ def spans(docs: DataFrame) -> DataFrame:
         .withColumn("mixed", F.min("c").over(anchor) != F.max("c").over(anchor))
     )
     judged = written(judged.where("NOT run OR later OR mixed"), "runs")
-    start = F.shiftright("at", 7)
+    start = F.shiftright("at", 15)
     end = F.when(F.col("run"), start + F.col("at").bitwiseAND(F.lit(127)) - 1 + WIDTH).otherwise(F.col("c"))
     out = judged.where("NOT run OR later").select("doc", "h", start.cast("int").alias("s"), end.cast("int").alias("e"))
 
