@@ -1,9 +1,11 @@
 """Cleaning rules and the CSV source (FIXTURES.md section 4 edge cases)."""
 
+import pytest
+
 from decimal import Decimal
 
 from tillroll.plans.clean import cancellations, valid_sales
-from tillroll.sources.files import name_columns, read_raw_csv, write_result_csv
+from tillroll.sources.files import name_columns, read_raw_csv, read_raw_parquet, write_raw_parquet, write_result_csv
 
 
 def test_invoice_prefix_is_case_sensitive_and_null_is_neither(raw_of):
@@ -67,6 +69,24 @@ def test_name_columns_and_result_export(spark, tmp_path):
     df = spark.createDataFrame([(1, 2, 3, 4, 5, 6, 7, 8)]).toDF(*[f"c{i}" for i in range(8)])
     assert name_columns(df).columns[0] == "invoice_no"
     out = tmp_path / "out"
-    write_result_csv(df, str(out))
+    write_result_csv(df, str(out), single_file_rows=10)
     files = [f for f in out.iterdir() if f.name.endswith(".csv")]
     assert len(files) == 1 and files[0].read_text().startswith("c0,c1")
+
+
+def test_one_file_needs_few_rows(spark, tmp_path):
+    with pytest.raises(ValueError, match="more than 3 rows"):
+        write_result_csv(spark.range(9), str(tmp_path / "x"), single_file_rows=3)
+    write_result_csv(spark.range(9).repartition(3), str(tmp_path / "y"))
+    assert len([f for f in (tmp_path / "y").iterdir() if f.name.endswith(".csv")]) == 3
+
+
+def test_date_bounds_prune_months(spark, raw_of, tmp_path):
+    rows = [(str(i), "A", "Mug", 1, f"2011-{m:02d}-{d:02d} 10:30", 1.0, "7", "UK") for i, (m, d) in enumerate([(1, 5), (1, 31), (2, 1), (2, 28), (3, 1)])]
+    path = str(tmp_path / "raw")
+    write_raw_parquet(raw_of(rows), path)
+    got = read_raw_parquet(spark, path, start="2011-01-31", end="2011-02-28")
+    assert sorted(r.invoice_no for r in got.collect()) == ["1", "2", "3"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(invoice_month" in plan
+    assert read_raw_parquet(spark, path).count() == 5

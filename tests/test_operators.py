@@ -118,3 +118,67 @@ def test_column_quantiles_equal_one_pass_per_column(spark):
         for g in ("x", "y"):
             for p in ("p_0_1", "p_0_5"):
                 assert both[g][f"{col}__{p}"] == single[g][p]
+
+
+def _ranked(spark, n=1000, ranges=4):
+    df = spark.range(n).select(
+        F.format_string("k%05d", (F.col("id") * 7919) % n).alias("k"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("v")
+    )
+    got = global_rank(df, [F.col("k").asc()], running={"cum": F.col("v")}, num_partitions=ranges, running_totals={"cum": "t"})
+    w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("k", F.row_number().over(Window.orderBy("k")).alias("rn"), F.coalesce(F.sum("v").over(w), F.lit(0)).alias("cum"))
+    return got, sorted(map(tuple, want.collect()))
+
+
+def _rows(df):
+    return sorted(map(tuple, df.select("k", "rn", "cum").collect()))
+
+
+def test_ranks_survive_composition(spark):
+    got, want = _ranked(spark)
+    assert _rows(got) == want
+    assert _rows(got.coalesce(1)) == want
+    assert _rows(got.union(got)) == sorted(want * 2)
+    some = _rows(got.orderBy("rn").limit(300))
+    assert some == [r for r in want if r[1] <= 300]
+    assert {r.t for r in got.collect()} == {sum(i for i in range(1000) if i % 5)}
+    empty, none = _ranked(spark, 0)
+    assert _rows(empty) == none == []
+
+
+def test_running_sums_stay_whole_above_doubles(spark):
+    big = 2**60 + 1
+    df = spark.createDataFrame([("a", big), ("b", None), ("c", 3)], "k string, v long")
+    got = global_rank(df, [F.col("k").asc()], running={"cum": F.col("v")}, num_partitions=2)
+    assert _rows(got) == [("a", 1, big), ("b", 2, big), ("c", 3, big + 3)]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_quantiles_keep_the_null_group(spark, few):
+    rows = [("a", i) for i in range(1, 10)] + [(None, i) for i in range(101, 104)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    q = exact_quantiles(df, ["g"], "v", ["0.5"], value_type="decimal(12,0)", num_partitions=3, few_groups=few)
+    assert {r.g: (r.n, float(r.p_0_5)) for r in q.collect()} == {"a": (9, 5.0), None: (3, 102.0)}
+
+
+def test_few_groups_are_not_shuffled_by_group_before_they_are_reduced(spark):
+    df = spark.range(4000).select((F.col("id") % 2).alias("g"), "id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        q = exact_quantiles(df, ["g"], "id", ["0.5"], value_type="decimal(12,0)", num_partitions=4)
+        plan = q._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BuildLeft" not in plan
+        assert sorted(float(r.p_0_5) for r in q.collect()) == [1999.0, 2000.0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from tillroll.storage import shared_dir
+
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="yarn")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *a: None)))

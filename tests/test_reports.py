@@ -74,3 +74,23 @@ def test_slicer_filters_before_aggregating(raw_of):
     sl = measures.Slicer(start="2011-02-01", countries=("UK",))
     r = measures.kpi_measures(valid_sales(raw), cancellations(raw), sl).first()
     assert r.m_net_sales == 30.0 and r.m_total_orders == 1
+
+
+def test_slicer_reaches_cancellations_only_if_asked(raw_of):
+    raw = raw_of([
+        _line("1", "a", "2011-01-05", 10.0, country="UK"), _line("2", "b", "2011-03-05", 30.0, country="FR"),
+        ("C3", "p", "P", -1, "2011-05-05", 7.0, "a", "UK"),
+    ])
+    sl = measures.Slicer(end="2011-02-01")
+    whole = measures.kpi_measures(valid_sales(raw), cancellations(raw), sl).first()
+    assert whole.m_total_orders == 1 and whole.m_cancelled_invoices == 1 and whole.m_cancellation_rate == 0.5
+    cut = measures.kpi_measures(valid_sales(raw), cancellations(raw), sl, slice_cancellations=True).first()
+    assert cut.m_cancelled_invoices == 0 and cut.m_cancellation_rate == 0.0
+
+
+def test_ratios_are_not_rounded_and_any_measure_ranks(raw_of):
+    raw = raw_of([_line(str(i), "a", "2011-01-05", p, country=c) for i, (p, c) in enumerate([(1.0, "A"), (1.0, "A"), (2.0, "A"), (5.0, "B")])])
+    by = measures.measures_by(valid_sales(raw), ["country"])
+    assert {r.country: r.m_average_order_value for r in by.collect()} == {"A": 400 / 300, "B": 5.0}
+    assert [r.country for r in measures.top_n(by, "country", "m_average_order_value", 1).collect()] == ["B"]
+    assert [r.country for r in measures.top_n_by_measure(valid_sales(raw), "country", "m_total_items", 1).collect()] == ["A"]

@@ -69,7 +69,7 @@ def test_fully_reversed_customer_leaves_the_net_basis(raw_of):
     )
     s, c = valid_sales(raw), cancellations(raw)
     rows = {r.basis: r for r in published_vs_corrected(s, valid_sales_net(s, c)).collect()}
-    assert rows["As published"].customers == 2 and rows["Corrected for reversals"].customers == 1
+    assert rows["As published (vw_valid_sales)"].customers == 2 and rows["Corrected (vw_valid_sales_net)"].customers == 1
 
 
 def test_reversal_delay_matches_pairwise_brute_force(raw_of):

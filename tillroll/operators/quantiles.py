@@ -9,7 +9,10 @@ over every customer" at cluster scale, where one task would hold the whole map.
 1. counts rows per (group, value)          -- partial aggregation, one shuffle;
 2. ranks those pairs in (group, value) order with a running count
    (``global_rank``: range partitions, no single-partition step);
-3. per group: n and the running count where the group starts;
+3. per group: n and the running count where the group starts.  Reports have a
+   handful of groups (labels), so these rows are broadcast and each task reduces
+   its ranges to a few rows; for unbounded groups the rows are salted instead,
+   so a group's values still spread over many tasks;
 4. for each p, pos = (n - 1) * p in exact decimal arithmetic; the values at
    floor(pos) and ceil(pos) are the pairs whose row interval covers them;
 5. result = lo + (hi - lo) * (pos - floor(pos)), still exact decimal.
@@ -40,8 +43,11 @@ def exact_quantiles(
     probs: Sequence[str],
     value_type: str = "decimal(20,2)",
     num_partitions: int | None = None,
+    few_groups: bool = True,
 ) -> DataFrame:
-    """One row per group with a column ``p_0_5`` (etc.) per probability.
+    """One row per group with a column ``p_0_5`` (etc.) per probability; a NULL group is a group.
+
+    ``few_groups=False`` is for groups whose number grows with the data.
 
     ``probs`` are decimal strings ("0.5", "0.9") so positions are exact.
     NULL values are ignored, as by the SQL aggregate.
@@ -57,7 +63,7 @@ def exact_quantiles(
     sizes = ranked.groupBy(*group_cols).agg(
         F.sum("__cnt").alias("__n"), F.min(F.col("__cum") - F.col("__cnt")).alias("__start")
     )
-    joined = ranked.join(sizes, group_cols, "inner") if group_cols else ranked.crossJoin(F.broadcast(sizes))
+    joined = _with_sizes(ranked, sizes, group_cols, few_groups)
     lo_idx = F.col("__cum") - F.col("__cnt") - F.col("__start")
     hi_idx = F.col("__cum") - F.col("__start") - 1
 
@@ -85,6 +91,20 @@ def exact_quantiles(
     return picked.select(*out_cols)
 
 
+def _with_sizes(ranked: DataFrame, sizes: DataFrame, group_cols: list[str], few_groups: bool) -> DataFrame:
+    if not group_cols:
+        return ranked.crossJoin(F.broadcast(sizes))
+    right = sizes.withColumnsRenamed({g: f"__g{i}" for i, g in enumerate(group_cols)})
+    same = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group_cols)]
+    drop = [f"__g{i}" for i in range(len(group_cols))]
+    if few_groups:
+        return ranked.join(F.broadcast(right), same).drop(*drop)
+    salts = int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    left = ranked.withColumn("__salt", F.pmod(F.xxhash64("__v"), F.lit(salts)).cast("int"))
+    right = right.withColumn("__salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*same, F.col("__salt") == F.col("__salt_r")]).drop(*drop, "__salt", "__salt_r")
+
+
 def column_quantiles(
     df: DataFrame,
     group_cols: Sequence[str],

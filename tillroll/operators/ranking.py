@@ -46,14 +46,16 @@ def global_rank(
     rank_col: str = "rn",
     num_partitions: int | None = None,
     total_col: str | None = None,
+    running_totals: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add a 1-based global row number and inclusive running sums.
 
     ``running`` maps output names to *integral* expressions (counts, pence);
     integer sums are exact and order-independent, so results are reproducible,
     and a NULL measure adds nothing.  ``total_col`` (optional) names a column
-    with the total row count, taken from the per-range table, so no extra pass
-    over the data is needed.
+    with the total row count, and ``running_totals`` names columns with the whole
+    sums of running measures; both come from the per-range table, so no extra
+    pass over the data is needed.
     """
     running = dict(running or {})
     sums = [f"__m{i}" for i in range(len(running))]
@@ -72,6 +74,8 @@ def global_rank(
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     stats = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias(_ROWS), *[F.sum(m).alias(f"{m}_t") for m in sums])
     extra = [F.sum(_ROWS).over(Window.partitionBy()).alias(total_col)] if total_col else []
+    whole = dict(zip(running, sums))
+    extra += [F.sum(f"{whole[m]}_t").over(Window.partitionBy()).alias(c) for m, c in (running_totals or {}).items()]
     offsets = stats.select(
         _PID,
         *extra,

@@ -158,7 +158,7 @@ def cadence_at_risk_list(cadence: DataFrame) -> DataFrame:
 
 
 # List and movement labels of the rule comparison.
-LIST_A = "A. Old rule: high-value at risk (90d + 1k spend)"
+LIST_A = "A. Old rule: high-value at risk (90d + GBP1k)"
 LIST_B = "B. Old rule: all at-risk repeat (90d, no spend floor)"
 LIST_C = "C. New rule: overdue on own cadence (2x median)"
 ON_BOTH = "On both lists"

@@ -9,15 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALES_COLUMNS = [
-    "invoice_no", "stock_code", "product_name", "quantity", "invoice_date", "unit_price",
-    "customer_id", "country", "sales_value", "order_month", "order_date",
-]
-CANCEL_COLUMNS = [
-    "invoice_no", "stock_code", "product_name", "quantity", "invoice_date", "unit_price",
-    "customer_id", "country", "cancellation_value", "cancellation_month",
-]
-
 # Fixed value: a leading capital C marks a cancellation invoice (case-sensitive).
 CANCEL_PREFIX = "C"
 

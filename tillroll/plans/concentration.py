@@ -48,7 +48,7 @@ def published_vs_corrected(sales: DataFrame, net: DataFrame) -> DataFrame:
             money(F.sum("sales_value")).alias("net_sales"),
         )
 
-    return basis(sales, "As published").unionByName(basis(net, "Corrected for reversals"))
+    return basis(sales, "As published (vw_valid_sales)").unionByName(basis(net, "Corrected (vw_valid_sales_net)"))
 
 
 def customer_spend(grain: DataFrame) -> DataFrame:
@@ -68,10 +68,9 @@ def ranked_spend(grain: DataFrame) -> DataFrame:
         [F.col("spend").desc(), F.col("customer_id").asc()],
         running={"cum_pence": as_units("spend", 2)},
         total_col="n_customers",
+        running_totals={"cum_pence": "total_pence"},
     )
-    # The last running value is the total: read it from the ranked checkpoint.
-    total = ranked.agg(F.max("cum_pence").alias("total_pence"))
-    return ranked.crossJoin(F.broadcast(total))
+    return ranked
 
 
 def pareto_test(grain: DataFrame, share: int = 80, top_pct: int = 20) -> DataFrame:
@@ -107,15 +106,16 @@ def concentration_curve(grain: DataFrame, cuts: Sequence[int] = DEFAULT_CUTS) ->
     spark = grain.sparkSession
     r = ranked_spend(grain)
     cut_df = spark.createDataFrame([(int(c),) for c in cuts], "cut long")
-    at_cut = r.where(F.col("rn").isin([int(c) for c in cuts])).select(
-        F.col("rn").alias("cut"), "cum_pence"
+    # One pass: the rows at the cuts (and the first, for the totals) are as many as the list has.
+    wanted = sorted({1, *map(int, cuts)})
+    points = r.where(F.col("rn").isin(wanted)).agg(
+        F.max("n_customers").alias("n"), F.max("total_pence").alias("t"), F.collect_list(F.struct("rn", "cum_pence")).alias("at")
     )
-    totals = r.agg(F.max("n_customers").alias("n"), F.max("total_pence").alias("t"))
+    found = F.filter("at", lambda x: x["rn"] == F.col("cut"))
     return (
         F.broadcast(cut_df)
-        .join(at_cut, "cut", "left")
-        .crossJoin(F.broadcast(totals))
-        .where(F.col("n").isNotNull())
+        .crossJoin(F.broadcast(points.where(F.col("n").isNotNull())))
+        .withColumn("cum_pence", F.get(found, F.lit(0))["cum_pence"])
         .select(
             F.col("cut").alias("top_n_customers"),
             pct("cut", "n", 1).alias("pct_of_customers"),
@@ -126,8 +126,13 @@ def concentration_curve(grain: DataFrame, cuts: Sequence[int] = DEFAULT_CUTS) ->
     )
 
 
-def home_country(net: DataFrame) -> DataFrame:
-    """Latest country per customer (by time, then invoice number, then name)."""
+def home_country(net: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Latest country per customer (by time, then invoice number, then name).
+
+    ``of``: only for these few customers (a top-k list); their lines are picked before any shuffle.
+    """
+    if of is not None:
+        net = net.join(F.broadcast(of.select("customer_id")), "customer_id", "left_semi")
     return latest_by(net, "customer_id", "country", ["invoice_date", "invoice_no", "country"])
 
 
@@ -135,7 +140,7 @@ def top10_customers(grain: DataFrame, net: DataFrame, k: int = 10) -> DataFrame:
     cs = customer_spend(grain)
     total = cs.agg(as_units(F.sum("spend"), 2).alias("__t"))
     top = cs.orderBy(F.desc("spend"), "customer_id").limit(k)
-    top = top.join(home_country(net), "customer_id").crossJoin(F.broadcast(total))
+    top = top.join(home_country(net, top), "customer_id").crossJoin(F.broadcast(total))
     w = Window.orderBy(F.desc("spend"), "customer_id")
     return top.select(
         F.row_number().over(w).cast("bigint").alias("rank"),
@@ -170,7 +175,8 @@ def top10_exposure(grain: DataFrame, k: int = 10) -> DataFrame:
 def top10_geography(grain: DataFrame, net: DataFrame, k: int = 10) -> DataFrame:
     spend = grain.groupBy("customer_id").agg(F.sum("value").alias("spend"))
     total = spend.agg(as_units(F.sum("spend"), 2).alias("__t"))
-    top = spend.orderBy(F.desc("spend"), "customer_id").limit(k).join(home_country(net), "customer_id")
+    top = spend.orderBy(F.desc("spend"), "customer_id").limit(k)
+    top = top.join(home_country(net, top), "customer_id")
     return (
         top.groupBy("country")
         .agg(F.count(F.lit(1)).alias("customers_in_top_10"), as_units(F.sum("spend"), 2).alias("__c"))

@@ -8,7 +8,7 @@ partitions + prefix offsets) instead of a single-partition window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.exact import as_units, avg_money, money, round_div
@@ -23,11 +23,6 @@ AT_RISK_REPEAT = "At-risk repeat customer"
 ONE_TIME = "One-time customer"
 AT_RISK_SEGMENTS = (HIGH_VALUE_AT_RISK, AT_RISK_REPEAT)
 
-PROFILE_COLUMNS = [
-    "customer_id", "first_order_date", "last_order_date", "dataset_end_date", "days_since_last_order",
-    "total_orders", "total_items", "total_spend", "average_order_value", "spend_quintile", "customer_segment",
-]
-
 
 def segment_rule(orders, spend, quiet, high_value=1000, quiet_days=90, min_orders=2) -> F.Column:
     repeat = orders >= min_orders
@@ -147,10 +142,11 @@ def spend_quintile_summary(profile: DataFrame) -> DataFrame:
     )
 
 
-def segment_measures(profile: DataFrame) -> DataFrame:
-    """The four segment-count KPI measures in one pass."""
+def segment_measures(profile: DataFrame, by: list[Column | str] | None = None, where: Column | None = None) -> DataFrame:
+    """The four segment-count KPI measures in one pass, of the customers in ``where``, per value of ``by``."""
     seg = F.col("customer_segment")
-    return profile.agg(
+    picked = profile if where is None else profile.where(where)
+    return picked.groupBy(*(by or [])).agg(
         F.count_if(seg == HIGH_VALUE_ACTIVE).alias("high_value_active_customers"),
         F.count_if(seg == HIGH_VALUE_AT_RISK).alias("high_value_at_risk_customers"),
         F.count_if(seg == AT_RISK_REPEAT).alias("at_risk_repeat_customers"),

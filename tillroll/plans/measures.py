@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions.exact import as_units, money, round_div
+from tillroll.functions.exact import as_units, money
 
 
 @dataclass(frozen=True)
@@ -38,8 +38,9 @@ class Slicer:
         return df.where(cond)
 
 
-def _divide0(num: Column, den: Column, digits: int) -> Column:
-    return F.coalesce(round_div(num, den, digits), F.lit(0.0))
+def _divide0(num: Column, den: Column) -> Column:
+    """The plain ratio of two whole numbers as a double, 0 where there is nothing to divide by."""
+    return F.when(den != 0, num.cast("double") / den.cast("double")).otherwise(0.0)
 
 
 def sales_measures() -> list[Column]:
@@ -49,26 +50,52 @@ def sales_measures() -> list[Column]:
         money(total).alias("m_net_sales"),
         orders.alias("m_total_orders"),
         F.countDistinct("customer_id").alias("m_unique_customers"),
-        _divide0(as_units(total, 2), orders * 100, 2).alias("m_average_order_value"),
+        _divide0(as_units(total, 2), orders * 100).alias("m_average_order_value"),
         F.coalesce(F.sum("quantity"), F.lit(0)).cast("bigint").alias("m_total_items"),
     ]
 
 
-def kpi_measures(sales: DataFrame, cancels: DataFrame, slicer: Slicer | None = None) -> DataFrame:
-    """All card measures of the three report pages, in one row."""
+def cancellation_measures() -> list[Column]:
+    return [
+        money(F.coalesce(F.sum("cancellation_value"), F.lit(0))).alias("m_cancelled_value"),
+        F.countDistinct("invoice_no").alias("m_cancelled_invoices"),
+    ]
+
+
+def _sliced_cancels(cancels: DataFrame, slicer: Slicer) -> DataFrame:
+    return slicer.apply(cancels.withColumn("__d", F.to_date("invoice_date")), "__d").drop("__d")
+
+
+def _rate() -> Column:
+    return _divide0(F.col("m_cancelled_invoices"), F.col("m_cancelled_invoices") + F.col("m_total_orders"))
+
+
+def kpi_measures(
+    sales: DataFrame, cancels: DataFrame, slicer: Slicer | None = None, slice_cancellations: bool = False
+) -> DataFrame:
+    """All card measures of the three report pages, in one row.
+
+    The report pages have no relationship from the date and country slicers to
+    the cancellations, so those stay whole unless ``slice_cancellations``.
+    """
     slicer = slicer or Slicer()
     s = slicer.apply(sales, "order_date").agg(*sales_measures())
-    c = (
-        slicer.apply(cancels.withColumn("__d", F.to_date("invoice_date")), "__d")
-        .agg(
-            money(F.coalesce(F.sum("cancellation_value"), F.lit(0))).alias("m_cancelled_value"),
-            F.countDistinct("invoice_no").alias("m_cancelled_invoices"),
-        )
-    )
-    return s.crossJoin(F.broadcast(c)).withColumn(
-        "m_cancellation_rate",
-        _divide0(F.col("m_cancelled_invoices"), F.col("m_cancelled_invoices") + F.col("m_total_orders"), 6),
-    )
+    c = (_sliced_cancels(cancels, slicer) if slice_cancellations else cancels).agg(*cancellation_measures())
+    return s.crossJoin(F.broadcast(c)).withColumn("m_cancellation_rate", _rate())
+
+
+def cancellation_measures_by(
+    sales: DataFrame, cancels: DataFrame, sales_dim: str, cancel_dim: str, name: str, slicer: Slicer | None = None
+) -> DataFrame:
+    """Cancelled value, invoices and rate per value of a dimension (a month, a product) that both relations have."""
+    if slicer:
+        sales, cancels = slicer.apply(sales, "order_date"), _sliced_cancels(cancels, slicer)
+    # One aggregate over both, so a value that occurs on one side only has its row too.
+    none = F.lit(None)
+    both = sales.select(F.col(sales_dim).alias(name), F.col("invoice_no").alias("__order"), none.cast("string").alias("invoice_no"), none.cast("decimal(38,2)").alias("cancellation_value"))
+    both = both.unionByName(cancels.select(F.col(cancel_dim).alias(name), none.cast("string").alias("__order"), "invoice_no", F.col("cancellation_value").cast("decimal(38,2)").alias("cancellation_value")))
+    out = both.groupBy(name).agg(*cancellation_measures(), F.countDistinct("__order").alias("m_total_orders"))
+    return out.withColumn("m_cancellation_rate", _rate())
 
 
 def measures_by(sales: DataFrame, dims: Sequence[str], slicer: Slicer | None = None) -> DataFrame:
@@ -100,16 +127,11 @@ def sales_by_year_month(sales: DataFrame) -> DataFrame:
     return joined.groupBy("year_month").agg(*sales_measures()).orderBy("year_month")
 
 
-_RANKABLE = {
-    "m_net_sales": lambda: F.sum("sales_value"),
-    "m_total_orders": lambda: F.countDistinct("invoice_no"),
-    "m_unique_customers": lambda: F.countDistinct("customer_id"),
-    "m_total_items": lambda: F.sum("quantity"),
-}
+def top_n(grouped: DataFrame, dim: str, measure: str, n: int) -> DataFrame:
+    """Top-N rows of any grouped measures, on any basis (ties broken by the dimension value)."""
+    return grouped.orderBy(F.desc(measure), F.asc_nulls_first(dim)).limit(n)
 
 
 def top_n_by_measure(sales: DataFrame, dim: str, measure: str, n: int, slicer: Slicer | None = None) -> DataFrame:
-    """Top-N values of ``dim`` by ``measure`` (ties broken by the dimension value)."""
-    slicer = slicer or Slicer()
-    grouped = slicer.apply(sales, "order_date").groupBy(dim).agg(_RANKABLE[measure]().alias("__m"), *sales_measures())
-    return grouped.orderBy(F.desc("__m"), F.asc_nulls_first(dim)).limit(n).drop("__m")
+    """Top-N values of ``dim`` by any of the sales measures."""
+    return top_n(measures_by(sales, [dim], slicer), dim, measure, n)

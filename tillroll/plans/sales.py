@@ -14,13 +14,6 @@ from pyspark.sql import functions as F
 from tillroll.functions.exact import as_units, money, pct, round_div
 
 
-def _kpis(orders_col: str = "orders"):
-    return [
-        money(F.sum("sales_value")).alias("net_sales"),
-        F.countDistinct("invoice_no").alias(orders_col),
-    ]
-
-
 def overall_kpis(sales: DataFrame) -> DataFrame:
     agg = sales.agg(
         F.sum("sales_value").alias("__sum"),

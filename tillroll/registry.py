@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tillroll.plans import quality, sales
 from tillroll.relations import Relations
@@ -127,6 +128,18 @@ EXAMPLE_SLICER = measures.Slicer(start="2011-03-01", end="2011-08-31", countries
 
 JOBS["m_kpi_measures"] = lambda r: measures.kpi_measures(r.sales, r.cancels)
 JOBS["filtered_kpis"] = lambda r: measures.kpi_measures(r.sales, r.cancels, EXAMPLE_SLICER)
+JOBS["filtered_kpis_sliced_cancellations"] = lambda r: measures.kpi_measures(r.sales, r.cancels, EXAMPLE_SLICER, True)
+JOBS["m_cancellations_by_month"] = lambda r: measures.cancellation_measures_by(
+    r.sales, r.cancels, "order_month", "cancellation_month", "month"
+)
+_BY_PRODUCT = ("product_name", "product_name", "product_name")
+JOBS["m_cancellations_by_product"] = lambda r: measures.cancellation_measures_by(r.sales, r.cancels, *_BY_PRODUCT)
+JOBS["top_n_cancelled_products"] = lambda r: measures.top_n(
+    measures.cancellation_measures_by(r.sales, r.cancels, *_BY_PRODUCT), "product_name", "m_cancelled_value", 5
+)
+JOBS["m_segments_by_last_month"] = lambda r: customers.segment_measures(
+    r.segments, [F.trunc("last_order_date", "month").alias("last_order_month")], F.col("total_spend") >= 500
+)
 JOBS["m_measures_by_country"] = lambda r: measures.measures_by(r.sales, ["country"])
 JOBS["date_dimension"] = lambda r: measures.date_dimension(r.sales)
 JOBS["sales_by_year_month"] = lambda r: measures.sales_by_year_month(r.sales)
@@ -137,17 +150,16 @@ JOBS["sales_all_lines"] = lambda r: extras.sales_all_lines(r.raw)
 JOBS["month_outlier_share"] = lambda r: extras.month_outlier_share(r.cancels, "cancellation_value", "cancellation_month")
 JOBS["daily_run_rate"] = lambda r: extras.daily_run_rate(r.net)
 JOBS["peak_trough_ratio"] = lambda r: extras.peak_trough_ratio(r.sales)
-JOBS["raw_preview"] = lambda r: raw_preview(r.raw)
+JOBS["raw_preview"] = lambda r: as_output(raw_preview(r.raw))
 
 # --- the base relations themselves (row-level outputs) -----------------------------------
-from pyspark.sql import functions as _F  # noqa: E402
 from pyspark.sql import types as _T  # noqa: E402
 
 
 def as_output(df: DataFrame) -> DataFrame:
     """Exact decimals leave as doubles (the agreed output type for amounts)."""
     return df.select(
-        *[_F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, _T.DecimalType) else _F.col(f.name)
+        *[F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, _T.DecimalType) else F.col(f.name)
           for f in df.schema.fields]
     )
 
@@ -168,7 +180,7 @@ def _csv_roundtrip(r: Relations) -> DataFrame:
     from tillroll.sources.files import read_raw_csv, write_result_csv
 
     path = _scratch(r, "raw-csv")
-    write_result_csv(r.raw, path, single_file=False)
+    write_result_csv(r.raw, path)
     return raw_profile(read_raw_csv(r.spark, path))
 
 
@@ -197,7 +209,7 @@ def _read_raw_csv(r: Relations) -> DataFrame:
     from tillroll.sources.files import read_raw_csv, write_result_csv
 
     path = _scratch(r, "raw-csv")
-    write_result_csv(r.raw, path, single_file=False)
+    write_result_csv(r.raw, path)
     return as_output(read_raw_csv(r.spark, path))
 
 

@@ -1,9 +1,9 @@
 """The derived relations of one raw table, built lazily and shared by jobs.
 
 Nothing here is materialised: each property is a DataFrame plan that Catalyst
-inlines (like a SQL view).  For batch runs over very large inputs, call
-``materialise`` to write the shared corrected-basis relations once to the
-cluster's checkpoint directory and let every later job read those files.
+inlines (like a SQL view).  For batch runs, ``shared=True`` writes the invoice
+grain of each basis once for all reports, and ``materialise`` does the same for
+the corrected sales; both go to the cluster's checkpoint directory.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ from tillroll.storage import fresh_path
 
 
 class Relations:
-    def __init__(self, raw: DataFrame, home_country: str = "United Kingdom"):
+    def __init__(self, raw: DataFrame, home_country: str = "United Kingdom", shared: bool = False):
         self.raw = raw
         self.home_country = home_country
+        self.shared = shared
 
     @property
     def spark(self) -> SparkSession:
@@ -37,10 +38,6 @@ class Relations:
     def sales(self) -> DataFrame:
         return clean.valid_sales(self.raw)
 
-    @cached_property
-    def sales_all_lines(self) -> DataFrame:
-        return clean.valid_sales(self.raw, require_customer=False)
-
     @cached_property
     def cancels(self) -> DataFrame:
         return clean.cancellations(self.raw)
@@ -51,13 +48,16 @@ class Relations:
 
     @cached_property
     def grain(self) -> DataFrame:
-        """Published sales at the (customer, day, invoice) grain, computed once."""
-        return reuse(invoice_grain(self.sales))
+        """Published sales at the (customer, day, invoice) grain."""
+        return self._once(invoice_grain(self.sales))
 
     @cached_property
     def grain_net(self) -> DataFrame:
-        """Corrected sales at the (customer, day, invoice) grain, computed once."""
-        return reuse(invoice_grain(self.net))
+        """Corrected sales at the (customer, day, invoice) grain."""
+        return self._once(invoice_grain(self.net))
+
+    def _once(self, df: DataFrame) -> DataFrame:
+        return reuse(df) if self.shared else df
 
     @cached_property
     def profile(self) -> DataFrame:

@@ -21,16 +21,12 @@ def read_raw_csv(spark: SparkSession, path: str, header: bool = True, encoding:
     ``decimal(12,2)`` rounds prices half-up while parsing, as the typed load
     of the original pipeline does (0.001 -> 0.00, 0.005 -> 0.01).
     """
-    return (
-        spark.read.schema(RAW_SCHEMA)
-        .option("header", header)
-        .option("encoding", encoding)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "FAILFAST")
-        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm[:ss]")
-        .csv(path)
-    )
+    return spark.read.schema(RAW_SCHEMA).options(**csv_options(header, encoding), mode="FAILFAST").csv(path)
+
+
+def csv_options(header: bool = True, encoding: str = "UTF-8") -> dict:
+    """The one CSV definition, for batch and stream."""
+    return {"header": header, "encoding": encoding, "quote": '"', "escape": '"', "timestampNTZFormat": "yyyy-MM-dd HH:mm[:ss]"}
 
 
 def name_columns(df: DataFrame) -> DataFrame:
@@ -40,20 +36,32 @@ def name_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*RAW_COLUMNS)
 
 
-def read_raw_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Raw lines from Parquet (written by ``write_raw_parquet``)."""
-    return spark.read.parquet(path).select(*RAW_COLUMNS)
+def read_raw_parquet(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Raw lines from Parquet (written by ``write_raw_parquet``).
+
+    ``start`` and ``end`` (dates, inclusive) bound the invoice time; the months
+    outside are pruned as whole directories (``PartitionFilters``).
+    """
+    raw = spark.read.parquet(path)
+    if start:
+        day = F.lit(start).cast("date")
+        raw = raw.where((F.col("invoice_month") >= start[:7]) & (F.col("invoice_date") >= day.cast("timestamp_ntz")))
+    if end:
+        day = F.date_add(F.lit(end).cast("date"), 1)
+        raw = raw.where((F.col("invoice_month") <= end[:7]) & (F.col("invoice_date") < day.cast("timestamp_ntz")))
+    return raw.select(*RAW_COLUMNS)
 
 
 def write_raw_parquet(raw: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Persist raw lines as Parquet partitioned by month.
 
-    Month partitions let month-bounded jobs (cohorts, last complete month)
-    prune whole directories; the partition column is derived, not stored twice.
+    A month is written by as many tasks as its size asks for (``rebalance``
+    splits large months and joins small ones).  The month is a string, so
+    the reader derives partition filters from date bounds.
     """
     (
         raw.withColumn("invoice_month", F.date_format("invoice_date", "yyyy-MM"))
-        .repartition("invoice_month")
+        .hint("rebalance", "invoice_month")
         .write.mode(mode)
         .partitionBy("invoice_month")
         .parquet(path)
@@ -61,18 +69,21 @@ def write_raw_parquet(raw: DataFrame, path: str, mode: str = "overwrite") -> Non
 
 
 def raw_preview(raw: DataFrame, n: int = 10) -> DataFrame:
-    """The first rows of the raw table (no order: for eyeballing only)."""
-    return raw.limit(n)
+    """The first rows of the raw table in the order of its columns (nulls first): a top-k, for eyeballing."""
+    return raw.orderBy(*[F.col(c).asc_nulls_first() for c in RAW_COLUMNS]).limit(n)
 
 
-def write_result_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = True) -> None:
-    """Export a result table to CSV with a header.
+def write_result_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file_rows: int | None = None) -> None:
+    """Export a result table to CSV with a header, one file per task.
 
-    Result tables are aggregates (a few hundred rows); ``single_file`` folds
-    them into one file.  With ``single_file=False`` every task writes its own
-    part, so large tables (a raw extract) are written in parallel.
+    ``single_file_rows``: write one file instead; the result must have no more
+    rows than this (``ValueError`` otherwise, before anything is written).
     """
-    out = df.coalesce(1) if single_file else df
+    out = df
+    if single_file_rows is not None:
+        if df.limit(single_file_rows + 1).count() > single_file_rows:
+            raise ValueError(f"more than {single_file_rows} rows for one file")
+        out = df.coalesce(1)
     (
         out.write.mode(mode)
         .option("header", True)

@@ -2,7 +2,7 @@
 
 This is test plumbing: the engine's jobs take a raw invoice-line DataFrame and
 never look at star tables.  The mapping (from FIXTURES.md) compresses seven
-order years into one trading year from 2010-12-01, synthesises cancellations
+order years into one trading year from 2010-12-01, keeps every line, synthesises cancellations
 from returned lines, and plants nulls, zero quantities/prices and fee lines.
 
 Everything is DataFrame code: small dimensions (part, customer, nation) join
@@ -23,7 +23,10 @@ from tillroll.schema import RAW_COLUMNS
 ORIGIN = "2010-12-01"
 YEAR_SQUEEZE = 6.5
 FOLD_MOD, FOLD_INTO = 11, 330
-KEEP_ONE_IN = 7
+ONCE_MOD, OWN_INVOICE_MOD = 3, 7
+ONCE_INVOICE, ONCE_DAYS = 1_000_000_000_000, 300
+EARLY_STOPS = ((2, 1, 321), (4, 2, 351))
+OPENS, OPEN_MINUTES, SAME_DAY_MOD = 480, 600, 3
 NULL_CUSTOMER_MOD = 10
 NULL_NAME_MOD, FEE_MOD, MANUAL_MOD = 50, 53, 59
 ZERO_QTY_MOD, ZERO_PRICE_MOD = 41, 37
@@ -39,19 +42,27 @@ def _day_no(ts) -> F.Column:
     return F.floor(days / F.lit(YEAR_SQUEEZE)).cast("int")
 
 
-def _at_day(day_no) -> F.Column:
-    return F.date_add(F.lit(ORIGIN).cast("date"), day_no).cast("timestamp_ntz")
+def _at(day_no, minute) -> F.Column:
+    day = F.date_add(F.lit(ORIGIN).cast("date"), day_no).cast("timestamp_ntz")
+    return F.timestamp_add("MINUTE", (OPENS + F.pmod(minute, F.lit(OPEN_MINUTES))).cast("int"), day)
 
 
 def raw_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw invoice lines (8 columns, RAW_SCHEMA types) built from star tables."""
+    cust, folded = F.col("o_custkey"), F.col("o_custkey") % FOLD_MOD == 0
+    ck = F.when(folded, cust % FOLD_INTO).otherwise(cust)
+    # Rare customers: most orders are one invoice on a day of the customer's own.
+    once = ~folded & (cust % ONCE_MOD == 0) & (F.col("o_orderkey") % OWN_INVOICE_MOD != 0)
+    day = _day_no(F.col("o_orderdate"))
+    day_no = F.when(once, (cust * 13) % ONCE_DAYS)
+    for mod, rest, days in EARLY_STOPS:  # customers that stop early: late orders come earlier
+        day_no = day_no.when(folded & (ck % mod == rest), day % days)
     orders = _table(spark, sf_dir, "orders").select(
         "o_orderkey",
         "o_custkey",
-        F.when(F.col("o_custkey") % FOLD_MOD == 0, F.col("o_custkey") % FOLD_INTO)
-        .otherwise(F.col("o_custkey"))
-        .alias("ck"),
-        _day_no(F.col("o_orderdate")).alias("day_no"),
+        ck.alias("ck"),
+        F.when(once, ONCE_INVOICE + cust).otherwise(F.col("o_orderkey")).alias("inv"),
+        day_no.otherwise(day).cast("int").alias("day_no"),
     )
     lines = _table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -68,18 +79,12 @@ def raw_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(customer, orders.o_custkey == customer.c_custkey)
         .withColumn(
             "nation_key",
-            F.when(F.col("o_custkey") % 4 == 0, (F.col("c_nationkey") + F.col("o_orderkey")) % 25)
+            F.when(F.col("o_custkey") % 4 == 0, (F.col("c_nationkey") + F.col("inv")) % 25)
             .otherwise(F.col("c_nationkey")),
         )
         .join(nation, F.col("nation_key") == nation.n_nationkey)
-        .where(
-            ((F.col("o_custkey") % FOLD_MOD == 0) | (F.col("o_custkey") % 3 != 0)
-             | (F.col("o_orderkey") % KEEP_ONE_IN == 0))
-            & ~((F.col("o_custkey") % FOLD_MOD == 0) & (F.col("ck") % 2 == 1) & (F.col("day_no") > 320))
-            & ~((F.col("o_custkey") % FOLD_MOD == 0) & (F.col("ck") % 4 == 2) & (F.col("day_no") > 350))
-        )
         .select(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag",
+            "inv", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag",
             "l_linestatus", "day_no",
             _day_no(F.col("l_shipdate")).alias("ship_no"),
             (F.floor(F.col("l_extendedprice") / F.col("l_quantity") / 10).cast("decimal(20,0)")
@@ -97,11 +102,11 @@ def raw_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
     sales = base.select(
-        F.col("l_orderkey").cast("string").alias("invoice_no"),
+        F.col("inv").cast("string").alias("invoice_no"),
         F.col("l_partkey").cast("string").alias("stock_code"),
         F.col("descr").alias("description"),
         F.when(pk % ZERO_QTY_MOD == 0, F.lit(0)).otherwise(F.col("l_quantity")).cast("int").alias("quantity"),
-        _at_day(F.col("day_no")).alias("invoice_date"),
+        _at(F.col("day_no"), F.col("inv") * 7).alias("invoice_date"),
         F.when(pk % ZERO_PRICE_MOD == 0, F.lit(Decimal("0.00")))
         .otherwise(F.col("price"))
         .cast("decimal(12,2)")
@@ -112,14 +117,14 @@ def raw_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     cancels = base.where(
         (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F") & (F.col("ship_no") >= F.col("day_no"))
     ).select(
-        F.concat(F.lit("C"), F.col("l_orderkey").cast("string")).alias("invoice_no"),
+        F.concat(F.lit("C"), F.col("inv").cast("string")).alias("invoice_no"),
         F.col("l_partkey").cast("string").alias("stock_code"),
         F.col("descr").alias("description"),
         F.when(F.col("l_linenumber") % 2 == 0, -F.col("l_quantity"))
         .otherwise(-F.ceil(F.col("l_quantity") / 2))
         .cast("int")
         .alias("quantity"),
-        _at_day(F.col("ship_no")).alias("invoice_date"),
+        _at(F.when(F.col("l_linenumber") % SAME_DAY_MOD == 0, F.col("day_no")).otherwise(F.col("ship_no")), F.col("inv") * 11).alias("invoice_date"),
         F.col("price").alias("unit_price"),
         F.col("cust").alias("customer_id"),
         F.col("n_name").alias("country"),

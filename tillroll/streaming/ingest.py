@@ -10,20 +10,26 @@ Reports then read the sink tables like any batch input.
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tillroll.plans.clean import cancellations, valid_sales
 from tillroll.schema import RAW_SCHEMA
+from tillroll.sources.files import csv_options
+
+BAD_RECORD = "bad_record"
 
 
 def raw_stream(spark: SparkSession, source_dir: str, fmt: str = "csv", max_files_per_trigger: int | None = None):
-    reader = spark.readStream.schema(RAW_SCHEMA)
+    """Raw lines as they arrive.  CSV lines that don't fit the schema come with their text in ``bad_record``."""
+    reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
-        reader = reader.option("header", True).option("quote", '"').option("escape", '"')
-        return reader.csv(source_dir)
-    return reader.parquet(source_dir)
+        schema = T.StructType([*RAW_SCHEMA.fields, T.StructField(BAD_RECORD, T.StringType())])
+        return reader.schema(schema).options(**csv_options(), mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_RECORD).csv(source_dir)
+    return reader.schema(RAW_SCHEMA).parquet(source_dir).withColumn(BAD_RECORD, F.lit(None).cast("string"))
 
 
 def start_clean_ingest(
@@ -32,20 +38,23 @@ def start_clean_ingest(
     sales_out: str,
     cancels_out: str,
     checkpoint_root: str,
+    bad_out: str,
     fmt: str = "csv",
     available_now: bool = False,
     processing_time: str = "1 minute",
 ) -> list[StreamingQuery]:
-    """Start the two append streams; returns the running queries.
+    """Start the append streams of sales, cancellations and lines that can't be read (``bad_out``); returns the running queries.
 
     ``checkpoint_root`` is a folder on shared storage that outlives the
     driver, so a restarted stream resumes where it stopped.
     """
     root = checkpoint_root.rstrip("/")
     raw = raw_stream(spark, source_dir, fmt)
+    good = raw.where(F.col(BAD_RECORD).isNull()).drop(BAD_RECORD)
     outputs = [
-        (valid_sales(raw), sales_out, "order_month", "sales"),
-        (cancellations(raw), cancels_out, "cancellation_month", "cancellations"),
+        (valid_sales(good), sales_out, "order_month", "sales"),
+        (cancellations(good), cancels_out, "cancellation_month", "cancellations"),
+        (raw.where(F.col(BAD_RECORD).isNotNull()), bad_out, None, "bad"),
     ]
     queries = []
     for df, path, part, name in outputs:
@@ -54,9 +63,9 @@ def start_clean_ingest(
             .outputMode("append")
             .option("path", path)
             .option("checkpointLocation", f"{root}/ingest-{name}")
-            .partitionBy(part)
             .queryName(f"tillroll_ingest_{name}")
         )
+        writer = writer.partitionBy(part) if part else writer
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
         queries.append(writer.start())
     return queries
