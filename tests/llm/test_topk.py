@@ -57,3 +57,11 @@ def test_large_numbers_stay_exact():
     ids, scores = topk.max_score(shard, np.arange(300), query, -1, 5)
     exact = sorted(((-int(s), i) for i, s in enumerate(query @ shard)))[:5]
     assert [(-int(s), int(i)) for i, s in zip(ids, scores)] == exact
+
+
+def test_query_against_sql(spark, duck):
+    expected = duck.execute(topk.ORACLE)
+    names = [c[0] for c in expected.description]
+    from tests.conftest import SF_SMALL
+
+    assert sorted(map(tuple, topk.op1_topk(spark, SF_SMALL).select(*names).collect())) == sorted(expected.fetchall())
