@@ -12,17 +12,15 @@
 3. Bands of ``ROWS`` registers are hashed; classes that share a band are
    candidates.  In each band's bucket, every class is first compared with the
    smallest one only, and linked classes become components.
-4. For the classes of buckets that still hold several components, the shingles
-   that no other such class has are counted.  They can't be shared, which bounds
-   the similarity to any partner.  Each bucket's class with the smallest part of
-   them, the one nearest to all, is compared with those of other components; then
-   those outside the bucket's largest component with the rest, where the bounds
-   of both allow a link.  So a bucket of near copies costs about as many
-   comparisons as it has members, and no pair that could join two components is
-   left out or capped.
-5. A pair is dropped if the joint likelihood of both sketches (given the exact
-   set sizes) rules out the threshold; what is left is verified on full sets,
-   made from the two texts.
+4. Buckets that still hold several components go on.  Shingles that no other
+   class there has can't be shared, which bounds the similarity to any partner;
+   classes it rules out leave.  Of the rest, those outside the bucket's largest
+   component are compared with the others in blocks of whole sets, counting over
+   postings.  So a bucket of near copies makes about as many pairs as it has
+   members, and no pair that could join two components is left out or capped.
+5. A pair of step 3 is dropped if the joint likelihood of both sketches (given
+   the exact set sizes) rules out the threshold; what is left is verified on
+   full sets, made from the two texts.
 
 At the threshold itself a pair shares no band with probability (1 - 0.75**4)**32
 = 5e-6, less above it.
@@ -191,22 +189,27 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return met.mapInArrow(scan, "a long, b long").distinct()
 
 
-def _own_shingles(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """How many shingles of each class no other class in ``reps`` has: (rep, own)."""
+def _sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, hashes): the whole shingle sets of some classes."""
 
     def scan(batches):
         for batch in batches:
             for part in slices(batch, 1):
                 values, begins, _ = shingle_hashes(part.column(1))
-                rows = np.repeat(np.arange(part.num_rows), np.diff(begins))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(values.view(np.int64))], names=["rep", "s"])
+                lists = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["rep", "hashes"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps, "rep", "left_semi")
-    shingles = texts.mapInArrow(scan, "rep long, s long")
-    alone = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep"))
-    own = alone.where("c = 1").groupBy(F.col("rep").alias("__r")).agg(F.count(F.lit(1)).alias("own"))
-    sizes = reps.join(own, F.col("rep") == F.col("__r"), "left")
-    return sizes.select("rep", F.coalesce("own", F.lit(0)).alias("own"))
+    return texts.mapInArrow(scan, "rep long, hashes array<long>")
+
+
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """How many shingles of each class no other class of ``sets`` has: (__rep, own)."""
+    alone = sets.select("rep", F.explode("hashes").alias("s")).groupBy("s").agg(F.min("rep").alias("x"), F.max("rep").alias("y"), F.count(F.lit(1)).alias("c"))
+    own = alone.where("c = 1").groupBy(F.col("x").alias("__rep")).agg(F.count(F.lit(1)).alias("own"))
+    # A doc_id with several sets could count the shingles of one against another: it counts none.
+    several = sets.groupBy(F.col("rep").alias("__several")).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    return own.join(several, F.col("__rep") == F.col("__several"), "left_anti")
 
 
 def _shares_enough(shared, n_a, n_b):
@@ -214,15 +217,53 @@ def _shares_enough(shared, n_a, n_b):
     return shared * (THRESHOLD[0] + THRESHOLD[1]) >= (n_a + n_b) * THRESHOLD[0]
 
 
-def _may_link(n_a, shared_a, n_b, shared_b):
-    return _length_fits(n_a, n_b) & _shares_enough(F.least(shared_a, shared_b), n_a, n_b)
+#: Shingles of one side that a task compares at a time.
+BLOCK = 1 << 20
 
 
-def _apart_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) whose classes are in different components."""
-    side = lambda x: labels.select(F.col("node").alias(f"__{x}"), F.col("label").alias(f"label_{x}"))
-    met = pairs.distinct().join(side("a"), F.col("a") == F.col("__a"), "left").join(side("b"), F.col("b") == F.col("__b"), "left")
-    return met.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+def _compared(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components of a bucket, from whole sets.
+
+    ``apart``: (key, rep, n, label, top).  Those outside the bucket's largest component meet all
+    others, block by block.  A block counts what a set shares with all sets of the other side in one
+    pass over its shingles' postings; no pairs are made, and only one link per set and component leaves.
+    """
+    rows = apart.join(sets, F.col("rep") == F.col("__rep")).drop("__rep", "n")
+    blocks = apart.groupBy(F.col("key").alias("__key")).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(blocks, F.col("key") == F.col("__key")).drop("__key")
+    at, others = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    minor = rows.where("label != top").select("key", "rep", "label", "hashes", at.alias("i"), F.explode(others).alias("j"))
+    # New names throughout: both sides come from the same rows.
+    whole = rows.select(
+        F.col("key").alias("w_key"), F.col("rep").alias("w_rep"), F.col("label").alias("w_label"), F.col("hashes").alias("w_hashes"),
+        at.alias("w_j"), F.explode(others).alias("w_i"),
+    )
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        found, right = [], right.rename_columns([c.removeprefix("w_") for c in right.column_names])
+        if left.num_rows and right.num_rows:
+            (xs, x_at, x_label), (ys, y_at, y_label) = (
+                (np.concatenate(lists) if lists else np.zeros(0, np.int64), np.cumsum([0, *map(len, lists)]), t.column("label").to_numpy())
+                for t, lists in ((t, [np.asarray(h.values) for h in t.column("hashes").combine_chunks()]) for t in (left, right))
+            )
+            sizes = np.diff(y_at)
+            order = np.argsort(ys, kind="stable")
+            postings, owner = ys[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+            x_rep, y_rep = left.column("rep").to_numpy(), right.column("rep").to_numpy()
+            for k in range(len(x_rep)):
+                own = xs[x_at[k] : x_at[k + 1]]
+                low, high = np.searchsorted(postings, own, "left"), np.searchsorted(postings, own, "right")
+                n = high - low
+                places = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                shared = np.bincount(owner[places], minlength=len(sizes))
+                good = np.flatnonzero((THRESHOLD[1] * shared >= THRESHOLD[0] * (len(own) + sizes - shared)) & (y_label != x_label[k]))
+                if len(good):
+                    _, first = np.unique(y_label[good], return_index=True)
+                    found += [(int(x_rep[k]), int(y_rep[g])) for g in good[first]]
+        return pa.Table.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    groups = whole.groupBy("w_key", "w_i", "w_j")
+    return minor.groupBy("key", "i", "j").cogroup(groups).applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -262,37 +303,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         mixed = largest.where("labels > 1").select(F.col("key").alias("__key"), F.col("top.label").alias("top"))
         return written(rows.join(mixed, F.col("key") == F.col("__key")).drop("__key", "__node", "__label"), "apart")
 
-    still = apart(members.where("size > 2").select("key", "rep", "n", "leader"), labels)
-    # A doc_id that stands for several sets could count the shingles of one against another: it counts none.
-    several = sketched.groupBy(F.col("doc_id").alias("__several")).agg(F.min("f1").alias("x"), F.max("f1").alias("y")).where("x != y")
-    own = _own_shingles(still.select("rep").distinct(), docs).join(several, F.col("rep") == F.col("__several"), "left")
-    own = own.select(F.col("rep").alias("__rep"), F.when(F.col("x").isNull(), F.col("own")).otherwise(0).alias("own"))
+    still = apart(members.where("size > 2 AND rep != leader").select("key", "rep", "n"), labels)
+    sets = written(_sets(still.select("rep").distinct(), docs), "sets")
     # A class whose own shingles alone rule out a partner of any size leaves.
-    still = still.join(own, F.col("rep") == F.col("__rep")).withColumn("shared", F.col("n") - F.col("own")).where(_shares_enough(F.col("shared"), F.col("n"), F.col("n") * THRESHOLD[0] / THRESHOLD[1]))
-    still = written(still.drop("__rep", "own", "top", "label"), "apart")
-
-    nearest = still.groupBy("key").agg(F.min(F.struct((1 - F.col("shared") / F.col("n")).alias("own"), "rep", "n", "shared")).alias("l"))
-    nearest = nearest.select(F.col("key").alias("__key"), F.col("l.rep").alias("hub"), F.col("l.n").alias("hub_n"), F.col("l.shared").alias("hub_shared"))
-    near = still.join(nearest, F.col("key") == F.col("__key")).where((F.col("rep") != F.col("hub")) & (F.col("rep") != F.col("leader")) & (F.col("hub") != F.col("leader")))
-    near = near.where(_may_link(F.col("n"), F.col("shared"), F.col("hub_n"), F.col("hub_shared")))
-    pairs = _apart_pairs(near.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")), labels)
-    more = written(_verified(written(_likely(pairs, classes), "likely"), docs), "links")
-    links = links.union(more)
-    labels = components(links, labels)
-
-    rest = apart(still, labels).where("rep != leader")
-    minor = rest.where("label != top").select("key", "top", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "shared", "label")])
-    other = rest.select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "shared", "label")])
-    pairs = minor.join(other, "key").where(
-        (F.col("label_a") != F.col("label_b"))
-        & ((F.col("label_b") == F.col("top")) | (F.col("rep_a") < F.col("rep_b")))
-        & _may_link(F.col("n_a"), F.col("shared_a"), F.col("n_b"), F.col("shared_b"))
+    may = sets.join(_own_shingles(sets), F.col("rep") == F.col("__rep"), "left").where(
+        _shares_enough(F.size("hashes") - F.coalesce("own", F.lit(0)), F.size("hashes"), F.size("hashes") * THRESHOLD[0] / THRESHOLD[1])
     )
-    pairs = pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
-    likely = written(_likely(pairs, classes), "likely")
-    if likely.limit(1).count():
-        more = written(_verified(likely, docs), "links")
-        labels = components(links.union(more), labels)
+    links = links.union(written(_compared(still, may.select(F.col("rep").alias("__rep"), "hashes")), "links"))
+    labels = components(links, labels)
 
     own = labels.select(F.col("node").alias("__node"), "label")
     component = classes.drop("registers").join(own, F.col("rep") == F.col("__node"), "left").select(
