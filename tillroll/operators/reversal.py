@@ -94,7 +94,8 @@ def next_reversal_grid(sales: DataFrame, cancels: DataFrame) -> DataFrame:
     point first, so the windows never see individual lines.
     """
     keys = list(MATCH_KEYS)
-    s = sales.select(*keys, F.col("invoice_date").alias("t")).withColumn("day", F.to_date("t"))
+    # Only lines that some reversal follows: one lookup, before any window.
+    s = reversed_sales(sales, cancels).select(*keys, F.col("invoice_date").alias("t")).withColumn("day", F.to_date("t"))
     c = (
         cancels.where((F.col("quantity") < 0) & F.col("customer_id").isNotNull())
         .select("customer_id", "stock_code", "unit_price", F.abs("quantity").alias("quantity"),
