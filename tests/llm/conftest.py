@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from tests.conftest import SF_SMALL, spark  # noqa: F401
+from tests.conftest import SF_SMALL
 
 TABLES = "documents embeddings pages benchmark labels conversations".split()
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -16,7 +16,7 @@ def duck():
 
 
 @pytest.fixture
-def documents_of(spark):  # noqa: F811
+def documents_of(spark):
     """Documents from (doc_id, text[, source]) rows."""
 
     def make(rows):
