@@ -11,7 +11,9 @@
   card number that passed its check digit still does, names keep script and gender.
 * Collision checks over the whole corpus: no two entities of a type may get the
   same surrogate, and none may get what is another entity's original.  All but
-  the first try the next attempt until none collides.
+  the first try the next attempt until none collides.  Formats can be full (all
+  two-digit locals of a host): after ``MOST_ATTEMPTS`` each attempt is a character
+  longer than the one before, so there is always a free surrogate.
 
 Only entities that needed another attempt are brought to their documents by a
 join; all others follow from the key alone, so texts are not shuffled for them.
@@ -36,7 +38,7 @@ from tillroll.llm.text import table
 from tillroll.storage import written
 
 KEY = "surrogates-1"
-#: After so many attempts without a free surrogate the type's format is exhausted.
+#: So many attempts keep the length of the original; each later one is a character longer.
 MOST_ATTEMPTS = 64
 
 #: Honorifics and the gender they tell.
@@ -61,6 +63,7 @@ _SECRET = re.compile(r"(?:password|passwd|secret|token|api_key|apikey)[\"']?\s*[
 _SECRET_WORDS = ("assw", "ecret", "oken", "ASSW", "ECRET", "OKEN", "api", "API")
 _NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(map(re.escape, HONORIFICS), key=len, reverse=True)) + r")\.?[  ]((?:[^\W\d_a-zа-яα-ω][^\W\d_]+)(?:[ -][^\W\d_a-zа-яα-ω][^\W\d_]+){0,2})")
 _DIGIT = re.compile(r"\d")
+_DRAWN = re.compile(r"[A-Za-z0-9]")
 
 
 def luhn(digits: str) -> bool:
@@ -94,7 +97,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     """Entities of a text as (start, end, type, canonical form), in order, none overlapping."""
     found = []
     if any(w in text for w in _SECRET_WORDS):
-        found += [(*m.span(1), "secret", m[1]) for m in _SECRET.finditer(text)]
+        # The line to fill in on a form is no secret.
+        found += [(*m.span(1), "secret", m[1]) for m in _SECRET.finditer(text) if _DRAWN.search(m[1])]
     if "AKIA" in text:
         found += [(*m.span(), "access", m[0]) for m in _ACCESS.finditer(text)]
     if "@" in text:
@@ -144,11 +148,12 @@ def surrogate(kind: str, canonical: str, attempt: int, key: str = KEY) -> str:
     """The canonical form of an entity's surrogate."""
     draw = _numbers(key, kind, canonical, attempt)
     pick = lambda letters: letters[(next(draw) << 16 | next(draw) << 8 | next(draw)) % len(letters)]
+    longer = max(0, attempt - MOST_ATTEMPTS + 1)
     if kind == "ip":
-        return ".".join(str(1 + (next(draw) << 8 | next(draw)) % 254) for _ in range(4))
+        return ".".join(str(1 + (next(draw) << 8 | next(draw)) % 254) for _ in range(4 + longer))
     if kind in ("card", "card+", "phone"):
         # The first digit (a country code, an issuer) stays.
-        body = canonical[0] + "".join(pick("0123456789") for _ in canonical[1:])
+        body = canonical[0] + "".join(pick("0123456789") for _ in range(len(canonical) - 1 + longer))
         if kind == "card+":
             body = next(body[:-1] + d for d in "0123456789" if luhn(body[:-1] + d))
         return body
@@ -161,8 +166,17 @@ def surrogate(kind: str, canonical: str, attempt: int, key: str = KEY) -> str:
         local, _, domain = canonical.partition("@")
         host, _, top = domain.rpartition(".")
         alike = _numbers(key, "domain", host, 0)
-        return f"{_alike(local, draw)}@{_alike(host, alike)}.{top}"
-    return canonical[:4] + _alike(canonical[4:], draw) if kind == "access" else _alike(canonical, draw)
+        if not _DRAWN.search(local):
+            # The one local of its format, so no further attempt would differ.
+            longer = attempt
+        return f"{_alike(_lengthened(local, longer), draw)}@{_alike(host, alike)}.{top}"
+    text = _lengthened(canonical, longer)
+    return text[:4] + _alike(text[4:], draw) if kind == "access" else _alike(text, draw)
+
+
+def _lengthened(text: str, more: int) -> str:
+    """The text with more characters of the class of its last letter or digit."""
+    return text + next((c for c in reversed(text) if _DRAWN.match(c)), "a") * more
 
 
 def _alike(text: str, draw) -> str:
@@ -180,10 +194,13 @@ def laid_into(place: str, kind: str, new: str) -> str:
     """A surrogate in the format of the place: its separators and its letter case."""
     if kind in ("card", "card+", "phone"):
         digits = iter(new)
-        return "".join(next(digits) if c.isdecimal() else c for c in place)
+        return "".join([*(next(digits) if c.isdecimal() else c for c in place), *digits])
     if ":" in kind:
         return new.upper() if place.isupper() and len(place) > 1 else new[:1].upper() + new[1:]
-    if kind == "email" and len(new) == len(place):
+    if kind == "email":
+        # What a later attempt has more stands before the @ and is lower case.
+        at, more = place.index("@"), len(new) - len(place)
+        place = place[:at] + " " * more + place[at:]
         return "".join(n.upper() if c.isupper() else n for c, n in zip(place, new))
     return new
 
@@ -231,7 +248,7 @@ def assign(found: DataFrame, key: str = KEY, draw=surrogate) -> DataFrame:
     now = originals.select(F.col("__k").alias("kind"), F.col("__c").alias("canonical"), F.lit(0).alias("attempt"))
     # An entity that settled early keeps its surrogate; the rest go by canonical form.
     first = Window.partitionBy("kind", "surrogate").orderBy("attempt", "canonical")
-    for _ in range(MOST_ATTEMPTS):
+    while True:
         with_new = now.mapInArrow(drawn, "kind string, canonical string, attempt int, surrogate string")
         taken = (F.col("kind") == F.col("__k")) & (F.col("surrogate") == F.col("__c"))
         tried = with_new.withColumn("at", F.row_number().over(first)).join(originals, taken, "left")
@@ -241,7 +258,6 @@ def assign(found: DataFrame, key: str = KEY, draw=surrogate) -> DataFrame:
         if state.where("clash").limit(1).count() == 0:
             return state.drop("clash")
         now = state.select("kind", "canonical", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt"))
-    raise ValueError("a type has more entities than its format has surrogates")
 
 
 def anonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
