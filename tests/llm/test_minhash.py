@@ -52,6 +52,14 @@ def test_sample_against_all_pairs(spark, sample):
     assert got(df) == brute_force(sample)
 
 
+def test_query_against_sql(spark, duck):
+    expected = duck.execute(minhash.ORACLE)
+    names = [c[0] for c in expected.description]
+    df = minhash.op3_minhash(spark, SF_SMALL)
+    assert sorted(names) == sorted(df.columns)
+    assert got(df.select(*names)) == sorted(expected.fetchall(), key=str)
+
+
 def test_chains_and_crowds(documents_of):
     """A chain whose ends differ, a crowd of near copies, and crowds that share a passage only."""
     base = [f"w{i}" for i in range(60)]

@@ -26,6 +26,10 @@ def test_every_oracle_has_a_query():
     assert missing == set()
 
 
+def test_every_oracle_is_a_statement():
+    assert [key for key, sql in E.oracle_sql().items() if not isinstance(sql, str)] == []
+
+
 def test_mapping_keeps_every_line(spark):
     r = Relations.from_star(spark, SF_SMALL)
     lines = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()

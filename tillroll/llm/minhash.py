@@ -326,3 +326,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op3_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# All pairs with a common shingle, counted; components by passing on every smaller id.
+ORACLE = r"""
+WITH RECURSIVE words AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT r, doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]))
+                         WHEN len(w) > 0 THEN [w] ELSE [] END AS s FROM words
+), shingles AS (
+  SELECT r, unnest(s) AS g FROM sets WHERE doc_id IS NOT NULL
+), shared AS (
+  SELECT a.r AS ra, b.r AS rb, count(*) AS n FROM shingles a JOIN shingles b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r
+), links AS MATERIALIZED (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM shared JOIN sets x ON x.r = ra JOIN sets y ON y.r = rb
+  WHERE 100 * n >= 75 * (len(x.s) + len(y.s) - n)
+), reach AS (
+  SELECT doc_id AS node, doc_id AS label FROM sets WHERE doc_id IS NOT NULL
+  UNION
+  SELECT b, label FROM reach JOIN (SELECT a, b FROM links UNION SELECT b, a FROM links) e ON e.a = node WHERE label < b
+), smallest AS (
+  SELECT node, min(label) AS label FROM reach GROUP BY node
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, label AS component_id, coalesce(label = doc_id, true) AS kept
+FROM sets LEFT JOIN smallest ON node = doc_id
+"""

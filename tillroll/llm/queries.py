@@ -19,8 +19,8 @@ JOBS = {
 
 ORACLE = {
     "op1_topk": topk.ORACLE,
+    "op3_minhash": minhash.ORACLE,
     "op4_rollup": rollup.ORACLE,
-    "op3_minhash": minhash.op3_minhash,
     "op5_mixing": mixing.ORACLE,
     "op8_chat": chat.ORACLE,
 }
