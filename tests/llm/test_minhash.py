@@ -123,3 +123,14 @@ def test_crowd_of_uneven_copies(documents_of):
     expected = brute_force(rows)
     assert 1 < len({c for _, _, c, _ in expected}) < 150
     assert got(minhash.near_duplicates(documents_of(rows))) == expected
+
+
+def test_repeated_ids_with_different_texts(documents_of):
+    """A document in several classes joins them, also if its own are no class's first, and if a text is empty."""
+    texts = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcdef"}
+    near = texts["e"] + " more"
+    rows = [(3, texts["a"]), (5, texts["b"]), (7, texts["a"]), (7, texts["b"]), (8, texts["b"]), (8, ""), (9, texts["c"]), (9, texts["d"])]
+    rows += [(10, texts["d"]), (11, texts["e"]), (12, near), (12, texts["f"]), (2, texts["f"]), (12, None), (13, None), (None, texts["a"])]
+    expected = brute_force(rows)
+    assert {d: c for d, _, c, _ in expected} == {None: None, 2: 2, 3: 3, 5: 3, 7: 3, 8: 3, 9: 9, 10: 9, 11: 2, 12: 2, 13: 13}
+    assert got(minhash.near_duplicates(documents_of(rows))) == expected

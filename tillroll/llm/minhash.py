@@ -28,7 +28,8 @@ At the threshold itself a pair shares no band with probability (1 - 0.75**4)**32
 Defined cases: a document with fewer than five words has its whole sequence as
 one shingle; without words or text it is linked with nothing and is its own
 component; so is a row without a doc_id (component null, kept).  Rows that
-repeat a doc_id are one node whose texts may each make its links.
+repeat a doc_id are one node whose texts may each make its links, so the
+classes of its texts are linked with it.
 """
 
 from __future__ import annotations
@@ -279,6 +280,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "classes",
     )
 
+    # A doc_id whose rows have different sets is a node that its classes are linked with.
+    least, most = F.min(F.struct(*same_set)).alias("least"), F.max(F.struct(*same_set)).alias("most")
+    several = sketched.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__d")).agg(least, most)
+    several = written(several.where("least != most").select("__d"), "several")
+    repeated = several.limit(1).count() > 0
+    by_doc = sketched.select("doc_id", *[F.col(c).alias(f"__{c}") for c in same_set]).join(several, F.col("doc_id") == F.col("__d"), "left_semi")
+    by_doc = classes.select("rep", *same_set).join(by_doc, [F.col(c) == F.col(f"__{c}") for c in same_set])
+    by_doc = by_doc.where("rep != doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+
     # Every member of a bucket beside the bucket's smallest one; buckets of one are left out.
     buckets = _buckets(classes)
     leaders = (
@@ -292,6 +302,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = members.where((F.col("rep") != F.col("leader")) & _length_fits(F.col("n"), F.col("leader_n")))
     stars = stars.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     links = written(_verified(written(_likely(stars, classes), "likely"), docs), "links")
+    if repeated:
+        links = links.union(written(by_doc, "by_doc"))
     labels = components(links)
 
     def apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -317,6 +329,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         *[F.col(c).alias(f"__{c}") for c in same_set], F.coalesce("label", "rep").alias("component")
     )
     out = sketched.drop("registers").join(component, [F.col(c) == F.col(f"__{c}") for c in same_set], "left")
+    if repeated:
+        # A row without words has no class, but its doc_id may.
+        nodes = labels.select(F.col("node").alias("__of"), F.col("label").alias("__component"))
+        out = out.join(nodes, (F.col("n") == 0) & (F.col("doc_id") == F.col("__of")), "left")
+        out = out.withColumn("component", F.coalesce("component", "__component"))
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"),
