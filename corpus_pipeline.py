@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tillroll.llm import mixing, pieces, pii, quality
 from tillroll.llm.minhash import near_duplicates
 from tillroll.llm.text import table
+from tillroll.operators.ranking import global_rank
 from tillroll.storage import written
 
 
@@ -27,14 +28,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; of rows that repeat it, one.
+    """One document of each group stays, the one with the smallest doc_id; of rows that repeat it and its text, one.
 
-    Rows without a doc_id can't be told apart and stay.
+    Documents are known by (doc_id, hash of text), so of rows that share only the doc_id each is
+    judged by its own text.  Rows without a doc_id can't be told apart and stay.
     """
-    stay = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__d")).distinct()
-    known = docs.join(stay, docs["doc_id"].cast("long") == F.col("__d"), "left_semi")
-    again = Window.partitionBy("doc_id").orderBy("text")
-    known = known.withColumn("__again", F.row_number().over(again)).where("__again = 1").drop("__again")
+    known = docs.where("doc_id IS NOT NULL").withColumn("__h", F.xxhash64("text"))
+    texts = known.select(F.col("doc_id").cast("long").alias("__d"), F.col("__h").alias("__of"))
+    several = texts.groupBy("__d").agg(F.min("__of").alias("least"), F.max("__of").alias("most")).where("least != most")
+    if several.limit(1).count():
+        # A node for each text, numbered in the order of the doc_ids.
+        nodes = global_rank(texts.distinct(), [F.col("__d"), F.col("__of")], rank_col="__node")
+        met = known.join(nodes, (known["doc_id"].cast("long") == F.col("__d")) & (F.col("__h") == F.col("__of")))
+        known = written(met.drop("__d", "__of"), "nodes")
+    else:
+        known = known.withColumn("__node", F.col("doc_id").cast("long"))
+    judged = near_duplicates(known.select(F.col("__node").alias("doc_id"), "text"))
+    stay = judged.where("kept").select(F.col("doc_id").alias("__stay")).distinct()
+    known = known.join(stay, F.col("__node") == F.col("__stay"), "left_semi")
+    again = Window.partitionBy("doc_id", "__h").orderBy("text")
+    known = known.withColumn("__again", F.row_number().over(again)).where("__again = 1").drop("__again", "__h", "__node")
     return known.unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -134,3 +134,15 @@ def test_run_and_odd_rows(spark, stages, documents_of, tmp_path):
     assert {r["doc_id"] for r in left} <= {40, None, 6, 8}
     documents_of([]).write.parquet(f"{tmp_path}/e/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_texts_of_a_repeated_id_are_judged_apart(spark, documents_of):
+    """Of rows that share a doc_id only the copies go, whichever text is the smaller one."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(30)) for k in "abcd")
+    rows = [(3, b), (7, b), (7, a), (7, a), (7, c), (9, a + " more"), (8, c), (None, a), (7, None), (6, d), (6, d + " more"), (5, "")]
+    docs = documents_of(rows)
+    left = corpus_pipeline.near_dedup(spark, docs, "")
+    assert left.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in left.collect()]
+    assert sum(i == 6 for i, _ in got) == 1
+    assert sorted(((i, t) for i, t in got if i != 6), key=str) == sorted([(3, b), (7, a), (7, c), (None, a), (7, None), (5, "")], key=str)
