@@ -74,3 +74,13 @@ def test_tables_are_known_by_their_schema(spark):
     assert [tuple(r) for r in chat.canonical(nested).collect()] == [(1, 0, "user", "hi")]
     with pytest.raises(LookupError, match="question"):
         chat.canonical(spark.createDataFrame([(1, "x")], "id long, question string"))
+
+
+def test_string_ids_stay_apart(spark):
+    """Records whose ids are no whole numbers are conversations of their own, beside one with a number."""
+    ids = ["7f3c-a", "7f3c-b", 12, 2**70]
+    records = [json.dumps({"id": x, "prompt": f"q{i}", "response": f"r{i}"}) for i, x in enumerate(ids)] + ["no json"]
+    turns = chat.canonical_json(spark.createDataFrame([(x,) for x in records], "record string"))
+    got = {r["conv_id"]: tuple(r)[1:5] for r in chat.read_back(chat.format_turns(turns)).collect()}
+    expected = {str(x): digests([("user", f"q{i}"), ("assistant", f"r{i}")]) for i, x in enumerate(ids)}
+    assert got == expected | {None: digests([("#unknown", "no json")])}

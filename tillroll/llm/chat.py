@@ -117,29 +117,37 @@ def canonical_json(records: DataFrame, column: str = "record") -> DataFrame:
     """JSON records of mixed layouts as (conv_id, turn, role, text), each by its own fingerprint.
 
     Records that fit no mapping, or are no JSON, come out with role ``#unknown`` and the record as text.
+    conv_id is a bigint if all ids are whole numbers of 64 bits (or null), else a string that keeps each id.
     """
 
+    def whole(own) -> bool:
+        return own is None or type(own) is int and -(2**63) <= own < 2**63
+
     def prints(batches):
         for batch in batches:
-            out = []
+            out, ids = [], []
             for x in batch.column(0).to_pylist():
                 try:
-                    out.append(fingerprint(record_paths(json.loads(x))))
+                    record = json.loads(x)
+                    out.append(fingerprint(record_paths(record)))
+                    ids.append(not isinstance(record, dict) or whole(record.get("id")))
                 except (TypeError, ValueError):
                     out.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["r", "f"])
+                    ids.append(True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(ids, pa.bool_())], names=["r", "f", "whole"])
 
-    seen = records.select(F.col(column).cast("string")).mapInArrow(prints, "r string, f string")
+    seen = records.select(F.col(column).cast("string")).mapInArrow(prints, "r string, f string, whole boolean")
+    id_type = "string" if seen.where(F.col("f").isin(*MAPPINGS) & ~F.col("whole")).limit(1).count() else "bigint"
     out = None
     for paths, kind, turns in LAYOUTS:
         if kind != "id":
             continue
-        fields = ["id bigint", *[_TYPES.get(p, f"{p} string") for p in paths if p != "id" and not p.endswith((".content", ".value"))]]
+        fields = [f"id {id_type}", *[_TYPES.get(p, f"{p} string") for p in paths if p != "id" and not p.endswith((".content", ".value"))]]
         rows = seen.where(F.col("f") == fingerprint(paths)).select(F.from_json("r", ", ".join(fields)).alias("j")).select("j.*")
         part = rows.select(F.col("id").alias("conv_id"), F.inline(turns().cast(f"array<{TURN}>")))
         out = part if out is None else out.unionByName(part)
     other = seen.where(F.col("f").isNull() | ~F.col("f").isin(*MAPPINGS)).select(
-        F.lit(None).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("#unknown").alias("role"), F.col("r").alias("text")
+        F.lit(None).cast(id_type).alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("#unknown").alias("role"), F.col("r").alias("text")
     )
     return out.unionByName(other)
 
@@ -175,11 +183,16 @@ def parse_turn(formatted: str) -> tuple[str, str, tuple[int, int]]:
     return _ESCAPED.sub(r"\1", m[1]), _ESCAPED.sub(r"\1", m[2]), m.span(2)
 
 
-READ_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+READ_BACK = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Parse formatted conversations and digest what they hold: all turns, and what is under the loss mask."""
+    """Parse formatted conversations and digest what they hold: all turns, and what is under the loss mask.
+
+    A conv_id that is a string stays one; others become long.
+    """
+    named = isinstance(formatted.schema["conv_id"].dataType, T.StringType)
+    id_type, id_kind = ("string", pa.string()) if named else ("long", pa.int64())
 
     def scan(batches):
         now, state = object(), None
@@ -209,11 +222,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     def _rows(rows):
         cols = list(zip(*rows)) if rows else [[]] * 6
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        kinds = [id_kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-    return formatted.select(F.col("conv_id").cast("long"), "formatted").mapInArrow(scan, READ_BACK)
+    return formatted.select(F.col("conv_id").cast(id_type), "formatted").mapInArrow(scan, f"conv_id {id_type}, {READ_BACK}")
 
 
 #: The conversation that the query adds, with control strings inside its texts.
@@ -221,7 +234,7 @@ PROBE_ID, PROBE_TEXT = -7, r"\### Assistant: </turn> ok"
 
 
 def op8_chat(spark, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), "turn", "role", "text")
     probe = spark.range(2).select(
         F.lit(PROBE_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE_TEXT).alias("text"),
