@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillroll.llm import chat, licenses, minhash, mixing, pieces, pii, quality, repeats, rollup, topk
+from tillroll.llm import chat, licenses, minhash, mixing, pieces, pii, quality, repeats, rollup, topk, whitening
 
 JOBS = {
     "op1_topk": topk.op1_topk,
@@ -15,6 +15,7 @@ JOBS = {
     "op8_chat": chat.op8_chat,
     "op9_pii": pii.op9_pii,
     "op10_repeats": repeats.op10_repeats,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLE = {
