@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillroll.llm import chat, licenses, minhash, mixing, pieces, pii, quality, repeats, rollup, rule_ensemble, topk, whitening
+from tillroll.llm import chat, licenses, minhash, mixing, pieces, pii, quality, repair, repeats, rollup, rule_ensemble, topk, whitening
 
 JOBS = {
     "op1_topk": topk.op1_topk,
@@ -15,6 +15,7 @@ JOBS = {
     "op8_chat": chat.op8_chat,
     "op9_pii": pii.op9_pii,
     "op10_repeats": repeats.op10_repeats,
+    "op11_repair": repair.op11_repair,
     "op12_classifier": rule_ensemble.op12_classifier,
     "op13_whitening": whitening.op13_whitening,
 }
@@ -25,4 +26,5 @@ ORACLE = {
     "op4_rollup": rollup.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op8_chat": chat.ORACLE,
+    "op11_repair": repair.ORACLE,
 }
