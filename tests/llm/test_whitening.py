@@ -108,3 +108,14 @@ def test_deviation_beyond_long_is_null(spark):
     got = whitening.whitened(frame(spark, rows)).collect()
     assert {r.deviation for r in got} == {None}
     assert all(r.identity_error < 1e-4 for r in got)
+
+
+def test_states_of_many_partitions_meet_in_a_tree(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(-60, 60, (700, 6))
+    fit = spark.createDataFrame([(row.tolist(),) for row in x], "x array<long>").repartition(70)
+    state = whitening._spectra(fit, 6)
+    assert state.n == 700 and (state.sums == x.sum(axis=0)).all()
+    assert np.abs(scatter(state) - centred(x)).max() <= 1e-9 * np.abs(centred(x)).max()
+    f = whitening.fit_whitening(fit, 6)
+    assert np.allclose(f.values, np.linalg.eigvalsh(centred(x) / 700)[::-1], rtol=1e-12)

@@ -214,16 +214,11 @@ def _spectra(fit: DataFrame, width: int) -> State:
         if state.n:
             yield pa.RecordBatch.from_pylist([state.row()], schema=schema)
 
-    def join(key, groups):
-        state = None
-        for batch in groups:
-            for row in batch.to_pylist():
-                other = State.of(row)
-                if state is None:
-                    state = other
-                else:
-                    state.merge(other)
-        yield pa.RecordBatch.from_pylist([{**state.row(), "node": key[0].as_py()}], schema=numbered)
+    def join(key: tuple, group: pa.Table) -> pa.Table:
+        state, *others = [State.of(row) for row in group.to_pylist()]
+        for other in others:
+            state.merge(other)
+        return pa.Table.from_pylist([{**state.row(), "node": key[0].as_py()}], schema=numbered)
 
     schema = pa.schema([("n", pa.int64()), ("sums", pa.list_(pa.int64())), ("mean", pa.list_(pa.float64())),
                         ("values", pa.list_(pa.float64())), ("vectors", pa.list_(pa.float64()))])
