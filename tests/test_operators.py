@@ -182,3 +182,49 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
     sc = SimpleNamespace(getCheckpointDir=lambda: None, master="yarn")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *a: None)))
+
+
+def _percentile_cont(values, p):
+    from decimal import Decimal
+    from math import floor
+
+    values = sorted(values)
+    pos = (len(values) - 1) * Decimal(p)
+    lo = floor(pos)
+    hi = lo if pos == lo else lo + 1
+    return values[lo] + (values[hi] - values[lo]) * (pos - lo)
+
+
+def test_digit_histograms_select_exact_values(spark):
+    """Small, long and negative numbers, ties, several bins to a length, a null group."""
+    import random
+    from decimal import Decimal
+
+    rng = random.Random(3)
+    rows = [(g, Decimal(rng.randint(-(10**k), 10**k)).scaleb(-2)) for g in ("a", None) for k in range(1, 17) for _ in range(40)]
+    rows += [("b", Decimal("7.77"))] * 300 + [("c", None), ("d", Decimal("1.00"))]
+    df = spark.createDataFrame(rows, "g string, v decimal(20,2)").repartition(7)
+    probs = ["0", "0.1", "0.25", "0.5", "0.75", "0.9", "1"]
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", probs).collect()}
+    assert set(got) == {"a", "b", None, "d"}
+    for g, r in got.items():
+        values = [v for h, v in rows if h == g and v is not None]
+        assert r.n == len(values)
+        assert [r["p_" + p.replace(".", "_")] for p in probs] == [_percentile_cont(values, p) for p in probs]
+
+
+def test_bins_follow_the_order_of_numbers(spark):
+    from tillroll.operators.quantiles import bin_of
+
+    numbers = sorted({s * (1 << b) + d for b in range(62) for d in (-1, 0, 1) for s in (1, -1)})
+    got = spark.createDataFrame([(n,) for n in numbers], "v long").select("v", bin_of(F.col("v")).alias("b")).orderBy("v").collect()
+    bins = [r.b for r in got]
+    assert bins == sorted(bins)
+    assert all(r.b == r.v for r in got if abs(r.v) < 1 << 16)
+
+
+def test_quantiles_need_no_range_sort_and_write_nothing(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("g"), F.col("id").alias("v"))
+    q = exact_quantiles(df, ["g"], "v", ["0.5"], value_type="decimal(12,0)")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "FileScan" not in plan

@@ -4,18 +4,34 @@ A sale is *reversed* when a cancellation exists for the same customer,
 product and unit price, with the opposite (negative) quantity of the same
 size, dated at or after the sale.  "Exists a cancel at or after t" equals
 "the latest such cancel is at or after t", so the cancellations are first
-reduced to one row per match key (``max`` of the date, partially aggregated)
-and each sale joins that index at most once: no fan-out, no pair explosion,
-and a hot key costs one index row.  Adaptive execution broadcasts the index
-when its measured size allows and splits skewed sale partitions otherwise.
+reduced to one row per match key (``max`` of the date, partially aggregated),
+written once and counted.  How sales meet this index goes by that count:
+
+* up to ``BROADCAST_KEYS`` keys the index itself is broadcast: no sale moves;
+* up to ``MOST_BUCKETS`` buckets of keys, a *key sketch* is broadcast: a Bloom
+  filter whose ``BITS_SET`` bits of a key all lie in one bucket of 4 KB.  Sales
+  whose key it excludes can't be reversed and pass on where they are; only the
+  few candidates are shuffled to the index;
+* beyond, sales join the index by key (adaptive execution splits skewed keys).
+
+The sketch never excludes a key of the index, so all three give the same rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import cached_property
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.storage import written
+
 MATCH_KEYS = ["customer_id", "stock_code", "unit_price", "quantity"]
+#: Broadcast bounds: an index of so many short rows, or so many buckets of 4 KB (32 MB).
+BROADCAST_KEYS = 100_000
+MOST_BUCKETS = 8192
+BUCKET_BITS, WORD_BITS = 32_768, 64
+BITS_PER_KEY, BITS_SET = 16, 3
 
 
 def reversal_index(cancels: DataFrame) -> DataFrame:
@@ -34,21 +50,116 @@ def reversal_index(cancels: DataFrame) -> DataFrame:
     )
 
 
-def flag_reversed(sales: DataFrame, cancels: DataFrame) -> DataFrame:
-    """Sales with a boolean ``is_reversed`` column."""
-    idx = reversal_index(cancels)
-    return sales.join(idx, MATCH_KEYS, "left").withColumn(
-        "is_reversed", F.coalesce(F.col("last_reversal_at") >= F.col("invoice_date"), F.lit(False))
-    ).drop("last_reversal_at")
+def _bucket(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def _bits(keys: list[str]) -> list[Column]:
+    """The places of a key's bits in its bucket."""
+    h = F.xxhash64(*keys, F.lit(1))
+    width = BUCKET_BITS.bit_length() - 1
+    return [F.shiftright(h, i * width).bitwiseAND(F.lit(BUCKET_BITS - 1)).cast("int") for i in range(BITS_SET)]
+
+
+def key_sketch(index: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """(bucket, words): the bits of all keys, at most ``buckets`` rows of ``BUCKET_BITS`` bits."""
+    marks = index.select(_bucket(keys, buckets).alias("bucket"), F.explode(F.array(*_bits(keys))).alias("bit"))
+    words = marks.groupBy("bucket", F.call_function("div", F.col("bit"), F.lit(WORD_BITS)).cast("int").alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, bit % {WORD_BITS})")).alias("mask")
+    )
+    held = words.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("m"))
+    every = F.sequence(F.lit(0), F.lit(BUCKET_BITS // WORD_BITS - 1))
+    return held.select("bucket", F.transform(every, lambda w: F.coalesce(F.col("m")[w], F.lit(0).cast("long"))).alias("words"))
+
+
+def may_hold(df: DataFrame, sketch: DataFrame, keys: list[str], buckets: int, name: str) -> DataFrame:
+    """``df`` with a boolean: false if the sketch excludes the key of a row."""
+    looked = df.withColumn("__bucket", _bucket(keys, buckets)).join(
+        F.broadcast(sketch.withColumnsRenamed({"bucket": "__b", "words": "__words"})), F.col("__bucket") == F.col("__b"), "left"
+    )
+    held = F.col("__words").isNotNull()
+    for bit in _bits(keys):
+        word = F.get(F.col("__words"), F.shiftright(bit, WORD_BITS.bit_length() - 1))
+        held = held & (F.getbit(word, bit.bitwiseAND(F.lit(WORD_BITS - 1))) == 1)
+    return looked.withColumn(name, F.coalesce(held, F.lit(False))).drop("__bucket", "__b", "__words")
+
+
+class Reversals:
+    """The reversal index of a basis' cancellations, written once, and the way sales meet it."""
+
+    def __init__(self, cancels: DataFrame, broadcast_keys: int | None = None, most_buckets: int | None = None):
+        self.index = written(reversal_index(cancels), "reversals")
+        self.keys = self.index.count()
+        needed = max(1, -(-self.keys * BITS_PER_KEY // BUCKET_BITS))
+        self.buckets = 1 << (needed - 1).bit_length()
+        if self.keys <= (BROADCAST_KEYS if broadcast_keys is None else broadcast_keys):
+            self.way = "broadcast"
+        elif self.buckets <= (MOST_BUCKETS if most_buckets is None else most_buckets):
+            self.way = "sketch"
+        else:
+            self.way = "join"
+
+    @cached_property
+    def sketch(self) -> DataFrame:
+        return written(key_sketch(self.index, MATCH_KEYS, self.buckets), "key-sketch")
+
+    def _matched(self, sales: DataFrame) -> DataFrame:
+        index = F.broadcast(self.index) if self.way == "broadcast" else self.index
+        return sales.join(index, MATCH_KEYS, "left").withColumn(
+            "is_reversed", F.coalesce(F.col("last_reversal_at") >= F.col("invoice_date"), F.lit(False))
+        ).drop("last_reversal_at")
+
+    def flag(self, sales: DataFrame) -> DataFrame:
+        """Sales with a boolean ``is_reversed`` column."""
+        if self.way != "sketch":
+            return self._matched(sales)
+        tested = may_hold(sales, self.sketch, MATCH_KEYS, self.buckets, "__maybe")
+        clear = tested.where(~F.col("__maybe")).withColumn("is_reversed", F.lit(False))
+        return clear.unionByName(self._matched(tested.where("__maybe"))).drop("__maybe")
+
+    def net_grain(self, sales: DataFrame) -> DataFrame:
+        """The (customer, day, invoice) grain of the sales that are not reversed.
+
+        With a sketch, candidates keep their match key in the first aggregate and the other lines
+        are summed there; both parts read its one exchange, so lines are scanned and shuffled once.
+        The parts are told apart by an aggregate, which the optimiser can't push below the exchange.
+        """
+        from tillroll.operators.grain import invoice_grain
+
+        if self.way != "sketch":
+            return invoice_grain(self._matched(sales).where(~F.col("is_reversed")))
+        line = F.struct("stock_code", "unit_price", "quantity", "invoice_date")
+        tested = may_hold(sales, self.sketch, MATCH_KEYS, self.buckets, "__maybe")
+        first = tested.groupBy(
+            "customer_id", "order_date", "invoice_no", F.when(F.col("__maybe"), line).alias("__line")
+        ).agg(
+            F.sum("quantity").cast("bigint").alias("items"), F.sum("sales_value").alias("value"),
+            F.max("__maybe").alias("__maybe"),
+        )
+        clear = first.where(~F.col("__maybe")).select("customer_id", "order_date", "invoice_no", "items", "value")
+        doubtful = first.where("__maybe").select("customer_id", "order_date", "invoice_no", "items", "value", "__line.*")
+        kept = self._matched(doubtful).where(~F.col("is_reversed")).select(*clear.columns)
+        return clear.unionByName(kept).groupBy("customer_id", "order_date", "invoice_no").agg(
+            F.sum("items").cast("bigint").alias("items"), F.sum("value").alias("value")
+        )
+
+
+def _reversals(cancels: DataFrame | Reversals) -> Reversals:
+    return cancels if isinstance(cancels, Reversals) else Reversals(cancels)
+
+
+def flag_reversed(sales: DataFrame, cancels: DataFrame | Reversals) -> DataFrame:
+    """Sales with a boolean ``is_reversed`` column; ``cancels`` are lines, or their index."""
+    return _reversals(cancels).flag(sales)
 
 
-def valid_sales_net(sales: DataFrame, cancels: DataFrame) -> DataFrame:
+def valid_sales_net(sales: DataFrame, cancels: DataFrame | Reversals) -> DataFrame:
     """Sales that no cancellation reverses (the corrected basis)."""
     cols = sales.columns
     return flag_reversed(sales, cancels).where(~F.col("is_reversed")).select(*cols)
 
 
-def reversed_sales(sales: DataFrame, cancels: DataFrame) -> DataFrame:
+def reversed_sales(sales: DataFrame, cancels: DataFrame | Reversals) -> DataFrame:
     """Sales that some cancellation reverses (each counted once)."""
     cols = sales.columns
     return flag_reversed(sales, cancels).where(F.col("is_reversed")).select(*cols)

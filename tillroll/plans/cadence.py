@@ -1,11 +1,10 @@
 """Cadence-based retention: each customer judged against their own rhythm.
 
-Purchase occasion = a distinct order day.  Gaps come from ``lag`` over a
-customer's occasions (a window partitioned by customer; the group size is
-bounded by the number of calendar days in the data, not by line volume).
-The per-customer median uses Spark's exact ``percentile``, which is fine for
-such bounded groups.  Medians of whole days are multiples of 0.5, so the
-``decimal(…,1)`` median and every comparison against it are exact.
+Purchase occasion = a distinct order day.  Gaps, their median, mean and extremes
+are read off the customer's day set (``operators/dayset.py``), whose size is
+bounded by the number of calendar days in the data, not by line volume.
+Medians of whole days are multiples of 0.5, so the ``decimal(…,1)`` median and
+every comparison against it are exact.
 """
 
 from __future__ import annotations
@@ -13,11 +12,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.exact import as_units, avg_money, money, pct, round_div
-from tillroll.operators.grain import customer_summary, occasions, sequenced_occasions, with_dataset_end
+from tillroll.operators import dayset
+from tillroll.operators.grain import occasions
 
 # Cadence segment labels (the report contract).
 SINGLE = "Single purchase - no cadence"
@@ -35,28 +35,44 @@ FLAGGED = "4. Past 2x and past the floor - FLAGGED"
 MEDIAN_TYPE = "decimal(10,1)"
 
 
-def gap_table(grain: DataFrame) -> DataFrame:
-    """One row per real gap (customer, gap_days, purchase_no of the later occasion)."""
-    seq = sequenced_occasions(occasions(grain).select("customer_id", "order_date"))
-    return seq.where(F.col("gap_days").isNotNull()).select("customer_id", "order_date", "purchase_no", "gap_days")
-
-
-def gap_stats(grain: DataFrame) -> DataFrame:
-    g = gap_table(grain)
-    return g.groupBy("customer_id").agg(
-        F.count(F.lit(1)).alias("gap_count"),
-        F.percentile(F.col("gap_days"), F.lit(0.5)).cast(MEDIAN_TYPE).alias("median_gap_days"),
-        round_div(F.sum("gap_days"), F.count(F.lit(1)), 1).alias("mean_gap_days"),
-        F.min("gap_days").alias("shortest_gap_days"),
-        F.max("gap_days").alias("longest_gap_days"),
+def gap_table(sets: DataFrame) -> DataFrame:
+    """One row per real gap (customer, purchase_no of the later occasion, gap_days)."""
+    sets = dayset.of(sets)
+    return sets.select("customer_id", F.posexplode(dayset.gaps()).alias("at", "gap_days")).select(
+        "customer_id", (F.col("at") + 2).cast("bigint").alias("purchase_no"), "gap_days"
     )
 
 
-def customer_cadence(grain: DataFrame, multiple: int = 2, floor_days: int = 30) -> DataFrame:
-    """One row per customer of this basis (given as its invoice grain) with gap
-    statistics and the segment."""
-    summ = with_dataset_end(customer_summary(grain), grain)
-    df = summ.join(gap_stats(grain), "customer_id", "left")
+def customer_cadence(sets: DataFrame, multiple: int = 2, floor_days: int = 30, first_orders: bool = False) -> DataFrame:
+    """One row per customer of this basis (given as its day sets) with gap
+    statistics and the segment; ``total_invoices`` only if the sets count them.
+
+    ``first_orders`` adds value and items of the first day and the days to the second,
+    which the same set holds, so that no report joins them to the cadence.
+    """
+    sets = dayset.of(sets, count_invoices=True)
+    counted = dayset.counts_invoices(sets)
+    df = sets.select(
+        "customer_id",
+        dayset.nth_day(0)["day"].alias("first_order_date"),
+        dayset.nth_day(-1)["day"].alias("last_order_date"),
+        dayset.occasions().alias("purchase_occasions"),
+        *([dayset.total("new_invoices").alias("total_invoices")] if counted else []),
+        dayset.total("items").alias("total_items"),
+        dayset.spend().alias("total_spend"),
+        dayset.gaps().alias("__gaps"),
+        *([dayset.nth_day(0)["value"].alias("first_order_value"), dayset.nth_day(0)["items"].alias("first_order_items")] if first_orders else []),
+    )
+    n = F.size("__gaps").cast("bigint")
+    some = lambda c: F.when(n > 0, c)
+    df = dayset.with_last_day(df, sets).withColumns({
+        "gap_count": some(n),
+        "median_gap_days": dayset.median_of(F.col("__gaps"), MEDIAN_TYPE),
+        # The gaps of a history add up to its span.
+        "mean_gap_days": round_div(F.datediff("last_order_date", "first_order_date"), n, 1),
+        "shortest_gap_days": F.array_min("__gaps"),
+        "longest_gap_days": F.array_max("__gaps"),
+    })
     quiet = F.datediff("dataset_end_date", "last_order_date").cast("bigint")
     med = F.col("median_gap_days")
     tenths = (med * 10).cast("decimal(20,0)")
@@ -69,7 +85,7 @@ def customer_cadence(grain: DataFrame, multiple: int = 2, floor_days: int = 30)
         "dataset_end_date",
         "days_since_last_order",
         "purchase_occasions",
-        "total_invoices",
+        *(["total_invoices"] if counted else []),
         "total_items",
         "total_spend",
         avg_money("total_spend", "purchase_occasions").alias("avg_value_per_occasion"),
@@ -86,6 +102,7 @@ def customer_cadence(grain: DataFrame, multiple: int = 2, floor_days: int = 30)
         .when((quiet > med * F.lit(multiple)) & (quiet >= floor_days), F.lit(OVERDUE))
         .otherwise(F.lit(WITHIN))
         .alias("cadence_segment"),
+        *(["first_order_value", "first_order_items", F.get("__gaps", F.lit(0)).alias("days_to_second_purchase")] if first_orders else []),
     )
 
 
@@ -94,19 +111,12 @@ def _med_dbl(c="median_gap_days"):
 
 
 def cadence_multiple_evidence(
-    grain: DataFrame, multiples: Sequence[str] = ("1.5", "2", "2.5", "3", "4"), min_gaps: int = 2
+    sets: DataFrame, multiples: Sequence[str] = ("1.5", "2", "2.5", "3", "4"), min_gaps: int = 2
 ) -> DataFrame:
-    """Share of real gaps above k x the customer's own median (customers with >= min_gaps gaps).
-
-    The median and gap count are window aggregates over the customer's gaps,
-    which are already clustered by customer after the ``lag`` window.
-    """
-    g = gap_table(grain)
-    w = Window.partitionBy("customer_id")
-    g = g.withColumn("__med", F.percentile(F.col("gap_days"), F.lit(0.5)).over(w).cast(MEDIAN_TYPE)).withColumn(
-        "__n", F.count(F.lit(1)).over(w)
-    )
-    g = g.where(F.col("__n") >= min_gaps)
+    """Share of real gaps above k x the customer's own median (customers with >= min_gaps gaps)."""
+    sets = dayset.of(sets)
+    own = sets.select(dayset.gaps().alias("__gaps")).where(F.size("__gaps") >= min_gaps)
+    g = own.select(dayset.median_of(F.col("__gaps"), MEDIAN_TYPE).alias("__med"), F.explode("__gaps").alias("gap_days"))
     aggs = [F.count(F.lit(1)).alias("historical_gaps_examined")]
     for m in multiples:
         name = "pct_exceeding_" + m.replace(".", "_") + "x"
@@ -330,13 +340,11 @@ def same_day_collapse(grain: DataFrame) -> DataFrame:
     )
 
 
-def gap_distribution(grain: DataFrame) -> DataFrame:
-    """Mean, exact median and longest of all real gaps (one exact quantile job)."""
+def gap_distribution(sets: DataFrame) -> DataFrame:
+    """Mean, exact median and longest of all real gaps."""
     from tillroll.operators.quantiles import exact_quantiles
 
-    from tillroll.operators.grain import reuse
-
-    g = reuse(gap_table(grain).select("gap_days"))
+    g = gap_table(sets).select("gap_days")
     q = exact_quantiles(g, [], "gap_days", ["0.5"], value_type="decimal(12,0)")
     agg = g.agg(
         F.count(F.lit(1)).alias("gaps_examined"),

@@ -1,9 +1,8 @@
 """First-purchase-month cohorts (corrected basis).
 
-Activity is reduced to the (customer, month) grain first; a customer's cohort
-month is the earliest of their months (a per-customer window over at most
-one row per calendar month).  The triangle grid is cohorts x month indexes:
-a cell is NULL when that month is not yet fully observed and 0 when it is
+A customer's first day and active months are read off their day set; the cohort
+month is the earliest of the months.  The triangle grid is cohorts x month
+indexes: a cell is NULL when that month is not yet fully observed and 0 when it is
 observed and nobody came back.
 """
 
@@ -11,20 +10,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.exact import money, pct
+from tillroll.operators import dayset
 
 DEFAULT_TRIANGLE_MONTHS = (1, 2, 3, 4, 5, 6, 9, 11)
 
 
-def first_months(grain: DataFrame) -> DataFrame:
-    return grain.groupBy("customer_id").agg(F.trunc(F.min("order_date"), "MM").alias("cohort_month"))
+def first_months(sets: DataFrame) -> DataFrame:
+    return dayset.of(sets).select("customer_id", F.trunc(dayset.nth_day(0)["day"], "MM").alias("cohort_month"))
 
 
-def cohort_sizes(grain: DataFrame) -> DataFrame:
-    sizes = first_months(grain).groupBy("cohort_month").agg(F.count(F.lit(1)).alias("cohort_size"))
+def cohort_sizes(sets: DataFrame) -> DataFrame:
+    sizes = first_months(sets).groupBy("cohort_month").agg(F.count(F.lit(1)).alias("cohort_size"))
     total = sizes.agg(F.sum("cohort_size").alias("__t"))
     return (
         sizes.crossJoin(F.broadcast(total))
@@ -33,12 +33,12 @@ def cohort_sizes(grain: DataFrame) -> DataFrame:
     )
 
 
-def opening_pileup(grain: DataFrame, before: str | None = None, opening_days: int = 12) -> DataFrame:
+def opening_pileup(sets: DataFrame, before: str | None = None, opening_days: int = 12) -> DataFrame:
     """Customers whose first purchase falls in the opening days of the data.
 
     ``before`` is an exclusive date; by default the first day + ``opening_days``.
     """
-    firsts = grain.groupBy("customer_id").agg(F.min("order_date").alias("first_date"))
+    firsts = dayset.of(sets).select("customer_id", dayset.nth_day(0)["day"].alias("first_date"))
     if before is None:
         bound = firsts.agg(F.date_add(F.min("first_date"), opening_days).alias("__b"))
     else:
@@ -52,11 +52,11 @@ def opening_pileup(grain: DataFrame, before: str | None = None, opening_days: in
     )
 
 
-def last_complete_month(grain: DataFrame) -> DataFrame:
+def last_complete_month(sets: DataFrame) -> DataFrame:
     """One row: the last month fully inside the data (a month ending on the
     last day counts as complete)."""
-    end = F.max("order_date")
-    return grain.agg(
+    end = F.col("dataset_end_date")
+    return dayset.last_day(dayset.of(sets)).select(
         F.when(end == F.last_day(end), F.trunc(end, "MM"))
         .otherwise(F.add_months(F.trunc(end, "MM"), -1))
         .alias("last_complete_month")
@@ -64,16 +64,16 @@ def last_complete_month(grain: DataFrame) -> DataFrame:
 
 
 def retention_triangle(
-    grain: DataFrame, last_complete: str | None = None, months: Sequence[int] = DEFAULT_TRIANGLE_MONTHS
+    sets: DataFrame, last_complete: str | None = None, months: Sequence[int] = DEFAULT_TRIANGLE_MONTHS
 ) -> DataFrame:
-    spark = grain.sparkSession
+    spark, sets = sets.sparkSession, dayset.of(sets)
     if last_complete is None:
-        bound = last_complete_month(grain)
+        bound = last_complete_month(sets)
     else:
         bound = spark.range(1).select(F.lit(last_complete).cast("date").alias("last_complete_month"))
 
-    active = grain.select("customer_id", F.trunc("order_date", "MM").alias("order_month")).distinct()
-    active = active.withColumn("cohort_month", F.min("order_month").over(Window.partitionBy("customer_id")))
+    active = sets.select(dayset.months().alias("__months"))
+    active = active.select(F.get("__months", F.lit(0)).alias("cohort_month"), F.explode("__months").alias("order_month"))
     idx = (F.year("order_month") - F.year("cohort_month")) * 12 + F.month("order_month") - F.month("cohort_month")
     counts = (
         active.crossJoin(F.broadcast(bound))

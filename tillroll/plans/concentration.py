@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from tillroll.functions.exact import as_units, money, pct, round_div
 from tillroll.operators.grain import latest_by
 from tillroll.operators.ranking import global_rank
-from tillroll.operators.reversal import flag_reversed, reversed_sales, unmatched_cancellations
+from tillroll.operators.reversal import Reversals, flag_reversed, reversed_sales, unmatched_cancellations
 
 
-def reversed_sales_impact(sales: DataFrame, cancels: DataFrame) -> DataFrame:
+def reversed_sales_impact(sales: DataFrame, cancels: DataFrame | Reversals) -> DataFrame:
     """Published sale lines that a later cancellation reverses (each once)."""
     flagged = flag_reversed(sales, cancels)
     rev = F.col("is_reversed")
@@ -199,12 +199,12 @@ def unmatched_cancellation_summary(sales: DataFrame, cancels: DataFrame) -> Data
     )
 
 
-def reversal_bracket(sales: DataFrame, cancels: DataFrame) -> DataFrame:
+def reversal_bracket(sales: DataFrame, cancels: DataFrame, reversals: Reversals | None = None) -> DataFrame:
     """Upper bound, measured fix and unmatched value -> range of true net sales."""
     ident = cancels.where(F.col("customer_id").isNotNull()).agg(
         F.coalesce(F.sum("cancellation_value"), F.lit(0)).alias("__upper")
     )
-    flagged = flag_reversed(sales, cancels).agg(
+    flagged = flag_reversed(sales, reversals or cancels).agg(
         F.coalesce(F.sum(F.when(F.col("is_reversed"), F.col("sales_value"))), F.lit(0)).alias("__fix"),
         F.sum("sales_value").alias("__pub"),
     )

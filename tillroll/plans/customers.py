@@ -1,6 +1,6 @@
 """Customer profile and the fixed-recency (90-day) segmentation.
 
-One row per customer, built from the invoice grain.  "Now" is the last order
+One row per customer, read off the day sets.  "Now" is the last order
 date of the same basis, attached as a one-row broadcast.  The spend quintile
 is NTILE(5) over the global spend order, computed from ``global_rank`` (range
 partitions + prefix offsets) instead of a single-partition window.
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.exact import as_units, avg_money, money, round_div
-from tillroll.operators.grain import customer_summary, with_dataset_end
+from tillroll.operators import dayset
 from tillroll.operators.ranking import global_rank, ntile_from_rank
 
 # Segment labels of the 90-day rule (the report contract).
@@ -37,12 +37,21 @@ def segment_rule(orders, spend, quiet, high_value=1000, quiet_days=90, min_order
 
 
 def customer_profile(
-    grain: DataFrame, high_value=1000, quiet_days=90, min_orders=2, quintiles: int | None = 5
+    sets: DataFrame, high_value=1000, quiet_days=90, min_orders=2, quintiles: int | None = 5
 ) -> DataFrame:
-    """The profile view from a basis' invoice grain; ``quintiles=None`` leaves
+    """The profile view from a basis' day sets (with counted invoices); ``quintiles=None`` leaves
     out the spend quintile (and with it the global spend ranking) for reports
     that do not read it."""
-    summ = with_dataset_end(customer_summary(grain), grain).withColumn(
+    sets = dayset.of(sets, count_invoices=True)
+    summ = sets.select(
+        "customer_id",
+        dayset.nth_day(0)["day"].alias("first_order_date"),
+        dayset.nth_day(-1)["day"].alias("last_order_date"),
+        dayset.total("new_invoices").alias("total_invoices"),
+        dayset.total("items").alias("total_items"),
+        dayset.spend().alias("total_spend"),
+    )
+    summ = dayset.with_last_day(summ, sets).withColumn(
         "days_since_last_order", F.datediff("dataset_end_date", "last_order_date").cast("bigint")
     )
     if quintiles:

@@ -1,9 +1,8 @@
 """First-to-second purchase analysis (corrected basis).
 
-``first_second_purchase`` folds each customer's purchase occasions (distinct
-days; the occasion grain already carries the day's value and items) into
-one row.  Because the first occasion row *is* the whole first day, the value
-of the first order needs no self-join back to the lines.
+``first_second_purchase`` reads the first and second day off each customer's
+day set.  A day carries its value and items, so the value of the first order
+needs no way back to the lines.
 
 Counting reports pre-aggregate to the (observation days, days to second)
 grain before meeting their parameter lists, so a list of windows never
@@ -18,8 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.exact import avg_money, avg_round, money, pct, round_div
-from tillroll.operators.grain import occasions, reuse, sequenced_occasions, with_dataset_end
+from tillroll.operators import dayset
 from tillroll.operators.quantiles import exact_quantiles
+from tillroll.plans.cadence import gap_table
 
 # Group labels of the reports.
 ONE_AND_DONE = "One and done"
@@ -28,24 +28,32 @@ FIRST_GAP = "Gap 1->2 (winning the second purchase)"
 LATER_GAPS = "All later gaps (2->3, 3->4, ...)"
 
 
-def first_second_purchase(grain: DataFrame) -> DataFrame:
-    """One row per customer from the corrected basis' invoice grain."""
-    seq = sequenced_occasions(occasions(grain))
-    first = F.col("purchase_no") == 1
-    folded = seq.groupBy("customer_id").agg(
-        F.max(F.when(first, F.col("order_date"))).alias("first_purchase_date"),
-        F.max(F.when(F.col("purchase_no") == 2, F.col("order_date"))).alias("second_purchase_date"),
-        F.count(F.lit(1)).alias("purchase_occasions"),
-        F.max(F.when(first, F.col("value"))).alias("first_order_value"),
-        F.max(F.when(first, F.col("items"))).cast("bigint").alias("first_order_items"),
-    )
-    return with_dataset_end(folded, grain).select(
+def first_second_purchase(sets: DataFrame, observed: bool = True) -> DataFrame:
+    """One row per customer from the corrected basis' day sets.
+
+    ``observed=False`` leaves out ``observation_days``, and with it the end of the data.
+    """
+    sets = dayset.of(sets)
+    first, second = dayset.nth_day(0), dayset.nth_day(1)
+    folded = sets.select(
+        "customer_id",
+        first["day"].alias("first_purchase_date"),
+        second["day"].alias("second_purchase_date"),
+        dayset.occasions().alias("purchase_occasions"),
+        first["value"].alias("first_order_value"),
+        first["items"].cast("bigint").alias("first_order_items"),
+    )
+    span = []
+    if observed:
+        folded = dayset.with_last_day(folded, sets)
+        span = [F.datediff("dataset_end_date", "first_purchase_date").cast("bigint").alias("observation_days")]
+    return folded.select(
         "customer_id",
         "first_purchase_date",
         "second_purchase_date",
         "purchase_occasions",
         F.datediff("second_purchase_date", "first_purchase_date").cast("bigint").alias("days_to_second_purchase"),
-        F.datediff("dataset_end_date", "first_purchase_date").cast("bigint").alias("observation_days"),
+        *span,
         "first_order_value",
         "first_order_items",
         (F.col("purchase_occasions") == 1).alias("is_one_and_done"),
@@ -100,7 +108,7 @@ def one_and_done_by_window(fsp: DataFrame, windows: Sequence[int] = DEFAULT_WIND
 
 
 def second_purchase_timing(fsp: DataFrame) -> DataFrame:
-    rep = reuse(fsp.where(F.col("second_purchase_date").isNotNull()).select("days_to_second_purchase"))
+    rep = fsp.where(F.col("second_purchase_date").isNotNull()).select("days_to_second_purchase")
     q = exact_quantiles(rep, [], "days_to_second_purchase", ["0.25", "0.5", "0.75", "0.9"], value_type="decimal(12,0)")
     agg = rep.agg(
         F.count(F.lit(1)).alias("repeat_buyers"),
@@ -120,13 +128,10 @@ def second_purchase_timing(fsp: DataFrame) -> DataFrame:
     )
 
 
-def gap_first_vs_later(grain: DataFrame) -> DataFrame:
-    seq = sequenced_occasions(occasions(grain).select("customer_id", "order_date"))
-    gaps = reuse(
-        seq.where(F.col("gap_days").isNotNull()).select(
-            F.when(F.col("purchase_no") == 2, F.lit(FIRST_GAP)).otherwise(F.lit(LATER_GAPS)).alias("which_gap"),
-            "gap_days",
-        )
+def gap_first_vs_later(sets: DataFrame) -> DataFrame:
+    gaps = gap_table(sets).select(
+        F.when(F.col("purchase_no") == 2, F.lit(FIRST_GAP)).otherwise(F.lit(LATER_GAPS)).alias("which_gap"),
+        "gap_days",
     )
     q = exact_quantiles(gaps, ["which_gap"], "gap_days", ["0.5"], value_type="decimal(12,0)")
     agg = gaps.groupBy("which_gap").agg(
@@ -176,12 +181,10 @@ def return_cutoff_curve(fsp: DataFrame, cutoffs: Sequence[int] = DEFAULT_CUTOFFS
 
 
 def one_and_done_value(fsp: DataFrame) -> DataFrame:
-    g = reuse(
-        fsp.select(
-            F.when(F.col("is_one_and_done"), F.lit(ONE_AND_DONE)).otherwise(F.lit(CAME_BACK)).alias("group_name"),
-            "first_order_value",
-            "first_order_items",
-        )
+    g = fsp.select(
+        F.when(F.col("is_one_and_done"), F.lit(ONE_AND_DONE)).otherwise(F.lit(CAME_BACK)).alias("group_name"),
+        "first_order_value",
+        "first_order_items",
     )
     q = exact_quantiles(g, ["group_name"], "first_order_value", ["0.5"])
     agg = g.groupBy("group_name").agg(

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.exact import avg_money, avg_round, round_exact
-from tillroll.operators.grain import reuse
 from tillroll.operators.quantiles import column_quantiles, exact_quantiles
 from tillroll.plans.cadence import OVERDUE, SCORED_SEGMENTS, WITHIN
 
@@ -29,7 +28,7 @@ def _returned_group(fsp: DataFrame) -> DataFrame:
 
 
 def _value_items_report(g: DataFrame, with_days_observed: bool) -> DataFrame:
-    g = reuse(g.select("customer_group", "first_order_value", "first_order_items", "observation_days"))
+    g = g.select("customer_group", "first_order_value", "first_order_items", "observation_days")
     q = column_quantiles(g, ["customer_group"], ["first_order_value", "first_order_items"], ["0.5"]).select(
         "customer_group",
         F.col("first_order_value__p_0_5").alias("__mv"),
@@ -61,7 +60,8 @@ def _value_items_report(g: DataFrame, with_days_observed: bool) -> DataFrame:
 
 
 def first_hurdle(fsp: DataFrame) -> DataFrame:
-    return _value_items_report(_returned_group(fsp), True)
+    # True of all customers: medians and means then read the same joined relation, and share its exchanges.
+    return _value_items_report(_returned_group(fsp.where(F.col("observation_days") >= 0)), True)
 
 
 def first_hurdle_fair(fsp: DataFrame, min_observed: int = 90) -> DataFrame:
@@ -72,16 +72,16 @@ def _scored(cadence_net: DataFrame) -> DataFrame:
     return cadence_net.where(F.col("cadence_segment").isin(list(SCORED_SEGMENTS)))
 
 
-def stayers_vs_lapsed(cadence_net: DataFrame, fsp: DataFrame) -> DataFrame:
-    j = (
-        _scored(cadence_net)
-        .select("customer_id", F.col("cadence_segment").alias("customer_group"), "purchase_occasions", "total_spend")
-        .join(
-            fsp.select("customer_id", "first_order_value", "first_order_items", "days_to_second_purchase"),
-            "customer_id",
-        )
-    )
-    j = reuse(j)
+def _scored_with_first(cadence_net: DataFrame, fsp: DataFrame | None) -> DataFrame:
+    """Scored customers with their first order: their own columns, or joined from ``fsp``."""
+    if fsp is None:
+        return _scored(cadence_net)
+    first = fsp.select("customer_id", "first_order_value", "first_order_items", "days_to_second_purchase")
+    return _scored(cadence_net).join(first, "customer_id")
+
+
+def stayers_vs_lapsed(cadence_net: DataFrame, fsp: DataFrame | None = None) -> DataFrame:
+    j = _scored_with_first(cadence_net, fsp).withColumnRenamed("cadence_segment", "customer_group")
     grp = ["customer_group"]
     q = column_quantiles(
         j, grp, ["first_order_value", "first_order_items", "days_to_second_purchase"], ["0.5"]
@@ -137,13 +137,9 @@ def control_check(cadence_net: DataFrame) -> DataFrame:
     )
 
 
-def first_order_spread(cadence_net: DataFrame, fsp: DataFrame) -> DataFrame:
+def first_order_spread(cadence_net: DataFrame, fsp: DataFrame | None = None) -> DataFrame:
     probs = ["0.1", "0.25", "0.5", "0.75", "0.9"]
-    j = reuse(
-        _scored(cadence_net)
-        .select("customer_id", F.col("cadence_segment").alias("customer_group"))
-        .join(fsp.select("customer_id", "first_order_value"), "customer_id")
-    )
+    j = _scored_with_first(cadence_net, fsp).withColumnRenamed("cadence_segment", "customer_group")
     q = exact_quantiles(j, ["customer_group"], "first_order_value", probs)
     n = j.groupBy("customer_group").agg(F.count(F.lit(1)).alias("customers"))
     names = {"0.1": "p10", "0.25": "p25", "0.5": "p50", "0.75": "p75", "0.9": "p90"}
@@ -159,10 +155,8 @@ def first_order_spread(cadence_net: DataFrame, fsp: DataFrame) -> DataFrame:
 
 
 def cadence_structure(cadence_net: DataFrame) -> DataFrame:
-    s = reuse(
-        _scored(cadence_net).select(
-            F.col("cadence_segment").alias("customer_group"), "median_gap_days", "days_since_last_order"
-        )
+    s = _scored(cadence_net).select(
+        F.col("cadence_segment").alias("customer_group"), "median_gap_days", "days_since_last_order"
     )
     q = exact_quantiles(s, ["customer_group"], "median_gap_days", ["0.5"], value_type="decimal(12,1)")
     agg = s.groupBy("customer_group").agg(
@@ -184,17 +178,12 @@ def cadence_structure(cadence_net: DataFrame) -> DataFrame:
     )
 
 
-def within_band_compare(cadence_net: DataFrame, fsp: DataFrame) -> DataFrame:
+def within_band_compare(cadence_net: DataFrame, fsp: DataFrame | None = None) -> DataFrame:
     med = F.col("median_gap_days")
     band = F.lit(TOP_BAND)
     for limit, label in reversed(BANDS):
         band = F.when(med < limit, F.lit(label)).otherwise(band)
-    j = (
-        _scored(cadence_net)
-        .select("customer_id", "cadence_segment", band.alias("cadence_band"))
-        .join(fsp.select("customer_id", "days_to_second_purchase"), "customer_id")
-    )
-    j = reuse(j)
+    j = _scored_with_first(cadence_net, fsp).withColumn("cadence_band", band)
     q = exact_quantiles(j, ["cadence_band", "cadence_segment"], "days_to_second_purchase", ["0.5"], "decimal(20,0)")
     counts = j.groupBy("cadence_band").agg(
         F.count_if(F.col("cadence_segment") == WITHIN).alias("n_active"),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.exact import as_units, avg_money, avg_round, floor_div, money, pct, round_div, round_exact
-from tillroll.operators.grain import occasions, reuse
+from tillroll.operators import dayset
 from tillroll.operators.quantiles import exact_quantiles
 from tillroll.operators.ranking import global_rank
 
@@ -26,17 +26,16 @@ TOP_BAND = "11+ purchases"
 _FINE = 18
 
 
-def customer_value(grain: DataFrame) -> DataFrame:
-    """Spend, purchase occasions and items per customer from the invoice grain."""
-    return occasions(grain).groupBy("customer_id").agg(
-        F.sum("value").alias("spend"),
-        F.count(F.lit(1)).alias("purchase_occasions"),
-        F.sum("items").alias("items"),
+def customer_value(sets: DataFrame) -> DataFrame:
+    """Spend, purchase occasions and items per customer from the day sets."""
+    return dayset.of(sets).select(
+        "customer_id", dayset.spend().alias("spend"), dayset.occasions().alias("purchase_occasions"),
+        dayset.total("items").alias("items"),
     )
 
 
-def value_distribution(grain: DataFrame) -> DataFrame:
-    cv = reuse(customer_value(grain))
+def value_distribution(sets: DataFrame) -> DataFrame:
+    cv = customer_value(sets).select("spend")
     q = exact_quantiles(cv, [], "spend", ["0.25", "0.5", "0.75", "0.9"])
     agg = cv.agg(
         F.count(F.lit(1)).alias("customers"),
@@ -87,7 +86,7 @@ def mean_robustness(grain: DataFrame, top_k: int = 10, top_share_pct: int = 1) -
 
 
 def _group_report(cv: DataFrame, group: F.Column, name: str, extra_aggs, extra_cols, order_col: str) -> DataFrame:
-    g = reuse(cv.withColumn(name, group))
+    g = cv.withColumn(name, group)
     q = exact_quantiles(g, [name], "spend", ["0.5"])
     agg = g.groupBy(name).agg(
         F.count(F.lit(1)).alias("customers"),
@@ -112,8 +111,8 @@ def _group_report(cv: DataFrame, group: F.Column, name: str, extra_aggs, extra_c
     )
 
 
-def one_time_vs_repeat(grain: DataFrame) -> DataFrame:
-    cv = customer_value(grain)
+def one_time_vs_repeat(sets: DataFrame) -> DataFrame:
+    cv = customer_value(sets)
     group = F.when(F.col("purchase_occasions") == 1, F.lit(ONE_TIME_BUYER)).otherwise(F.lit(REPEAT_BUYER))
     return _group_report(
         cv,
@@ -125,8 +124,8 @@ def one_time_vs_repeat(grain: DataFrame) -> DataFrame:
     )
 
 
-def value_ladder(grain: DataFrame) -> DataFrame:
-    cv = customer_value(grain)
+def value_ladder(sets: DataFrame) -> DataFrame:
+    cv = customer_value(sets)
     occ = F.col("purchase_occasions")
     band = F.lit(TOP_BAND)
     for lo, hi, label in reversed(BANDS):

@@ -64,7 +64,7 @@ JOBS["spend_quintile_summary"] = lambda r: customers.spend_quintile_summary(r.pr
 JOBS["m_segment_counts"] = lambda r: customers.segment_measures(r.segments)
 
 # --- reversals and concentration (corrected basis) -----------------------------------
-JOBS["reversed_sales_impact"] = lambda r: concentration.reversed_sales_impact(r.sales, r.cancels)
+JOBS["reversed_sales_impact"] = lambda r: concentration.reversed_sales_impact(r.sales, r.reversals)
 JOBS["published_vs_corrected"] = lambda r: concentration.published_vs_corrected(r.sales, r.net)
 JOBS["pareto_test"] = lambda r: concentration.pareto_test(r.grain_net)
 JOBS["concentration_curve"] = lambda r: concentration.concentration_curve(r.grain_net)
@@ -73,51 +73,51 @@ JOBS["top10_customers"] = lambda r: concentration.top10_customers(r.grain_net, r
 JOBS["top10_exposure"] = lambda r: concentration.top10_exposure(r.grain_net)
 JOBS["top10_geography"] = lambda r: concentration.top10_geography(r.grain_net, r.net)
 JOBS["unmatched_cancellations"] = lambda r: concentration.unmatched_cancellation_summary(r.sales, r.cancels)
-JOBS["reversal_bracket"] = lambda r: concentration.reversal_bracket(r.sales, r.cancels)
+JOBS["reversal_bracket"] = lambda r: concentration.reversal_bracket(r.sales, r.cancels, r.reversals)
 JOBS["reversal_delay"] = lambda r: concentration.reversal_delay_summary(r.sales, r.cancels)
 
 # --- cadence rule (published basis) -------------------------------------------------
-JOBS["cadence_multiple_evidence"] = lambda r: cadence.cadence_multiple_evidence(r.grain)
-JOBS["cadence_segment_summary"] = lambda r: cadence.cadence_segment_summary(r.cadence)
-JOBS["cadence_at_risk_list"] = lambda r: cadence.cadence_at_risk_list(r.cadence)
-JOBS["rule_before_after"] = lambda r: cadence.rule_before_after(r.segments, r.cadence)
-JOBS["rule_movement_like_for_like"] = lambda r: cadence.rule_movement_like_for_like(r.segments, r.cadence)
-JOBS["rule_movement_headline"] = lambda r: cadence.rule_movement_headline(r.segments, r.cadence)
-JOBS["old_rule_false_alarms"] = lambda r: cadence.old_rule_false_alarms(r.segments, r.cadence)
-JOBS["old_rule_misses"] = lambda r: cadence.old_rule_misses(r.segments, r.cadence)
-JOBS["thin_history_buckets"] = lambda r: cadence.thin_history_buckets(r.cadence)
-JOBS["cadence_censoring"] = lambda r: cadence.cadence_censoring(r.cadence)
-JOBS["floor_suppressed"] = lambda r: cadence.floor_suppressed(r.cadence)
+JOBS["cadence_multiple_evidence"] = lambda r: cadence.cadence_multiple_evidence(r.days)
+JOBS["cadence_segment_summary"] = lambda r: cadence.cadence_segment_summary(r.cadence_days)
+JOBS["cadence_at_risk_list"] = lambda r: cadence.cadence_at_risk_list(r.cadence_days)
+JOBS["rule_before_after"] = lambda r: cadence.rule_before_after(r.segments, r.cadence_days)
+JOBS["rule_movement_like_for_like"] = lambda r: cadence.rule_movement_like_for_like(r.segments, r.cadence_days)
+JOBS["rule_movement_headline"] = lambda r: cadence.rule_movement_headline(r.segments, r.cadence_days)
+JOBS["old_rule_false_alarms"] = lambda r: cadence.old_rule_false_alarms(r.segments, r.cadence_days)
+JOBS["old_rule_misses"] = lambda r: cadence.old_rule_misses(r.segments, r.cadence_days)
+JOBS["thin_history_buckets"] = lambda r: cadence.thin_history_buckets(r.cadence_days)
+JOBS["cadence_censoring"] = lambda r: cadence.cadence_censoring(r.cadence_days)
+JOBS["floor_suppressed"] = lambda r: cadence.floor_suppressed(r.cadence_days)
 JOBS["same_day_collapse"] = lambda r: cadence.same_day_collapse(r.grain)
-JOBS["gap_distribution"] = lambda r: cadence.gap_distribution(r.grain)
-JOBS["rule_overlap_by_basis"] = lambda r: cadence.rule_overlap_by_basis(r.cadence, r.cadence_net)
+JOBS["gap_distribution"] = lambda r: cadence.gap_distribution(r.days)
+JOBS["rule_overlap_by_basis"] = lambda r: cadence.rule_overlap_by_basis(r.cadence_days, r.cadence_days_net)
 
 # --- first to second purchase, cohorts, value, stayers (corrected basis) ---------------
 from tillroll.plans import cohorts, second_purchase, stayers, value  # noqa: E402
 
-JOBS["one_and_done_rate"] = lambda r: second_purchase.one_and_done_rate(r.first_second)
+JOBS["one_and_done_rate"] = lambda r: second_purchase.one_and_done_rate(r.first_second_days)
 JOBS["single_invoice_rate"] = lambda r: second_purchase.single_invoice_rate(r.grain_net)
 JOBS["one_and_done_by_window"] = lambda r: second_purchase.one_and_done_by_window(r.first_second)
-JOBS["second_purchase_timing"] = lambda r: second_purchase.second_purchase_timing(r.first_second)
-JOBS["gap_first_vs_later"] = lambda r: second_purchase.gap_first_vs_later(r.grain_net)
+JOBS["second_purchase_timing"] = lambda r: second_purchase.second_purchase_timing(r.first_second_days)
+JOBS["gap_first_vs_later"] = lambda r: second_purchase.gap_first_vs_later(r.days_net)
 JOBS["return_cutoff_curve"] = lambda r: second_purchase.return_cutoff_curve(r.first_second)
-JOBS["one_and_done_value"] = lambda r: second_purchase.one_and_done_value(r.first_second)
-JOBS["cohort_sizes"] = lambda r: cohorts.cohort_sizes(r.grain_net)
-JOBS["opening_pileup"] = lambda r: cohorts.opening_pileup(r.grain_net)
-JOBS["retention_triangle"] = lambda r: cohorts.retention_triangle(r.grain_net)
+JOBS["one_and_done_value"] = lambda r: second_purchase.one_and_done_value(r.first_second_days)
+JOBS["cohort_sizes"] = lambda r: cohorts.cohort_sizes(r.days_net)
+JOBS["opening_pileup"] = lambda r: cohorts.opening_pileup(r.days_net)
+JOBS["retention_triangle"] = lambda r: cohorts.retention_triangle(r.days_net)
 JOBS["cohort_equal_age_repeat"] = lambda r: cohorts.cohort_equal_age_repeat(r.first_second)
 JOBS["monthly_volume_net"] = lambda r: cohorts.monthly_volume(r.grain_net)
-JOBS["customer_value_distribution"] = lambda r: value.value_distribution(r.grain_net)
+JOBS["customer_value_distribution"] = lambda r: value.value_distribution(r.days_net)
 JOBS["mean_robustness"] = lambda r: value.mean_robustness(r.grain_net)
-JOBS["one_time_vs_repeat"] = lambda r: value.one_time_vs_repeat(r.grain_net)
-JOBS["value_ladder"] = lambda r: value.value_ladder(r.grain_net)
+JOBS["one_time_vs_repeat"] = lambda r: value.one_time_vs_repeat(r.days_net)
+JOBS["value_ladder"] = lambda r: value.value_ladder(r.days_net)
 JOBS["first_hurdle"] = lambda r: stayers.first_hurdle(r.first_second)
 JOBS["first_hurdle_fair"] = lambda r: stayers.first_hurdle_fair(r.first_second)
-JOBS["stayers_vs_lapsed"] = lambda r: stayers.stayers_vs_lapsed(r.cadence_net, r.first_second)
-JOBS["control_check"] = lambda r: stayers.control_check(r.cadence_net)
-JOBS["first_order_spread"] = lambda r: stayers.first_order_spread(r.cadence_net, r.first_second)
-JOBS["cadence_structure"] = lambda r: stayers.cadence_structure(r.cadence_net)
-JOBS["within_band_compare"] = lambda r: stayers.within_band_compare(r.cadence_net, r.first_second)
+JOBS["stayers_vs_lapsed"] = lambda r: stayers.stayers_vs_lapsed(r.stories_net)
+JOBS["control_check"] = lambda r: stayers.control_check(r.cadence_days_net)
+JOBS["first_order_spread"] = lambda r: stayers.first_order_spread(r.stories_net)
+JOBS["cadence_structure"] = lambda r: stayers.cadence_structure(r.cadence_days_net)
+JOBS["within_band_compare"] = lambda r: stayers.within_band_compare(r.stories_net)
 
 # --- measures and the date dimension --------------------------------------------------
 from tillroll.plans import extras, measures  # noqa: E402

@@ -28,8 +28,8 @@ _TRANSPARENT = {
 # tables and the one-row session range.  Aggregates are judged by their keys.
 _REDUCED = {"TakeOrderedAndProjectExec", "GlobalLimitExec", "CollectLimitExec", "LocalTableScanExec", "RangeExec"}
 _AGGREGATES = {"HashAggregateExec", "ObjectHashAggregateExec", "SortAggregateExec"}
-# Grouping keys of a small grain: calendar months and the per-range table.
-SMALL_GRAIN_KEYS = {"order_month", "cancellation_month", "cohort_month", "year_month", "month", "__range_id"}
+# Grouping keys of a small grain: calendar months, the per-range table and the bins of a digit histogram.
+SMALL_GRAIN_KEYS = {"order_month", "cancellation_month", "cohort_month", "year_month", "month", "__range_id", "__bin"}
 
 
 def _aggregate_reduced(node) -> bool:
