@@ -1,8 +1,8 @@
 """Reversal impact and revenue concentration (corrected basis unless noted).
 
-Global ranks and running revenue come from ``global_rank`` (range partitions,
-per-range scan, broadcast prefix offsets): no single-partition window even
-when there are hundreds of millions of customers.  Top-k lists use
+Points of the spend order (revenue of the top N, customers that make a share)
+come from ``top_points``: counts and sums per value range, so hundreds of
+millions of customers are neither sorted nor ranked.  Top-k lists use
 ``orderBy().limit()`` on a unique tie-break (TakeOrderedAndProject).
 """
 
@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.exact import as_units, money, pct, round_div
 from tillroll.operators.grain import latest_by
-from tillroll.operators.ranking import global_rank
+from tillroll.operators import dayset
 from tillroll.operators.reversal import Reversals, flag_reversed, reversed_sales, unmatched_cancellations
+from tillroll.operators.selection import top_points
 
 
 def reversed_sales_impact(sales: DataFrame, cancels: DataFrame | Reversals) -> DataFrame:
@@ -60,36 +61,21 @@ def customer_spend(grain: DataFrame) -> DataFrame:
     )
 
 
-def ranked_spend(grain: DataFrame) -> DataFrame:
-    """Customers in spend order with rank, running revenue (pence) and totals."""
-    spend = grain.groupBy("customer_id").agg(F.sum("value").alias("spend"))
-    ranked = global_rank(
-        spend,
-        [F.col("spend").desc(), F.col("customer_id").asc()],
-        running={"cum_pence": as_units("spend", 2)},
-        total_col="n_customers",
-        running_totals={"cum_pence": "total_pence"},
-    )
-    return ranked
+def spend_pence(sets: DataFrame) -> DataFrame:
+    """Each customer's spend, in pence, from the day sets."""
+    return dayset.of(sets).select(as_units(dayset.spend(), 2).cast("long").alias("pence"))
 
 
-def pareto_test(grain: DataFrame, share: int = 80, top_pct: int = 20) -> DataFrame:
+def pareto_test(sets: DataFrame, share: int = 80, top_pct: int = 20) -> DataFrame:
     """Customers needed for ``share``% of revenue; revenue share of the top ``top_pct``%.
 
     The top group size is round(n * top_pct / 100) half up, in integers.
     """
-    r = ranked_spend(grain)
-    top_n = F.call_function("div", F.col("n_customers") * (2 * top_pct) + 100, F.lit(200))
-    agg = r.agg(
-        F.min(F.when(F.col("cum_pence") * 100 >= F.col("total_pence") * share, F.col("rn"))).alias("k"),
-        F.max("n_customers").alias("n"),
-        F.max("total_pence").alias("t"),
-        F.max(F.when(F.col("rn") == top_n, F.col("cum_pence"))).alias("top_cum"),
-    )
-    return agg.select(
-        F.col("k").alias(f"customers_making_{share}pct"),
-        pct("k", "n", 1).alias("pct_of_customer_base"),
-        pct("top_cum", "t", 1).alias(f"pct_revenue_from_top_{top_pct}pct"),
+    top_n = F.call_function("div", F.col("n") * (2 * top_pct) + 100, F.lit(200))
+    return top_points(spend_pence(sets), F.col("pence"), [top_n], [share]).select(
+        F.col("reach_0").alias(f"customers_making_{share}pct"),
+        pct("reach_0", "n", 1).alias("pct_of_customer_base"),
+        pct("sum_0", "total", 1).alias(f"pct_revenue_from_top_{top_pct}pct"),
     )
 
 
@@ -98,29 +84,21 @@ def pareto_test(grain: DataFrame, share: int = 80, top_pct: int = 20) -> DataFra
 DEFAULT_CUTS = (1, 5, 10, 20, 50, 100, 433, 865, 1170)
 
 
-def concentration_curve(grain: DataFrame, cuts: Sequence[int] = DEFAULT_CUTS) -> DataFrame:
+def concentration_curve(sets: DataFrame, cuts: Sequence[int] = DEFAULT_CUTS) -> DataFrame:
     """Cumulative revenue of the top N customers for each N in ``cuts``.
 
     A cut above the customer count has no rank row and yields NULL revenue.
     """
-    spark = grain.sparkSession
-    r = ranked_spend(grain)
-    cut_df = spark.createDataFrame([(int(c),) for c in cuts], "cut long")
-    # One pass: the rows at the cuts (and the first, for the totals) are as many as the list has.
-    wanted = sorted({1, *map(int, cuts)})
-    points = r.where(F.col("rn").isin(wanted)).agg(
-        F.max("n_customers").alias("n"), F.max("total_pence").alias("t"), F.collect_list(F.struct("rn", "cum_pence")).alias("at")
-    )
-    found = F.filter("at", lambda x: x["rn"] == F.col("cut"))
+    cuts = [int(c) for c in cuts]
+    points = top_points(spend_pence(sets), F.col("pence"), cuts).where(F.col("n").isNotNull())
+    listed = F.array(*[F.struct(F.lit(c).cast("long").alias("cut"), F.col(f"sum_{i}").alias("cum_pence")) for i, c in enumerate(cuts)])
     return (
-        F.broadcast(cut_df)
-        .crossJoin(F.broadcast(points.where(F.col("n").isNotNull())))
-        .withColumn("cum_pence", F.get(found, F.lit(0))["cum_pence"])
+        points.select("n", "total", F.inline(listed))
         .select(
             F.col("cut").alias("top_n_customers"),
             pct("cut", "n", 1).alias("pct_of_customers"),
             (F.col("cum_pence") / 100).cast("double").alias("cumulative_revenue"),
-            pct("cum_pence", "t", 1).alias("pct_of_revenue"),
+            pct("cum_pence", "total", 1).alias("pct_of_revenue"),
         )
         .orderBy("top_n_customers")
     )

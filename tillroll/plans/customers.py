@@ -2,8 +2,8 @@
 
 One row per customer, read off the day sets.  "Now" is the last order
 date of the same basis, attached as a one-row broadcast.  The spend quintile
-is NTILE(5) over the global spend order, computed from ``global_rank`` (range
-partitions + prefix offsets) instead of a single-partition window.
+is NTILE(5) over the spend order: its four cut points (spend, customer_id) are
+selected by counting (``operators/selection.py``) and customers compared with them.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.exact import as_units, avg_money, money, round_div
 from tillroll.operators import dayset
-from tillroll.operators.ranking import global_rank, ntile_from_rank
+from tillroll.operators.grain import reuse
+from tillroll.operators.selection import ntile
 
 # Segment labels of the 90-day rule (the report contract).
 HIGH_VALUE_ACTIVE = "High-value active"
@@ -40,7 +41,7 @@ def customer_profile(
     sets: DataFrame, high_value=1000, quiet_days=90, min_orders=2, quintiles: int | None = 5
 ) -> DataFrame:
     """The profile view from a basis' day sets (with counted invoices); ``quintiles=None`` leaves
-    out the spend quintile (and with it the global spend ranking) for reports
+    out the spend quintile (and with it the written customers) for reports
     that do not read it."""
     sets = dayset.of(sets, count_invoices=True)
     summ = sets.select(
@@ -55,13 +56,8 @@ def customer_profile(
         "days_since_last_order", F.datediff("dataset_end_date", "last_order_date").cast("bigint")
     )
     if quintiles:
-        ranked = global_rank(
-            summ,
-            [F.col("total_spend").desc(), F.col("customer_id").asc()],
-            rank_col="__rn",
-            total_col="__n",
-        )
-        quintile = ntile_from_rank(F.col("__rn"), F.col("__n"), quintiles)
+        held = reuse(summ.withColumn("__pence", as_units("total_spend", 2).cast("long")))
+        ranked, quintile = ntile(held, "__pence", "customer_id", quintiles, "__tile"), F.col("__tile")
     else:
         ranked, quintile = summ, F.lit(None).cast("bigint")
     return ranked.select(

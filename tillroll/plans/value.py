@@ -1,7 +1,7 @@
 """Customer value distribution (corrected basis).
 
-All quantiles over customers are exact (``exact_quantiles``: range-partitioned
-ranks, no single value map).  Group shares of the whole use a one-row total
+All quantiles over customers are exact (``exact_quantiles`` and ``top_points``:
+digit histograms, no sort and no single value map).  Group shares of the whole use a one-row total
 broadcast instead of ``SUM(...) OVER ()``.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tillroll.functions.exact import as_units, avg_money, avg_round, floor_div, money, pct, round_div, round_exact
 from tillroll.operators import dayset
 from tillroll.operators.quantiles import exact_quantiles
-from tillroll.operators.ranking import global_rank
+from tillroll.operators.selection import top_points
 
 # Group and band labels.
 ONE_TIME_BUYER = "One-time buyer"
@@ -54,33 +54,38 @@ def value_distribution(sets: DataFrame) -> DataFrame:
     )
 
 
-def mean_robustness(grain: DataFrame, top_k: int = 10, top_share_pct: int = 1) -> DataFrame:
+def mean_robustness(sets: DataFrame, top_k: int = 10, top_share_pct: int = 1) -> DataFrame:
     """Mean and median spend for all customers, without the top k, and
-    without the top ``top_share_pct``% (round(n * pct / 100) customers)."""
-    spend = grain.groupBy("customer_id").agg(F.sum("value").alias("spend"))
-    ranked = global_rank(spend, [F.col("spend").desc(), F.col("customer_id").asc()], total_col="__n")
-    cut = floor_div(F.col("__n") * (2 * top_share_pct) + 100, F.lit(200))
-    label_pct = F.concat(
-        F.lit(f"Excluding the top {top_share_pct}% ("), cut.cast("bigint").cast("string"), F.lit(" customers)")
-    )
-    bases = F.array(
-        F.struct(F.lit(1).alias("k"), F.lit("All customers").alias("basis")),
-        F.when(F.col("rn") > top_k, F.struct(F.lit(2).alias("k"), F.lit(f"Excluding the top {top_k}").alias("basis"))),
-        F.when(F.col("rn") > cut, F.struct(F.lit(3).alias("k"), label_pct.alias("basis"))),
-    )
-    member = ranked.select("spend", F.explode(F.filter(bases, lambda b: b.isNotNull())).alias("b")).select(
-        "spend", F.col("b.k").alias("__k"), F.col("b.basis").alias("basis")
-    )
-    q = exact_quantiles(member, ["__k", "basis"], "spend", ["0.5"])
-    agg = member.groupBy("__k", "basis").agg(F.count(F.lit(1)).alias("customers"), F.sum("spend").alias("__s"))
+    without the top ``top_share_pct``% (round(n * pct / 100) customers).
+
+    Leaving out the top x leaves the n - x smallest, whose middle lies at known
+    ranks of the whole order, so all three bases are points of one selection.
+    """
+    n = F.col("n")
+    share = F.call_function("div", n * (2 * top_share_pct) + 100, F.lit(200))
+    label = F.concat(F.lit(f"Excluding the top {top_share_pct}% ("), share.cast("string"), F.lit(" customers)"))
+    bases = [(F.lit(0), F.lit("All customers")), (F.lit(top_k), F.lit(f"Excluding the top {top_k}")), (share, label)]
+    # From the smallest, the middle of m values is at (m - 1) div 2 and m div 2, counted from 0.
+    ranks = []
+    for out, _ in bases:
+        ranks += [out, n - F.call_function("div", n - out - 1, F.lit(2)), n - F.call_function("div", n - out, F.lit(2))]
+    cv = dayset.of(sets).select(as_units(dayset.spend(), 2).alias("pence"))
+    points = top_points(cv, F.col("pence"), ranks)
+    rows = []
+    for k, (out, basis) in enumerate(bases):
+        low, high = F.col(f"value_{3 * k + 1}"), F.col(f"value_{3 * k + 2}")
+        rows.append(F.struct(
+            F.lit(k).alias("k"), basis.alias("basis"), (n - out).cast("bigint").alias("customers"),
+            (F.col("total") - F.coalesce(F.col(f"sum_{3 * k}"), F.lit(0))).cast("decimal(38,0)").alias("pence"),
+            (low + high).cast("decimal(38,0)").alias("twice_median"),
+        ))
     return (
-        agg.join(q, ["__k", "basis"], "left")
-        .orderBy("__k")
+        points.where(n.isNotNull()).select(F.inline(F.array(*rows))).where(F.col("customers") > 0).orderBy("k")
         .select(
             "basis",
             "customers",
-            avg_money("__s", "customers").alias("mean_spend"),
-            round_exact("p_0_5", 2).alias("median_spend"),
+            round_div("pence", F.col("customers") * 100, 2).alias("mean_spend"),
+            round_div("twice_median", F.lit(200), 2).alias("median_spend"),
         )
     )
 

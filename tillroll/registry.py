@@ -66,8 +66,8 @@ JOBS["m_segment_counts"] = lambda r: customers.segment_measures(r.segments)
 # --- reversals and concentration (corrected basis) -----------------------------------
 JOBS["reversed_sales_impact"] = lambda r: concentration.reversed_sales_impact(r.sales, r.reversals)
 JOBS["published_vs_corrected"] = lambda r: concentration.published_vs_corrected(r.sales, r.net)
-JOBS["pareto_test"] = lambda r: concentration.pareto_test(r.grain_net)
-JOBS["concentration_curve"] = lambda r: concentration.concentration_curve(r.grain_net)
+JOBS["pareto_test"] = lambda r: concentration.pareto_test(r.days_net)
+JOBS["concentration_curve"] = lambda r: concentration.concentration_curve(r.days_net)
 JOBS["home_country"] = lambda r: concentration.home_country(r.net)
 JOBS["top10_customers"] = lambda r: concentration.top10_customers(r.grain_net, r.net)
 JOBS["top10_exposure"] = lambda r: concentration.top10_exposure(r.grain_net)
@@ -108,7 +108,7 @@ JOBS["retention_triangle"] = lambda r: cohorts.retention_triangle(r.days_net)
 JOBS["cohort_equal_age_repeat"] = lambda r: cohorts.cohort_equal_age_repeat(r.first_second)
 JOBS["monthly_volume_net"] = lambda r: cohorts.monthly_volume(r.grain_net)
 JOBS["customer_value_distribution"] = lambda r: value.value_distribution(r.days_net)
-JOBS["mean_robustness"] = lambda r: value.mean_robustness(r.grain_net)
+JOBS["mean_robustness"] = lambda r: value.mean_robustness(r.days_net)
 JOBS["one_time_vs_repeat"] = lambda r: value.one_time_vs_repeat(r.days_net)
 JOBS["value_ladder"] = lambda r: value.value_ladder(r.days_net)
 JOBS["first_hurdle"] = lambda r: stayers.first_hurdle(r.first_second)
