@@ -24,13 +24,15 @@ def test_rank_one_updates_and_merges_give_the_scatter(seed):
     x = rng.integers(-5, 5, (n, d)) if seed % 2 else np.floor(rng.normal(0, 60, (n, d))).astype(int)
     if seed % 5 == 0:
         x[:, : max(1, d // 2)] = 3
-    whole, a, b = whitening.State(d), whitening.State(d), whitening.State(d)
+    whole, a, b, blocks = (whitening.State(d) for _ in range(4))
+    for at in range(0, n, 9):
+        blocks.add_block(x[at : at + 9])
     for i, row in enumerate(x):
         whole.add(row)
         (a if i < n // 2 else b).add(row)
     a.merge(b)
     most = max(1, np.abs(centred(x)).max())
-    for s in (whole, a, whitening.State.of(a.row())):
+    for s in (whole, a, blocks, whitening.State.of(a.row())):
         assert s.n == n and (s.sums == x.sum(axis=0)).all()
         assert np.abs(scatter(s) - centred(x)).max() <= 1e-10 * most
         assert np.abs(s.vectors.T @ s.vectors - np.eye(d)).max() < 1e-11
