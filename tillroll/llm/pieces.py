@@ -2,10 +2,11 @@
 
 A text is written with a leading "▁" and "▁" for each space, and cut into pieces
 of the vocabulary so that the sum of their scores is largest.  The best path is
-found from left to right: the best way to reach a position depends only on the
-window of the last *max piece length* positions.  Every way on from here starts
-in that window; where the backpointer paths of all its positions meet in one
-boundary, everything before is settled, its ids are committed and forgotten.
+found from left to right: from each position all pieces that start there are tried, as
+long as some piece goes on, so only the next *max piece length* positions are
+open.  Every way on from here starts in that window; where the backpointer paths
+of all its positions meet in one boundary, everything before is settled, its ids
+are committed and forgotten.
 
 Some boundaries are certain without looking: if no piece has "▁" after another
 character, each run of spaces starts a new piece, and if no piece has a newline
@@ -20,13 +21,14 @@ the exact inverse of encoding, also for a literal "▁".
 
 Defined cases: null and empty texts have no ids and decode to the empty text;
 repeated rows encode alike; an empty table stays empty; further columns are
-kept by ``encode`` and may not be called ``ids``.
+kept by ``encode``, and one that is called ``ids`` is replaced.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +54,13 @@ class Vocabulary:
 
     def __init__(self, pieces: list[tuple[str, int]], bytes_at: dict[int, int]):
         """``pieces``: (piece, rank) at its id's place, or ("", -1) for none; ``bytes_at``: byte -> id."""
+        self._encoder = None
         self.ids = {p: i for i, (p, _) in enumerate(pieces) if p}
         self.scores = {p: -round(UNIT * math.log((r + 2.7) * 10.4)) for p, r in pieces if p}
         self.bytes_at = bytes_at
         self.longest = max(map(len, self.ids), default=1)
+        #: Every beginning of a piece: its score if it is a piece, None if it only goes on (scores are below 0).
+        self.heads = {p[:n]: None for p in self.ids for n in range(1, len(p))} | self.scores
         self.written = [p.replace(SPACE, " ").encode() for p, _ in pieces]
         for b, i in bytes_at.items():
             self.written[i] = bytes([b])
@@ -65,6 +70,12 @@ class Vocabulary:
             "(?s:.+)" if inner or lines else f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+"
         )
 
+    def encoder(self) -> Encoder:
+        """One encoder per worker process, which later tasks find with what it remembers."""
+        if self._encoder is None:
+            self._encoder = Encoder(self)
+        return self._encoder
+
     @classmethod
     def load(cls, path: str = VOCABULARY) -> Vocabulary:
         import sentencepiece
@@ -93,7 +104,7 @@ def _ids(vocabulary: Vocabulary, text: str, cuts: list[int]) -> list[int]:
 
 def stream(vocabulary: Vocabulary, text: str):
     """Yield the ids of the best path in committed runs, from left to right."""
-    scores, longest = vocabulary.scores, vocabulary.longest
+    heads, longest, size = vocabulary.heads, vocabulary.longest, len(text)
     base, best, back = 0, [0], [0]  # since the last committed boundary
     look = 2 * longest
 
@@ -103,22 +114,35 @@ def stream(vocabulary: Vocabulary, text: str):
             cuts.append(back[cuts[-1] - base])
         return cuts[::-1]
 
-    for end in range(1, len(text) + 1):
-        top, origin = None, end - 1
-        for at in range(max(base, end - longest), end):  # the longest last piece first
-            score = scores.get(text[at:end])
-            if score is None:
-                if at < end - 1:
-                    continue
-                score = -BYTE_COST * len((SPACE if text[at] == LITERAL else text[at]).encode())
-            score += best[at - base]
-            if top is None or score > top:
-                top, origin = score, at
-        best.append(top)
-        back.append(origin)
-        if end - base >= look:
-            # The paths of all positions from which a later piece may start.
-            alive = set(range(max(base, end - longest + 1), end + 1))
+    for at in range(size):
+        here = best[at - base]
+        one = text[at]
+        score = heads.get(one)
+        if score is None:
+            score = -BYTE_COST * len((SPACE if one == LITERAL else one).encode())
+        # All pieces from here, as long as some piece goes on; an earlier start, a longer last piece, wins ties.
+        end, place = at + 1, at + 1 - base
+        while True:
+            if score is not None:
+                if place < len(best):
+                    if best[place] is None or here + score > best[place]:
+                        best[place], back[place] = here + score, at
+                else:
+                    while len(best) < place:
+                        best.append(None)
+                        back.append(None)
+                    best.append(here + score)
+                    back.append(at)
+            end, place = end + 1, place + 1
+            if end > size:
+                break
+            score = heads.get(text[at:end], 0)
+            if score == 0:
+                break
+        now = at + 1
+        if now - base >= look and now < size:
+            # The paths of all positions reached so far from which a later piece may start.
+            alive = {base + i for i in range(now - base, len(best)) if best[i] is not None}
             while len(alive) > 1:
                 last = max(alive)
                 alive.remove(last)
@@ -130,8 +154,39 @@ def stream(vocabulary: Vocabulary, text: str):
                 look = 2 * longest
             else:
                 look *= 2  # looked at in vain: wait until there is twice as much
-    if len(text) > base:
-        yield _ids(vocabulary, text, path(len(text), base))
+    if size > base:
+        yield _ids(vocabulary, text, path(size, base))
+
+
+def short(vocabulary: Vocabulary, text: str) -> bytes:
+    """The ids of a stretch that is a window as a whole: nothing is committed before its end."""
+    get, size = vocabulary.heads.get, len(text)
+    best, back = [0] + [-math.inf] * size, [0] * (size + 1)
+    for at in range(size):
+        here, end = best[at], at + 1
+        score = get(text[at])
+        if score is None:
+            score = -BYTE_COST * len((SPACE if text[at] == LITERAL else text[at]).encode())
+        while True:
+            if score is not None and here + score > best[end]:
+                best[end], back[end] = here + score, at
+            end += 1
+            if end > size:
+                break
+            score = get(text[at:end], 0)
+            if score == 0:
+                break
+    ids, out, end = vocabulary.ids, [], size
+    while end:
+        at = back[end]
+        one = ids.get(text[at:end])
+        if one is not None:
+            out.append(one)
+        else:
+            out += [vocabulary.bytes_at[x] for x in reversed((SPACE if text[at] == LITERAL else text[at]).encode())]
+        end = at
+    out.reverse()
+    return array("i", out).tobytes()
 
 
 class Encoder(dict):
@@ -142,11 +197,11 @@ class Encoder(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, stretch: str) -> bytes:
-        ids = np.array([i for run in stream(self.vocabulary, stretch) for i in run], np.int32).tobytes()
-        if len(stretch) <= SHORT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[stretch] = ids
+        if len(stretch) > SHORT:
+            return np.array([i for run in stream(self.vocabulary, stretch) for i in run], np.int32).tobytes()
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[stretch] = ids = short(self.vocabulary, stretch)
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -165,10 +220,11 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text") ->
     """``docs`` with ``ids`` (array<int>) in place of the text column."""
     # The vocabulary has a fixed size; it is read once and sent to the tasks.
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(vocabulary))
+    docs = docs.drop("ids")
     at, rest = docs.columns.index(text), [f for f in docs.schema.fields if f.name != text]
 
     def scan(batches):
-        encoder = Encoder(sent.value)
+        encoder = sent.value.encoder()
         for batch in batches:
             for part in slices(batch, at):
                 runs = [encoder.encode(t) for t in part.column(at).fill_null("").to_pylist()]
