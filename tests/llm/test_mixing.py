@@ -28,9 +28,23 @@ def test_targets_and_caps(documents_of):
         assert by[name][0] == pytest.approx(by[name][1], rel=0.15)
 
 
+@pytest.mark.parametrize("ids", ["none", "one"])
+def test_rows_that_share_an_id_draw_apart(documents_of, ids):
+    """A source at a rate of 0.4 whose documents have no id, or all the same."""
+    name = None if ids == "none" else 7
+    rows = [(name, f"w{i} " + "w " * 49, "z-thin") for i in range(600)] + [(i, "v " * 100, "a-full") for i in range(40)]
+    docs = documents_of(rows)
+    taken = target = 0
+    for r in mixing.mix(docs, weights=(3, 2)).where("source = 'z-thin'").collect():
+        taken, target = taken + r["size"] * r["copies"], r["target"]
+    assert target < 0.9 * 600 * 50
+    assert taken == pytest.approx(target, rel=0.1)
+    assert mixing.emit(docs, weights=(3, 2)).where("source = 'z-thin'").count() * 50 == taken
+
+
 def test_emitted_rows_are_the_copies_and_reruns_agree(documents_of):
     rows = [*[(d, t, f"s{i % 3}") for i, (d, t) in enumerate(ODD)], (77, "a b", None), (77, "a b", None)]
-    docs = documents_of(rows).selectExpr("*", "n_chars AS size", "1 AS rate")
+    docs = documents_of(rows).selectExpr("*", "n_chars AS size", "1 AS rate", "2 AS __copy", "3 AS __rate", "4 AS __source", "5 AS doc", "6 AS drawn")
     copies = mixing.mix(docs).groupBy("doc_id").sum("copies").collect()
     emitted = mixing.emit(docs)
     assert emitted.columns == docs.columns

@@ -97,6 +97,7 @@ def test_mixing_stage(stages):
     for r in stages[2]:
         sizes.setdefault(r["source"], []).append((r["doc_id"], len((r["text"] or "").split())))
     whole = {s: sum(n for _, n in x) for s, x in sizes.items()}
+    text = {r["doc_id"]: r["text"] or "" for r in stages[2]}
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(whole))}
     target, full = {}, set()
     while True:  # share out, fix what is full, share the rest again
@@ -111,7 +112,7 @@ def test_mixing_stage(stages):
     for s, rows in sizes.items():
         rate = target[s] / whole[s]
         for d, _ in rows:
-            u = int(hashlib.md5(f"{mixing.SEED}:{d}".encode()).hexdigest()[:12], 16) / 2**48
+            u = int(hashlib.md5(f"{mixing.SEED}:{d}:{s}:{hashlib.md5(text[d].encode()).hexdigest()}".encode()).hexdigest()[:12], 16) / 2**48
             expected += [d] * (int(rate) + (u < rate - int(rate)))
     assert sorted(r["doc_id"] for r in stages[3]) == sorted(expected)
 
@@ -129,9 +130,11 @@ def test_run_and_odd_rows(spark, stages, documents_of, tmp_path):
     assert sorted((r["doc_id"], tuple(r["ids"])) for r in got) == sorted((r["doc_id"], tuple(r["ids"])) for r in stages[4])
     clean = " ".join(f"sensible word{chr(97 + i)}" for i in range(20))
     rows = [*ODD, (40, clean), (40, clean), (41, clean), (None, clean)]
-    documents_of(rows).selectExpr("*", "1 AS n", "'x' AS doc").write.parquet(f"{tmp_path}/documents.parquet")
+    clash = "ids n_ids pii_types __attempts __copy __rate __source __h __node __again others attempts text_hash drawn".split()
+    documents_of(rows).selectExpr("*", "1 AS n", "'x' AS doc", *[f"'{c}' AS {c}" for c in clash]).write.parquet(f"{tmp_path}/documents.parquet")
     left = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r["doc_id"] for r in left} <= {40, None, 6, 8}
+    assert {r["doc_id"] for r in left} <= {40, None, 6, 8} and {40, None} & {r["doc_id"] for r in left}
+    assert all(r[c] == c for r in left for c in clash if c not in ("ids", "n_ids"))
     documents_of([]).write.parquet(f"{tmp_path}/e/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/e").count() == 0
 

@@ -50,6 +50,16 @@ def test_small_tables(spark, tmp_path):
     assert run(spark, [(i, v, 0) for i, v in rows], tmp_path / "b") == brute_force(rows)
 
 
+def test_empty_vectors_score_nothing(spark, tmp_path):
+    rows = [(i, []) for i in range(45)]
+    assert run(spark, [(i, v, 0) for i, v in rows], tmp_path / "a") == brute_force(rows)
+    mixed = [(i, [] if i % 2 else [0.5, -0.25]) for i in range(45)]
+    expected = sorted(
+        (q, r + 1, i, s) for q in (0, 20, 40)
+        for r, (s, i) in enumerate(sorted(((0 if i % 2 else 1280, i) for i, _ in mixed if i != q), key=lambda x: (-x[0], x[1]))[:20]))
+    assert run(spark, [(i, v, 0) for i, v in mixed], tmp_path / "b") == expected
+
+
 def test_large_numbers_stay_exact():
     rng = np.random.default_rng(2)
     shard = rng.integers(-10**6, 10**6, (8, 300)).astype(np.float64)

@@ -9,12 +9,14 @@
    the sources known to be full give a higher level, which may fill others.
 3. The repetition rate of a source is target / size.  A document is emitted
    floor(rate) times, plus once more with probability equal to the fraction.
-   The draw is a hash of the seed and the document id, so reruns agree and
-   lost tasks redo the same choice.
+   The draw is a hash of the seed, the document id, its source and its text, so
+   reruns agree, lost tasks redo the same choice, and documents without an id, or
+   with one that others have, draw apart.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
 the last in order; sources without words have target 0; an empty table gives
-an empty result; rows that repeat a document id draw alike and each count.
+an empty result; rows with equal id, source and text draw alike and each count;
+further columns, whatever they are called, are kept by ``emit``.
 """
 
 from __future__ import annotations
@@ -33,9 +35,10 @@ SEED = "mix-1"
 _DRAW_BITS = 48
 
 
-def draw(doc_id: Column, seed: str) -> Column:
-    """A reproducible number in [0, 1) for a document: 48 bits of an MD5."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def draw(seed: str) -> Column:
+    """A reproducible number in [0, 1) for a document (doc_id, source, text): 48 bits of an MD5."""
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("doc_id", "source")]
+    digest = F.md5(F.concat_ws(":", F.lit(seed), *named, F.md5(F.coalesce(F.col("text"), F.lit("")))))
     return F.conv(F.substring(digest, 1, _DRAW_BITS // 4), 16, 10).cast("double") / float(1 << _DRAW_BITS)
 
 
@@ -68,13 +71,13 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPE
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
     """(doc_id, source, text) -> (doc_id, source, size, source_size, target, copies), one row per document."""
-    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw(seed).alias("drawn")), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sources, weights, max_repeat).withColumnRenamed("source", "__source")
     # One row per source: Spark measures the table at run time and broadcasts or shuffles it.
     out = sized.join(targets, F.col("source").eqNullSafe(F.col("__source")))
     whole = F.floor(F.col("rate")).cast("long")
-    copies = whole + (draw(F.col("doc_id"), seed) < F.col("rate") - whole).cast("long")
+    copies = whole + (F.col("drawn") < F.col("rate") - whole).cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
@@ -89,12 +92,11 @@ def emit(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: s
     )
     rates = source_targets(sources, weights, max_repeat).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
     whole = F.floor(F.col("__rate")).cast("int")
-    copies = whole + (draw(F.col("doc_id"), seed) < F.col("__rate") - whole).cast("int")
-    out = docs.join(rates, docs["source"].eqNullSafe(F.col("__source")))
-    return (
-        out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies)))
-        .select(*[docs[c] for c in docs.columns])
-    )
+    copies = whole + (F.col("drawn") < F.col("__rate") - whole).cast("int")
+    # The row goes along as one struct, so no column of it meets a name used here.
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col("source").alias("of"), draw(seed).alias("drawn"))
+    out = rows.join(rates, F.col("of").eqNullSafe(F.col("__source")))
+    return out.select("doc", F.explode(F.array_repeat(F.lit(1), copies)).alias("copy")).select("doc.*")
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
@@ -106,7 +108,7 @@ def op5_mixing(spark, sf_dir: str) -> DataFrame:
 # if the level that counts it and all fuller ones as full still exceeds its cap.
 ORACLE = r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), weighed AS (
@@ -126,7 +128,7 @@ WITH sized AS (
   FROM ordered, level
 )
 SELECT doc_id, size, t.source_size, target,
-       size * (floor(rate) + CASE WHEN ('0x' || left(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 12))::BIGINT
+       size * (floor(rate) + CASE WHEN ('0x' || left(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(sized.source, 'null') || ':' || digest), 12))::BIGINT
                                        / 281474976710656.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS taken
 FROM sized JOIN targets t ON sized.source IS NOT DISTINCT FROM t.source
 """

@@ -17,7 +17,7 @@ equals the k-th best score loses the tie and needs no probing.
 
 Defined cases: a vector that is null or holds a null or a non-finite component,
 or has no vec_id, takes no part; vectors of different lengths are compared on
-the components both have; a query that repeats a vec_id is asked once, with
+the components both have (so an empty vector scores 0 with all, ties by vec_id); a query that repeats a vec_id is asked once, with
 its smallest vector; candidates are all rows with another vec_id, repeated
 rows included; fewer than k candidates are all returned.
 """
@@ -121,7 +121,8 @@ def _search_group(k: int):
         if not queries.num_rows or not vectors.num_rows:
             none = [pa.array([], pa.int64())] * 3
             return pa.Table.from_arrays(none, names=["query_id", "vec_id", "score"])
-        width = max(pa.compute.max(pa.compute.list_value_length(t.column("v"))).as_py() for t in (queries, vectors))
+        # Empty vectors are compared as vectors of one zero.
+        width = max(1, *(pa.compute.max(pa.compute.list_value_length(t.column("v"))).as_py() for t in (queries, vectors)))
         asked, shard = _matrix(queries.column("v"), width), _matrix(vectors.column("v"), width)
         asked_ids, ids = queries.column("id").to_numpy(), vectors.column("id").to_numpy()
         order = np.argsort(ids, kind="stable")
