@@ -5,7 +5,9 @@ written as Parquet and read again as the next stage's ``docs``.  All but the
 last return the columns of ``documents``.
 
 Defined cases: an empty table passes through all stages; nulls, empty and very
-long texts, repeated rows and further columns are treated as the operators say.
+long texts and repeated rows are treated as the operators say.  Further columns,
+whatever they are called, go along untouched; only the last stage replaces
+columns called ``ids`` and ``n_ids``.
 """
 
 from __future__ import annotations
@@ -22,6 +24,15 @@ from tillroll.operators.ranking import global_rank
 from tillroll.storage import written
 
 
+def _apart(docs: DataFrame, *read: str) -> DataFrame:
+    """The columns a stage reads, and all others as one struct, so that none meets a name of the stage's own."""
+    return docs.select(*read, F.struct(F.lit(0).alias("0"), *[F.col(c) for c in docs.columns if c not in read]).alias("others"))
+
+
+def _together(df: DataFrame, columns: list[str], *read: str) -> DataFrame:
+    return df.select(*[F.col(c) if c in read else F.col("others")[c].alias(c) for c in columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the posterior rejects go."""
     return quality.judge(docs, docs.columns).where("kept").select("doc.*")
@@ -33,6 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents are known by (doc_id, hash of text), so of rows that share only the doc_id each is
     judged by its own text.  Rows without a doc_id can't be told apart and stay.
     """
+    columns, docs = docs.columns, _apart(docs, "doc_id", "text")
     known = docs.where("doc_id IS NOT NULL").withColumn("__h", F.xxhash64("text"))
     texts = known.select(F.col("doc_id").cast("long").alias("__d"), F.col("__h").alias("__of"))
     several = texts.groupBy("__d").agg(F.min("__of").alias("least"), F.max("__of").alias("most")).where("least != most")
@@ -48,12 +60,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = known.join(stay, F.col("__node") == F.col("__stay"), "left_semi")
     again = Window.partitionBy("doc_id", "__h").orderBy("text")
     known = known.withColumn("__again", F.row_number().over(again)).where("__again = 1").drop("__again", "__h", "__node")
-    return known.unionByName(docs.where("doc_id IS NULL"))
+    return _together(known.unionByName(docs.where("doc_id IS NULL")), columns, "doc_id", "text")
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced in the texts, and lengths are those of the new texts."""
-    done = pii.anonymise(docs).drop("pii_types")
+    done = _together(pii.anonymise(_apart(docs, "doc_id", "text")), docs.columns, "doc_id", "text")
     return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in done.columns else done
 
 
