@@ -26,6 +26,10 @@ class Slicer:
     products: Sequence[str] | None = None
 
     def apply(self, df: DataFrame, date_col: str) -> DataFrame:
+        return df.where(self.holds(date_col))
+
+    def holds(self, date_col: str) -> Column:
+        """Whether a row is in this filter context."""
         cond = F.lit(True)
         if self.start:
             cond = cond & (F.col(date_col) >= F.lit(self.start).cast("date"))
@@ -35,7 +39,7 @@ class Slicer:
             cond = cond & F.col("country").isin(list(self.countries))
         if self.products:
             cond = cond & F.col("product_name").isin(list(self.products))
-        return df.where(cond)
+        return cond
 
 
 def _divide0(num: Column, den: Column) -> Column:

@@ -121,6 +121,7 @@ JOBS["within_band_compare"] = lambda r: stayers.within_band_compare(r.stories_ne
 
 # --- measures and the date dimension --------------------------------------------------
 from tillroll.plans import extras, measures  # noqa: E402
+from tillroll.plans.page import kpi_page  # noqa: E402
 from tillroll.sources.files import raw_preview  # noqa: E402
 
 # A page filter context: a half-year of trading in two markets.
@@ -129,6 +130,21 @@ EXAMPLE_SLICER = measures.Slicer(start="2011-03-01", end="2011-08-31", countries
 JOBS["m_kpi_measures"] = lambda r: measures.kpi_measures(r.sales, r.cancels)
 JOBS["filtered_kpis"] = lambda r: measures.kpi_measures(r.sales, r.cancels, EXAMPLE_SLICER)
 JOBS["filtered_kpis_sliced_cancellations"] = lambda r: measures.kpi_measures(r.sales, r.cancels, EXAMPLE_SLICER, True)
+# A page of ten settings: all, four quarters, two markets, two of their halves, and a product line.
+EXAMPLE_PAGE = {
+    "all": measures.Slicer(),
+    "q1": measures.Slicer(start="2011-01-01", end="2011-03-31"),
+    "q2": measures.Slicer(start="2011-04-01", end="2011-06-30"),
+    "q3": measures.Slicer(start="2011-07-01", end="2011-09-30"),
+    "q4": measures.Slicer(start="2011-10-01", end="2011-12-31"),
+    "home": measures.Slicer(countries=("NATION_0",)),
+    "abroad": measures.Slicer(countries=("NATION_1", "NATION_2", "NATION_3")),
+    "half": EXAMPLE_SLICER,
+    "fees": measures.Slicer(products=("MARKETPLACE FEE", "Manual")),
+    "never": measures.Slicer(start="2020-01-01"),
+}
+JOBS["kpi_page"] = lambda r: kpi_page(r.sales, r.cancels, EXAMPLE_PAGE)
+JOBS["kpi_page_sliced_cancellations"] = lambda r: kpi_page(r.sales, r.cancels, EXAMPLE_PAGE, True)
 JOBS["m_cancellations_by_month"] = lambda r: measures.cancellation_measures_by(
     r.sales, r.cancels, "order_month", "cancellation_month", "month"
 )

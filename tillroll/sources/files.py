@@ -7,8 +7,9 @@ reach the scan.  ``multiLine`` stays off so large CSV files still split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillroll.schema import RAW_COLUMNS, RAW_SCHEMA
 
@@ -24,6 +25,42 @@ def read_raw_csv(spark: SparkSession, path: str, header: bool = True, encoding:
     return spark.read.schema(RAW_SCHEMA).options(**csv_options(header, encoding), mode="FAILFAST").csv(path)
 
 
+BAD_RECORD = "bad_record"
+
+
+def read_raw_csv_apart(spark: SparkSession, path: str, header: bool = True, encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
+    """Load raw invoice lines; lines that don't fit the schema are kept apart.
+
+    Returns (good, bad): the lines that fit, and the text of each that doesn't (column
+    ``bad_record``): too few or too many fields, or a field that is not of its type.
+    Every data line of the files is in exactly one of them.  Both are lazy and read the files.
+    """
+    schema = T.StructType([*RAW_SCHEMA.fields, T.StructField(BAD_RECORD, T.StringType())])
+    lines = spark.read.schema(schema).options(
+        **csv_options(header, encoding), mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_RECORD, columnPruning=False
+    ).csv(path)
+    # Only columns that are asked for are parsed, and a line is bad by any of them: this condition, true of
+    # all lines, asks for all.
+    lines = lines.where(F.hash(*RAW_COLUMNS) >= -(2**31))
+    return lines.where(F.col(BAD_RECORD).isNull()).select(*RAW_COLUMNS), lines.where(F.col(BAD_RECORD).isNotNull()).select(BAD_RECORD)
+
+
+def load_raw_csv(spark: SparkSession, path: str, raw_out: str, bad_out: str, most_bad: int | None = None) -> tuple[int, int]:
+    """Load CSV into the Parquet raw table at ``raw_out`` and the lines that don't fit into ``bad_out``.
+
+    Returns (good, bad) counts, observed while writing.  ``most_bad``: more bad lines than this end the
+    load before the raw table is touched (``ValueError``).
+    """
+    good, bad = read_raw_csv_apart(spark, path)
+    seen = Observation("bad lines")
+    bad.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(bad_out)
+    if most_bad is not None and seen.get["n"] > most_bad:
+        raise ValueError(f"{seen.get['n']} lines can't be read, more than {most_bad}; see {bad_out}")
+    loaded = Observation("good lines")
+    write_raw_parquet(good.observe(loaded, F.count(F.lit(1)).alias("n")), raw_out)
+    return loaded.get["n"], seen.get["n"]
+
+
 def csv_options(header: bool = True, encoding: str = "UTF-8") -> dict:
     """The one CSV definition, for batch and stream."""
     return {"header": header, "encoding": encoding, "quote": '"', "escape": '"', "timestampNTZFormat": "yyyy-MM-dd HH:mm[:ss]"}

@@ -16,9 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tillroll.plans.clean import cancellations, valid_sales
 from tillroll.schema import RAW_SCHEMA
-from tillroll.sources.files import csv_options
-
-BAD_RECORD = "bad_record"
+from tillroll.sources.files import BAD_RECORD, csv_options
 
 
 def raw_stream(spark: SparkSession, source_dir: str, fmt: str = "csv", max_files_per_trigger: int | None = None):
