@@ -72,11 +72,24 @@ def test_random_texts(vocabulary):
 
 def test_vocabularies_without_certain_boundaries():
     v = pieces.Vocabulary([("a▁b", 1), ("a", 5), ("b", 6), ("▁", 3), ("x\ny", 2), *[("", -1)] * 256], {b: 5 + b for b in range(256)})
+    assert v.joints is None
     for text in ["a b a b", "x\ny a b", "b\nb"]:
         assert ids_of(v, text) == full_viterbi(v, text)
         assert pieces.decode_ids(v, ids_of(v, text)) == text
 
 
+def test_marks_behind_letters(vocabulary):
+    """Only marks that follow a letter in no piece are boundaries."""
+    v = pieces.Vocabulary([("a.", 1), ("a", 5), (".", 6), (",", 7), ("▁", 3), (",a", 2), *[("", -1)] * 256], {b: 6 + b for b in range(256)})
+    assert v.joints.findall("a.") == [] and len(v.joints.findall("a,a")) == 1
+    for text in ["a.a,a", "a,.a", ",a a."]:
+        assert ids_of(v, text) == full_viterbi(v, text)
+    rng = random.Random(3)
+    for _ in range(100):
+        text = "".join(rng.choice("abé.,!'|²1 ") for _ in range(rng.randrange(60)))
+        assert ids_of(vocabulary, text) == full_viterbi(vocabulary, text)
+
+
 def test_documents(spark, documents_of, sample):
     import hashlib
 

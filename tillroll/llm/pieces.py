@@ -10,7 +10,8 @@ are committed and forgotten.
 
 Some boundaries are certain without looking: if no piece has "▁" after another
 character, each run of spaces starts a new piece, and if no piece has a newline
-in it, newlines stand alone.  Between certain boundaries the best path depends
+in it, newlines stand alone; a mark that follows a letter in no piece starts a
+new one, too.  Between certain boundaries the best path depends
 on that stretch alone, so the ids of short stretches are remembered.
 
 The vocabulary file is a parameter.  Its scores are merge ranks; the score of a
@@ -43,6 +44,9 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stands for a literal "▁" of the text; a lone surrogate, which no text holds.
 LITERAL = "\ud800"
+#: Marks a certain boundary within a run of characters; another lone surrogate.
+CUT = "\ud801"
+LETTER, MARKS = "[A-Za-z\u00c0-\u024f]", r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 #: Whole-number score units, and the cost of a byte: dearer than any piece.
 UNIT, BYTE_COST = 10_000, 250_000
 #: Stretches up to this length are remembered, so many at a time.
@@ -67,8 +71,12 @@ class Vocabulary:
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         lines = any("\n" in p and len(p) > 1 for p in self.ids)
         self.stretches = re.compile(
-            "(?s:.+)" if inner or lines else f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+"
+            "(?s:.+)" if inner or lines else f"\n|{SPACE}+[^{SPACE}{CUT}\n]*|[^{SPACE}{CUT}\n]+"
         )
+        joined = re.compile(f"{LETTER}(?=([{re.escape(MARKS)}]))")
+        follow = {m for p in self.ids for m in joined.findall(p)}
+        free = "" if inner or lines else "".join(m for m in MARKS if m not in follow)
+        self.joints = re.compile(f"(?<={LETTER})(?=[{re.escape(free)}])") if free else None
 
     def encoder(self) -> Encoder:
         """One encoder per worker process, which later tasks find with what it remembers."""
@@ -208,6 +216,8 @@ class Encoder(dict):
         if not text:
             return b""
         full = SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)
+        if self.vocabulary.joints:
+            full = self.vocabulary.joints.sub(CUT, full)
         return b"".join(map(self.__getitem__, self.vocabulary.stretches.findall(full)))
 
 
