@@ -58,7 +58,7 @@ class Vocabulary:
 
     def __init__(self, pieces: list[tuple[str, int]], bytes_at: dict[int, int]):
         """``pieces``: (piece, rank) at its id's place, or ("", -1) for none; ``bytes_at``: byte -> id."""
-        self._encoder = None
+        self._encoder = self._tree = None
         self.ids = {p: i for i, (p, _) in enumerate(pieces) if p}
         self.scores = {p: -round(UNIT * math.log((r + 2.7) * 10.4)) for p, r in pieces if p}
         self.bytes_at = bytes_at
@@ -78,6 +78,17 @@ class Vocabulary:
         free = "" if inner or lines else "".join(m for m in MARKS if m not in follow)
         self.joints = re.compile(f"(?<={LETTER})(?=[{re.escape(free)}])") if free else None
 
+    def tree(self) -> dict:
+        """The pieces by character: character -> (score or None, what goes on from there)."""
+        if self._tree is None:
+            self._tree = {}
+            for head in sorted(self.heads, key=len):
+                level = self._tree
+                for c in head[:-1]:
+                    level = level[c][1]
+                level[head[-1]] = (self.heads[head], {})
+        return self._tree
+
     def encoder(self) -> Encoder:
         """One encoder per worker process, which later tasks find with what it remembers."""
         if self._encoder is None:
@@ -168,22 +179,22 @@ def stream(vocabulary: Vocabulary, text: str):
 
 def short(vocabulary: Vocabulary, text: str) -> bytes:
     """The ids of a stretch that is a window as a whole: nothing is committed before its end."""
-    get, size = vocabulary.heads.get, len(text)
+    tree, scores, size = vocabulary.tree(), vocabulary.scores, len(text)
     best, back = [0] + [-math.inf] * size, [0] * (size + 1)
     for at in range(size):
-        here, end = best[at], at + 1
-        score = get(text[at])
-        if score is None:
-            score = -BYTE_COST * len((SPACE if text[at] == LITERAL else text[at]).encode())
-        while True:
+        here, end, level = best[at], at, tree
+        if text[at] not in scores:
+            cost = BYTE_COST * len((SPACE if text[at] == LITERAL else text[at]).encode())
+            if here - cost > best[at + 1]:
+                best[at + 1], back[at + 1] = here - cost, at
+        while end < size:
+            node = level.get(text[end])
+            if node is None:
+                break
+            score, level = node
+            end += 1
             if score is not None and here + score > best[end]:
                 best[end], back[end] = here + score, at
-            end += 1
-            if end > size:
-                break
-            score = get(text[at:end], 0)
-            if score == 0:
-                break
     ids, out, end = vocabulary.ids, [], size
     while end:
         at = back[end]
