@@ -87,8 +87,12 @@ def may_hold(df: DataFrame, sketch: DataFrame, keys: list[str], buckets: int, na
 class Reversals:
     """The reversal index of a basis' cancellations, written once, and the way sales meet it."""
 
-    def __init__(self, cancels: DataFrame, broadcast_keys: int | None = None, most_buckets: int | None = None):
-        self.index = written(reversal_index(cancels), "reversals")
+    def __init__(
+        self, cancels: DataFrame | None, broadcast_keys: int | None = None, most_buckets: int | None = None,
+        index: DataFrame | None = None,
+    ):
+        """``index``: a stored reversal index, instead of the cancellations."""
+        self.index = written(reversal_index(cancels), "reversals") if index is None else index
         self.keys = self.index.count()
         needed = max(1, -(-self.keys * BITS_PER_KEY // BUCKET_BITS))
         self.buckets = 1 << (needed - 1).bit_length()

@@ -36,6 +36,22 @@ class Relations:
 
         return cls(raw_from_star(spark, sf_dir), home_country=home_country)
 
+    @classmethod
+    def from_tables(cls, spark: SparkSession, name: str, **options) -> "Relations":
+        """The relations of raw lines stored by ``sources.tables.write_raw_tables``.
+
+        Sales are read from the buckets of identified customers alone, so customer-level jobs
+        need no exchange by customer; reversals join them bucket by bucket unless the index is
+        small enough to be broadcast.
+        """
+        from tillroll.sources.tables import read_raw_tables
+
+        known, others, index = read_raw_tables(spark, name)
+        r = cls(known.unionByName(others), **options)
+        r.__dict__["sales"] = clean.valid_sales(known)
+        r.__dict__["reversals"] = reversal.Reversals(None, index=index, most_buckets=0)
+        return r
+
     @cached_property
     def sales(self) -> DataFrame:
         return clean.valid_sales(self.raw)
