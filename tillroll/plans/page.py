@@ -18,14 +18,42 @@ Sums, counts and distinct counts equal those of the single calls exactly.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.exact import as_units, money
+from tillroll.operators.cube import Cube, build_cube
 from tillroll.plans.measures import Slicer, _divide0
 
+CUBE_DIMS = ("order_month", "country")
+
+
+def sales_cube(sales: DataFrame) -> Cube:
+    """Sums and mergeable distinct counts of a sales basis by month and country."""
+    return build_cube(sales, CUBE_DIMS, {"orders": "invoice_no", "customers": "customer_id"}, {"value": "sales_value", "items": "quantity"})
+
+
+def measures_from(cube: Cube, by: Sequence[str] = (), months: tuple[str, str] | None = None, countries: Sequence[str] | None = None) -> DataFrame:
+    """The sales measures of ``measures_by`` from the cube alone: whole months (first and last, as dates) and countries."""
+    where = F.lit(True)
+    if months:
+        where = where & F.col("order_month").between(*[F.trunc(F.lit(m).cast("date"), "MM") for m in months])
+    if countries:
+        where = where & F.col("country").isin(list(countries))
+    told = cube.ask(by, where)
+    total = F.coalesce(F.col("value"), F.lit(0))
+    return told.select(
+        *by,
+        money(total).alias("m_net_sales"),
+        F.col("orders").alias("m_total_orders"),
+        F.col("customers").alias("m_unique_customers"),
+        _divide0(as_units(total, 2), F.col("orders") * 100).alias("m_average_order_value"),
+        F.coalesce(F.col("items"), F.lit(0)).cast("bigint").alias("m_total_items"),
+    )
+
+
 #: Contexts of a page: the bits of a mask.
 MOST_CONTEXTS = 62
 

@@ -94,6 +94,13 @@ class Relations:
         """The day set of each customer, corrected basis."""
         return day_sets(self.grain_net)
 
+    @cached_property
+    def cube(self):
+        """Published sales by month and country: sums and mergeable distinct counts, built in one pass and kept."""
+        from tillroll.plans.page import sales_cube
+
+        return sales_cube(self.sales)
+
     @cached_property
     def profile(self) -> DataFrame:
         from tillroll.plans.customers import customer_profile
