@@ -111,3 +111,11 @@ def test_a_report_scans_the_lines_once(spark, stored, key):
 
     r = Relations(spark.read.parquet(stored), home_country="NATION_0")
     assert _reads(JOBS[key](r)) == 1
+
+
+@pytest.mark.parametrize("key, scans", [("top10_customers", 2), ("top10_exposure", 1), ("top10_geography", 2), ("rule_overlap_by_basis", 2), ("pareto_test", 1), ("concentration_curve", 1), ("mean_robustness", 1)])
+def test_lists_of_the_top_scan_once_more_for_their_lines_only(spark, stored, key, scans):
+    """Spend and totals come from one scan; the countries of ten customers, and a second basis, need another."""
+    from tillroll.registry import JOBS
+
+    assert _reads(JOBS[key](Relations(spark.read.parquet(stored), home_country="NATION_0"))) == scans

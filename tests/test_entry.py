@@ -104,3 +104,20 @@ def test_outputs_agree_with_each_other(spark):
     assert sum(r["total_sales"] for r in _net_sales(spark, "segment_summary")) == pytest.approx(total, abs=0.005)
     cancelled = sum(r["m_cancelled_value"] for r in _net_sales(spark, "m_cancellations_by_month"))
     assert cancelled == pytest.approx(_net_sales(spark, "cancellation_kpis")[0]["cancellation_value"], abs=0.005)
+
+
+def test_the_rest_works_without_the_operators(tmp_path):
+    """On a copy without the optional folder (and with or without its pipeline) all reports are listed."""
+    import shutil
+    import subprocess
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{here}/tillroll", tmp_path / "tillroll", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    listed = "import __spark_entry__ as E; print(len(E.queries()), len(E.oracle_sql()), E.LLM_JOBS)"
+    want = len(set(E.queries()) - set(E.LLM_JOBS))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if not os.path.exists(f"{here}/{name}"):
+            continue
+        shutil.copy(f"{here}/{name}", tmp_path / name)
+        out = subprocess.run([sys.executable, "-c", listed], cwd=tmp_path, capture_output=True, text=True, check=True)
+        assert out.stdout.split("\n")[0] == f"{want} {want} {{}}"

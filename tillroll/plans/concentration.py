@@ -52,12 +52,14 @@ def published_vs_corrected(sales: DataFrame, net: DataFrame) -> DataFrame:
     return basis(sales, "As published (vw_valid_sales)").unionByName(basis(net, "Corrected (vw_valid_sales_net)"))
 
 
-def customer_spend(grain: DataFrame) -> DataFrame:
-    return grain.groupBy("customer_id").agg(
-        F.sum("value").alias("spend"),
-        F.countDistinct("invoice_no").alias("orders"),
-        F.min("order_date").alias("first_order"),
-        F.max("order_date").alias("last_order"),
+def customer_spend(sets: DataFrame) -> DataFrame:
+    """Spend, orders, first and last day per customer, from the day sets with counted invoices."""
+    return dayset.of(sets, count_invoices=True).select(
+        "customer_id",
+        dayset.spend().alias("spend"),
+        dayset.total("new_invoices").alias("orders"),
+        dayset.nth_day(0)["day"].alias("first_order"),
+        dayset.nth_day(-1)["day"].alias("last_order"),
     )
 
 
@@ -133,7 +135,7 @@ def top10_customers(grain: DataFrame, net: DataFrame, k: int = 10) -> DataFrame:
 
 
 def top10_exposure(grain: DataFrame, k: int = 10) -> DataFrame:
-    spend = grain.groupBy("customer_id").agg(F.sum("value").alias("spend"))
+    spend = dayset.of(grain).select("customer_id", dayset.spend().alias("spend"))
     totals = spend.agg(as_units(F.sum("spend"), 2).alias("t"), F.count(F.lit(1)).alias("n"))
     top = (
         spend.orderBy(F.desc("spend"), "customer_id")
@@ -151,7 +153,7 @@ def top10_exposure(grain: DataFrame, k: int = 10) -> DataFrame:
 
 
 def top10_geography(grain: DataFrame, net: DataFrame, k: int = 10) -> DataFrame:
-    spend = grain.groupBy("customer_id").agg(F.sum("value").alias("spend"))
+    spend = dayset.of(grain).select("customer_id", dayset.spend().alias("spend"))
     total = spend.agg(as_units(F.sum("spend"), 2).alias("__t"))
     top = spend.orderBy(F.desc("spend"), "customer_id").limit(k)
     top = top.join(home_country(net, top), "customer_id")
