@@ -69,6 +69,13 @@ def spend() -> Column:
     return total("value", "decimal(38,2)")
 
 
+def customer_spend(relation: DataFrame) -> DataFrame:
+    """(customer_id, spend) off day sets, or straight from an invoice grain, which needs no set for it."""
+    if DAYS in relation.columns:
+        return relation.select("customer_id", spend().alias("spend"))
+    return relation.groupBy("customer_id").agg(F.sum("value").cast("decimal(38,2)").alias("spend"))
+
+
 def gaps() -> Column:
     """Whole days between consecutive purchase days, in order; none for a single day."""
     days = F.col(DAYS)

@@ -64,8 +64,8 @@ def customer_spend(sets: DataFrame) -> DataFrame:
 
 
 def spend_pence(sets: DataFrame) -> DataFrame:
-    """Each customer's spend, in pence, from the day sets."""
-    return dayset.of(sets).select(as_units(dayset.spend(), 2).cast("long").alias("pence"))
+    """Each customer's spend, in pence, from the day sets or the invoice grain."""
+    return dayset.customer_spend(sets).select(as_units("spend", 2).cast("long").alias("pence"))
 
 
 def pareto_test(sets: DataFrame, share: int = 80, top_pct: int = 20) -> DataFrame:
@@ -135,7 +135,7 @@ def top10_customers(grain: DataFrame, net: DataFrame, k: int = 10) -> DataFrame:
 
 
 def top10_exposure(grain: DataFrame, k: int = 10) -> DataFrame:
-    spend = dayset.of(grain).select("customer_id", dayset.spend().alias("spend"))
+    spend = dayset.customer_spend(grain)
     totals = spend.agg(as_units(F.sum("spend"), 2).alias("t"), F.count(F.lit(1)).alias("n"))
     top = (
         spend.orderBy(F.desc("spend"), "customer_id")
@@ -153,7 +153,7 @@ def top10_exposure(grain: DataFrame, k: int = 10) -> DataFrame:
 
 
 def top10_geography(grain: DataFrame, net: DataFrame, k: int = 10) -> DataFrame:
-    spend = dayset.of(grain).select("customer_id", dayset.spend().alias("spend"))
+    spend = dayset.customer_spend(grain)
     total = spend.agg(as_units(F.sum("spend"), 2).alias("__t"))
     top = spend.orderBy(F.desc("spend"), "customer_id").limit(k)
     top = top.join(home_country(net, top), "customer_id")

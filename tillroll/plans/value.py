@@ -35,7 +35,7 @@ def customer_value(sets: DataFrame) -> DataFrame:
 
 
 def value_distribution(sets: DataFrame) -> DataFrame:
-    cv = customer_value(sets).select("spend")
+    cv = dayset.customer_spend(sets).select("spend")
     q = exact_quantiles(cv, [], "spend", ["0.25", "0.5", "0.75", "0.9"])
     agg = cv.agg(
         F.count(F.lit(1)).alias("customers"),
@@ -69,7 +69,7 @@ def mean_robustness(sets: DataFrame, top_k: int = 10, top_share_pct: int = 1) ->
     ranks = []
     for out, _ in bases:
         ranks += [out, n - F.call_function("div", n - out - 1, F.lit(2)), n - F.call_function("div", n - out, F.lit(2))]
-    cv = dayset.of(sets).select(as_units(dayset.spend(), 2).alias("pence"))
+    cv = dayset.customer_spend(sets).select(as_units("spend", 2).alias("pence"))
     points = top_points(cv, F.col("pence"), ranks)
     rows = []
     for k, (out, basis) in enumerate(bases):
