@@ -85,7 +85,7 @@ def test_merged_rows_are_in_suffix_order():
     rng = random.Random(4)
     shards_of = [[bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 60))) for _ in range(6)] for _ in range(4)]
     depth = 12
-    shards = [repeats.Shard(s, depth) for s in shards_of]
+    shards = [repeats.Shard(s) for s in shards_of]
     shard, row, prefix = repeats.merge(shards, depth)
     suffixes = []
     for k, r in zip(shard, row):
@@ -99,3 +99,36 @@ def test_merged_rows_are_in_suffix_order():
         if len(a) >= depth and len(b) >= depth:
             shared = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), depth)
             assert pb == min(shared, depth)
+
+
+def test_rows_that_start_alone_keep_their_order():
+    """From some rows alone: the order and the intervals that all rows give them."""
+    rng = random.Random(5)
+    shards_of = [[bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 60))) for _ in range(6)] for _ in range(4)]
+    depth = 5
+    shards = [repeats.Shard(s) for s in shards_of]
+    all_rows = {x: i for i, x in enumerate(zip(*(a.tolist() for a in repeats.merge(shards, depth)[:2])))}
+    prefix = repeats.merge(shards, depth)[2]
+    shard, row, met = repeats.merge(shards, depth, [np.flatnonzero(s.offset[s.order] >= depth) for s in shards])
+    at = [all_rows[x] for x in zip(shard.tolist(), row.tolist())]
+    assert len(at) == sum(max(0, len(s) - depth + 1) for group in shards_of for s in group)
+    assert [(prefix[a + 1 : b + 1] >= depth).all() for a, b in zip(sorted(at), sorted(at)[1:])] == (met[1:] >= depth).tolist()
+    step = np.cumsum(prefix < depth)
+    assert step[at].tolist() == sorted(step[at].tolist())
+
+
+def test_runs_left_out_share_no_window():
+    """Every two runs of an anchor with a common window stay, wherever their texts part."""
+    rng = random.Random(6)
+    anchor, word = bytes(rng.randrange(97, 123) for _ in range(repeats.K)), lambda n: bytes(rng.randrange(97, 123) for _ in range(n))
+    beside = W - repeats.K
+    for before in range(beside + 1):
+        core = word(before), word(beside - before)
+        made = []
+        for _ in range(2):
+            x, y = rng.randrange(beside - before + 1), rng.randrange(before + 1)
+            made.append((word(x) + core[0] + anchor + core[1] + word(y), x + before))
+        lone = (word(beside) + anchor + word(beside), beside)
+        content, offset = zip(*made, lone)
+        assert repeats._may_share([1, 1, 1], list(content), list(offset)) == [0, 1]
+        assert repeats._may_share([1, 2, 1], list(content), list(offset)) == []

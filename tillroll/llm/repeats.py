@@ -13,14 +13,16 @@ A byte goes if a string of ``WIDTH`` bytes that covers it also starts earlier
    documents share arrives once per task, not once per document.
 3. Different runs with the same anchor may still share windows.  Only these are
    looked up in the texts.  Tasks get all runs of their anchors, leave out those
-   whose bytes beside the anchor occur in no other, cut the rest into shards, build the Burrows-Wheeler transform of each, and merge
-   the transforms by refining an interleave: starting from shard after shard,
-   each round stably sorts the merged rows by their transform's character and
-   steps to the suffix that begins with it, so after h rounds the rows are in
-   order of their first h characters, and the rows that differ there for the
-   first time give the common prefix lengths.  No suffix of two shards is
-   compared directly.  After WIDTH rounds the intervals without a boundary hold
-   the equal windows; all but the earliest of each go.
+   whose bytes beside the anchor occur in no other, cut the rest into shards,
+   build the Burrows-Wheeler transform of each, and merge the transforms by
+   refining an interleave: starting from shard after shard, each round stably
+   sorts the merged rows by their transform's character and steps to the suffix
+   that begins with it, so after h rounds the rows are in order of their first h
+   characters, and the rows that differ there for the first time give the common
+   prefix lengths.  No suffix of two shards is compared directly.  Here only the
+   rows behind the last byte of a window start, a fifth or less of all, and the
+   common prefix is asked for WIDTH or not: after WIDTH rounds the intervals
+   without a boundary hold the equal windows; all but the earliest of each go.
 4. An anchor with more than ``CROWD`` different runs would make a task too large.
    Its windows are hashed (128 bits) and settled by their first place with an
    aggregate instead, which is exact and has no hot group.
@@ -56,6 +58,8 @@ WIDTH, K = 100, 32
 CROWD = 20_000
 #: Bytes of runs a task sorts, and of a shard in it.
 TASK_BYTES, SHARD_BYTES = 2 << 20, 1 << 19
+#: Ways to share out the bytes beside an anchor that tell runs which share no window before they are sorted.
+SPLITS = 8
 #: Runs a task settles on its own at a time.
 SETTLED_TOGETHER = 1 << 20
 #: Bits of a gram's key that hold its place in a slice; the others are its hash, alike in any slice.
@@ -183,30 +187,35 @@ def find_runs(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, RUN)
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of a text in order of their first ``depth`` characters or more, by doubling."""
-    n = len(text)
-    rank, reach = text.astype(np.int64), 1
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """All suffixes of a text in order, by their first seven characters and then by doubling."""
+    n, reach = len(text), 7
+    key = np.zeros(n, np.int64)
+    for i in range(reach):
+        # Nine bits each; 0 stands behind the end.
+        key <<= 9
+        key[: max(0, n - i)] += text[i:].astype(np.int64) + 1
     while True:
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - reach)] = rank[reach:] + 1
-        key = rank * (int(second.max(initial=0)) + 1) + second
         order = np.argsort(key, kind="stable")
-        step = np.append(0, key[order][1:] != key[order][:-1])
+        ordered = key[order]
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(step)
-        reach *= 2
-        if reach >= depth or rank[order[-1]] == n - 1:
+        rank[order] = np.cumsum(np.append(0, ordered[1:] != ordered[:-1]))
+        if rank[order[-1]] == n - 1:
             return order
+        second = np.zeros(n, np.int64)
+        second[: max(0, n - reach)] = rank[reach:] + 1
+        key = rank * (n + 1) + second
+        reach *= 2
 
 
 class Shard:
     """The Burrows-Wheeler transform of some strings: characters, where each row steps to, and row -> text position."""
 
-    def __init__(self, strings: list[bytes], depth: int):
+    def __init__(self, strings: list[bytes]):
         # Characters are bytes plus one; 0 ends each string.  (No byte of UTF-8 text is 255.)
         joined = np.frombuffer(b"\xff".join([*strings, b""]), np.uint8) + np.uint8(1)
-        self.order = suffix_order(joined, depth)
+        # In full order: steps by the transform alone then lead from each suffix to the very one before it.
+        self.order = suffix_order(joined)
         self.transform = joined[self.order - 1]
         self.step = np.empty(len(joined), np.int32)
         self.step[np.argsort(self.transform, kind="stable")] = np.arange(len(joined), dtype=np.int32)
@@ -214,18 +223,22 @@ class Shard:
         sizes = np.array([len(s) + 1 for s in strings])
         self.string = np.repeat(np.arange(len(strings)), sizes)
         self.offset = np.arange(len(joined)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.left = np.repeat(sizes - 1, sizes) - self.offset
 
 
-def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merge(shards: list[Shard], depth: int, ends: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Refine the interleave of shard transforms: (shard, row) of each merged row, and common prefix lengths.
 
     The length at a row counts the characters it shares with the row before; ``depth`` means that many or more.
+    ``ends`` starts from these rows of each shard alone: each round steps them one character back, and their
+    order among themselves is the same as with all others between them.  The suffixes of a round are then not
+    those of the round before, so lengths below ``depth`` are told as 0.
     """
     bases = np.cumsum([0, *[len(s.transform) for s in shards]]).astype(np.int32)
     transform = np.concatenate([s.transform for s in shards])
     step = np.concatenate([s.step + b for s, b in zip(shards, bases)])
     rows = np.arange(len(transform), dtype=np.int32)
+    if ends is not None:
+        rows = np.concatenate([e.astype(np.int32) + b for e, b in zip(ends, bases)])
     block = np.zeros(len(rows), np.int32)
     edge = np.zeros(len(rows), bool)
     edge[:1] = True
@@ -237,7 +250,10 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.n
         characters, block, rows = characters[order], block[order], step[rows[order]]
         edge[1:] = (characters[1:] != characters[:-1]) | (block[1:] != block[:-1])
         block = np.cumsum(edge, dtype=np.int32)
-        prefix[edge & (prefix == depth)] = h
+        if ends is None:
+            prefix[edge & (prefix == depth)] = h
+    if ends is not None:
+        prefix[edge] = 0
     shard = np.searchsorted(bases, rows, side="right") - 1
     return shard, rows - bases[shard], prefix
 
@@ -248,18 +264,17 @@ def repeated_windows(strings: list[bytes], when: np.ndarray, shard_bytes: int =
     for i, s in enumerate(strings):
         held += len(s) + 1
         if held >= shard_bytes or i == len(strings) - 1:
-            shards.append(Shard(strings[begin : i + 1], WIDTH))
+            shards.append(Shard(strings[begin : i + 1]))
             firsts.append(begin)
             begin, held = i + 1, 0
-    shard, row, prefix = merge(shards, WIDTH)
-    string, offset, full = (np.empty(len(row), np.int64) for _ in range(3))
+    # A window is read backward from the row behind its last byte; no other row can reach one.
+    shard, row, prefix = merge(shards, WIDTH, [np.flatnonzero(s.offset[s.order] >= WIDTH) for s in shards])
+    string, offset = (np.empty(len(row), np.int64) for _ in range(2))
     for k, s in enumerate(shards):
         of = shard == k
         at = s.order[row[of]]
-        string[of], offset[of], full[of] = s.string[at] + firsts[k], s.offset[at], s.left[at] >= WIDTH
+        string[of], offset[of] = s.string[at] + firsts[k], s.offset[at]
     interval = np.cumsum(prefix < WIDTH)
-    keep = full.astype(bool)
-    string, offset, interval = string[keep], offset[keep], interval[keep]
     if not len(string):
         return string, offset
     place = when[string] + offset
@@ -304,14 +319,16 @@ _PIECES = pa.schema([("m", pa.int64()), ("doc", pa.int64()), ("h", pa.int32()),
 def _may_share(m: list[int], content: list[bytes], anchor: list[int]) -> list[int]:
     """Runs that may share a window with another of their anchor.
 
-    A window holds WIDTH - K bytes beside the anchor, so half of that many on one side at least:
-    a run that shares them with no other, on either side, shares no window.
+    A window holds WIDTH - K bytes beside the anchor, some before it and the others behind.  Whatever
+    the share, for one of the ``SPLITS`` pairs below it holds so many bytes before and so many behind:
+    a run that shares no pair's bytes with another shares no window.
     """
-    half = (WIDTH - K) // 2
+    beside = WIDTH - K
+    cuts = [beside * i // SPLITS for i in range(SPLITS + 1)]
+    pairs = [(before, beside - after) for before, after in zip(cuts, cuts[1:])]
     sides, seen = [], Counter()
-    for i, (k, c, a) in enumerate(zip(m, content, anchor)):
-        left, right = c[a - half : a] if a >= half else None, c[a + K : a + K + half]
-        own = [(k, 0, left)] * (left is not None) + [(k, 1, right)] * (len(right) == half)
+    for k, c, a in zip(m, content, anchor):
+        own = [(k, j, c[a - x : a + K + y]) for j, (x, y) in enumerate(pairs) if x <= a and a + K + y <= len(c)]
         sides.append(own)
         seen.update(own)
     return [i for i, own in enumerate(sides) if any(seen[x] > 1 for x in own)]
