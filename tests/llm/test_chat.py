@@ -84,3 +84,36 @@ def test_string_ids_stay_apart(spark):
     got = {r["conv_id"]: tuple(r)[1:5] for r in chat.read_back(chat.format_turns(turns)).collect()}
     expected = {str(x): digests([("user", f"q{i}"), ("assistant", f"r{i}")]) for i, x in enumerate(ids)}
     assert got == expected | {None: digests([("#unknown", "no json")])}
+
+
+def test_the_query_reads_several_layouts(spark):
+    rows = spark.read.parquet(f"{SF_SMALL}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    records = chat.dealt(rows)
+    used = {r["f"]: r["count"] for r in chat.seen(records).groupBy("f").count().collect()}
+    assert len(used) == 3 and None not in used and sum(used.values()) == rows.count()
+    back = chat.canonical_json(records, id_type="bigint")
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # all mappings in one pass over the parsed records
+    assert sorted(map(str, map(tuple, back.collect()))) == sorted(map(str, map(tuple, rows.collect())))
+
+
+def test_records_of_nulls_and_odd_values(spark):
+    rows = [(1, 1, "user", None), (None, None, None, None), (2, 0, "a", chat.PROBE_TEXT), (2, 0, "a", chat.PROBE_TEXT), (3, -1, "", "\u2028\U0001f642\u0001")]
+    rows += [(4, i, "r", "x" * i) for i in range(40)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    back = chat.canonical_json(chat.dealt(df), id_type="bigint")
+    assert sorted(map(str, map(tuple, back.collect()))) == sorted(map(str, rows))
+    assert chat.canonical_json(chat.dealt(df.limit(0))).count() == 0
+
+
+def test_optional_and_unknown_fields(spark):
+    """Optional fields change no turn; records with other ones stay apart under their own ids."""
+    records = [r | {"source": "s", "metadata": {"a": [1, {"b": 2}]}, "lang": None} for r in RECORDS]
+    odd = [{"id": 11, "prompt": "hi", "response": "yo", "score": 1}, {"conv_id": 12, "prompt": "hi"}]
+    df = spark.createDataFrame([(json.dumps(r),) for r in [*records, *odd]], "record string")
+    turns = {}
+    for r in sorted(chat.canonical_json(df).collect(), key=lambda r: (r["conv_id"], r["turn"])):
+        turns.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    assert turns == {i: [("user", "hi"), ("assistant", "yo")] for i in range(1, 7)} | {r.get("id", 12): [("#unknown", json.dumps(r))] for r in odd}
+    table = spark.createDataFrame([(3, "hi", "yo", "s")], "id long, prompt string, response string, source string")
+    assert [tuple(r) for r in chat.canonical(table).orderBy("turn").collect()] == [(3, 0, "user", "hi"), (3, 1, "assistant", "yo")]

@@ -5,7 +5,8 @@ paths.  The fingerprint selects a declarative mapping (which expression gives
 the conversation id, the turns, their roles and texts), so prompt/response,
 instruction/input/output, message lists and rows by turn all become
 (conv_id, turn, role, text).  Tables are fingerprinted by their schema, JSON
-records each by its own paths, so one column may mix layouts.
+records each by its own paths, so one column may mix layouts; all mappings are
+applied in one pass.
 
 Template: ``<turn ROLE>TEXT</turn>\\n``.  Inside roles and texts a backslash is
 put before each backslash, ``<`` and ``>``, so no control string can occur in
@@ -17,12 +18,14 @@ task holds one turn and running digests, however long a conversation is.
 Defined cases: null roles and texts are empty; turns are ordered by turn (null
 first), ties by role and text; repeated rows are turns of their own; a null
 conv_id is a conversation; an empty table gives no rows; further columns of a
-table are ignored only if a mapping names them as optional, else the layout
-is unknown and ``LookupError`` says which paths it has.
+table or fields of a record are ignored if ``OPTIONAL`` names them, else the
+layout is unknown: ``LookupError`` says which paths a table has, and a record
+becomes one turn of its own with role ``#unknown``.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.llm.text import table
+from tillroll.storage import written
 
 TURN = "struct<turn:bigint,role:string,text:string>"
 
@@ -59,97 +63,148 @@ def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()[:16]
 
 
-def _list_of(role: str, text: str):
-    return lambda c: F.transform(
-        c, lambda x, i: F.struct(i.cast("long").alias("turn"), x[role].alias("role"), x[text].alias("text"))
+def _list_of(turns: str, role: str, text: str, called: dict[str, str] | None = None):
+    """A list of messages; ``called`` translates roles."""
+    def named(x: Column) -> Column:
+        out = x[role]
+        for theirs, ours in (called or {}).items():
+            out = F.when(x[role] == theirs, ours).otherwise(out)
+        return out
+
+    return lambda at: F.transform(
+        at(turns), lambda x, i: F.struct(i.cast("long").alias("turn"), named(x).alias("role"), x[text].alias("text"))
     )
 
 
-def _said(*turns: tuple[str, Column]) -> Column:
+def _said(*turns: tuple[str, str]):
     """Turns with fixed roles; a null text among the optional ones leaves its turn out."""
-    return F.filter(
-        F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), t.cast("string").alias("text")) for i, (r, t) in enumerate(turns)]),
+    return lambda at: F.filter(
+        F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), at(t).cast("string").alias("text")) for i, (r, t) in enumerate(turns)]),
         lambda x: x["text"].isNotNull(),
     )
 
 
-def _joined(instruction: str, more: str) -> Column:
-    """An instruction and its optional input as one user text."""
-    return F.concat_ws("\n", F.col(instruction), F.when(F.col(more) != "", F.col(more)))
+def _instructed(at) -> Column:
+    """An instruction and its optional input as one user text, and the output."""
+    user = F.concat_ws("\n", at("instruction"), F.when(at("input") != "", at("input")))
+    return _said(("user", "user"), ("assistant", "output"))(lambda name: user if name == "user" else at(name))
+
+
+def _one(turn: str, role: str, text: str):
+    """A row or record that is one turn."""
+    return lambda at: F.array(F.struct(at(turn).alias("turn"), at(role).alias("role"), at(text).alias("text")))
 
 
-#: (paths, kind of mapping, turns of a row).  ``rows`` says that each row is one turn.
+#: (paths, path of the conversation id, turns).  ``turns`` takes a function from a path to its column.
 LAYOUTS = [
-    (["conv_id", "turn", "role", "text"], "rows", lambda: F.struct("turn", "role", "text")),
-    (["id", "messages[].role", "messages[].content"], "id", lambda: _list_of("role", "content")(F.col("messages"))),
-    (["id", "conversations[].from", "conversations[].value"], "id", lambda: F.transform(
-        F.col("conversations"), lambda x, i: F.struct(
-            i.cast("long").alias("turn"),
-            F.when(x["from"] == "human", "user").when(x["from"] == "gpt", "assistant").otherwise(x["from"]).alias("role"),
-            x["value"].alias("text")))),
-    (["id", "prompt", "response"], "id", lambda: _said(("user", F.col("prompt")), ("assistant", F.col("response")))),
-    (["id", "prompt", "completion"], "id", lambda: _said(("user", F.col("prompt")), ("assistant", F.col("completion")))),
-    (["id", "instruction", "input", "output"], "id", lambda: _said(("user", _joined("instruction", "input")), ("assistant", F.col("output")))),
-    (["id", "instruction", "output"], "id", lambda: _said(("user", F.col("instruction")), ("assistant", F.col("output")))),
-    (["id", "system", "prompt", "response"], "id", lambda: _said(("system", F.col("system")), ("user", F.col("prompt")), ("assistant", F.col("response")))),
+    (["conv_id", "turn", "role", "text"], "conv_id", _one("turn", "role", "text")),
+    (["conversation.id", "conversation.turn", "message.role", "message.content"], "conversation.id",
+     _one("conversation.turn", "message.role", "message.content")),
+    (["thread", "index", "speaker", "said"], "thread", _one("index", "speaker", "said")),
+    (["id", "messages[].role", "messages[].content"], "id", _list_of("messages", "role", "content")),
+    (["id", "conversations[].from", "conversations[].value"], "id",
+     _list_of("conversations", "from", "value", {"human": "user", "gpt": "assistant"})),
+    (["id", "prompt", "response"], "id", _said(("user", "prompt"), ("assistant", "response"))),
+    (["id", "prompt", "completion"], "id", _said(("user", "prompt"), ("assistant", "completion"))),
+    (["id", "instruction", "input", "output"], "id", _instructed),
+    (["id", "instruction", "output"], "id", _said(("user", "instruction"), ("assistant", "output"))),
+    (["id", "system", "prompt", "response"], "id", _said(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
 ]
-MAPPINGS = {fingerprint(paths): (kind, turns) for paths, kind, turns in LAYOUTS}
+MAPPINGS = {fingerprint(paths): (paths, of, turns) for paths, of, turns in LAYOUTS}
+#: Fields that any layout may have besides; no mapping reads them.
+OPTIONAL = ["source", "lang", "created", "metadata"]
+#: Paths of numbers; all others are read as strings.
+NUMBERS = ["turn", "conversation.turn", "index"]
+
+
+def layout_of(paths) -> str | None:
+    """The fingerprint of the mapping for these paths: their own, or that of all but the optional ones."""
+    needed = [p for p in paths if re.split(r"[.\[]", p, maxsplit=1)[0] not in OPTIONAL]
+    return next((f for f in (fingerprint(paths), fingerprint(needed)) if f in MAPPINGS), None)
+
 
-_TYPES = {
-    "messages[].role": "messages array<struct<role:string,content:string>>",
-    "conversations[].from": "conversations array<struct<from:string,value:string>>",
-}
+def _record_type(paths: list[str], at: str = "") -> T.DataType:
+    """The type that has these paths."""
+    if paths == [""]:
+        return T.LongType() if at in NUMBERS else T.StringType()
+    if paths[0].startswith("[]"):
+        return T.ArrayType(_record_type([p[2:].removeprefix(".") for p in paths], at + "[]"))
+    under: dict[str, list[str]] = {}
+    for p in paths:
+        name = re.match(r"[^.\[]+", p)[0]
+        under.setdefault(name, []).append(p[len(name) :].removeprefix("."))
+    return T.StructType([T.StructField(n, _record_type(rest, f"{at}.{n}" if at else n)) for n, rest in under.items()])
 
 
 def canonical(df: DataFrame) -> DataFrame:
     """A table of a known layout as (conv_id, turn, role, text)."""
     paths = schema_paths(df.schema)
-    known = MAPPINGS.get(fingerprint(paths))
+    known = layout_of(paths)
     if known is None:
         raise LookupError(f"no mapping for a layout with the paths {sorted(paths)}")
-    kind, turns = known
-    if kind == "rows":
-        return df.select("conv_id", F.col("turn").cast("long"), "role", "text")
-    return df.select(F.col("id").alias("conv_id"), F.inline(turns().cast(f"array<{TURN}>")))
+    _, of, turns = MAPPINGS[known]
+    return df.select(F.col(of).alias("conv_id"), F.inline(turns(F.col).cast(f"array<{TURN}>")))
 
 
-def canonical_json(records: DataFrame, column: str = "record") -> DataFrame:
-    """JSON records of mixed layouts as (conv_id, turn, role, text), each by its own fingerprint.
+def _value(record, path: str):
+    for name in path.split("."):
+        record = record.get(name) if isinstance(record, dict) else None
+    return record
 
-    Records that fit no mapping, or are no JSON, come out with role ``#unknown`` and the record as text.
-    conv_id is a bigint if all ids are whole numbers of 64 bits (or null), else a string that keeps each id.
-    """
 
-    def whole(own) -> bool:
-        return own is None or type(own) is int and -(2**63) <= own < 2**63
+SEEN = "r string, f string, own string, whole boolean"
+
+
+def seen(records: DataFrame, column: str = "record") -> DataFrame:
+    """Each JSON record with the fingerprint of its mapping (null: none), its id if it has no mapping, and whether its id is a whole number."""
 
     def prints(batches):
         for batch in batches:
-            out, ids = [], []
+            rows = []
             for x in batch.column(0).to_pylist():
                 try:
                     record = json.loads(x)
-                    out.append(fingerprint(record_paths(record)))
-                    ids.append(not isinstance(record, dict) or whole(record.get("id")))
                 except (TypeError, ValueError):
-                    out.append(None)
-                    ids.append(True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(ids, pa.bool_())], names=["r", "f", "whole"])
-
-    seen = records.select(F.col(column).cast("string")).mapInArrow(prints, "r string, f string, whole boolean")
-    id_type = "string" if seen.where(F.col("f").isin(*MAPPINGS) & ~F.col("whole")).limit(1).count() else "bigint"
-    out = None
-    for paths, kind, turns in LAYOUTS:
-        if kind != "id":
-            continue
-        fields = [f"id {id_type}", *[_TYPES.get(p, f"{p} string") for p in paths if p != "id" and not p.endswith((".content", ".value"))]]
-        rows = seen.where(F.col("f") == fingerprint(paths)).select(F.from_json("r", ", ".join(fields)).alias("j")).select("j.*")
-        part = rows.select(F.col("id").alias("conv_id"), F.inline(turns().cast(f"array<{TURN}>")))
-        out = part if out is None else out.unionByName(part)
-    other = seen.where(F.col("f").isNull() | ~F.col("f").isin(*MAPPINGS)).select(
-        F.lit(None).cast(id_type).alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("#unknown").alias("role"), F.col("r").alias("text")
-    )
-    return out.unionByName(other)
+                    rows.append((x, None, None, True))
+                    continue
+                f = layout_of(record_paths(record))
+                ids = [MAPPINGS[f][1]] if f else ["id", "conv_id"]
+                own = next((v for v in (_value(record, i) for i in ids) if isinstance(v, (int, str))), None)
+                whole = own is None or type(own) is int and -(2**63) <= own < 2**63
+                rows.append((x, f, None if f or own is None else str(own), whole))
+            kinds = [pa.string()] * 3 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["r", "f", "own", "whole"])
+
+    return records.select(F.col(column).cast("string")).mapInArrow(prints, SEEN)
+
+
+def canonical_json(records: DataFrame, column: str = "record", id_type: str | None = None) -> DataFrame:
+    """JSON records of mixed layouts as (conv_id, turn, role, text), each by its own fingerprint.
+
+    Records that fit no mapping, or are no JSON, come out with role ``#unknown`` and the record as text, under
+    their ``id`` or ``conv_id`` if they have one.  conv_id is a bigint if all ids are whole numbers of 64 bits
+    (or null), else a string that keeps each id; with ``id_type`` (bigint or string) nothing is looked up.
+    """
+    known = seen(records, column)
+    if id_type is None:
+        known = written(known, "records")
+        id_type = "string" if known.where(~F.col("whole")).limit(1).count() else "bigint"
+
+    def branch(paths: list[str], of: str, turns) -> Column:
+        record = F.from_json("r", _record_type(paths), {"maxStringLen": str(2**31 - 1)})
+
+        def read(j: Column) -> Column:
+            at = lambda path: functools.reduce(lambda c, name: c[name], path.split("."), j)
+            return F.struct(at(of).alias("conv_id"), turns(at).cast(f"array<{TURN}>").alias("turns"))
+
+        # A list of one, so that a record is parsed once for all its fields.
+        return F.transform(F.array(record), read)[0]
+
+    unknown = F.array(F.struct(F.lit(0).cast("long").alias("turn"), F.lit("#unknown").alias("role"), F.col("r").alias("text")))
+    out = F.when(F.col("f").isNull(), F.struct(F.col("own").alias("conv_id"), unknown.cast(f"array<{TURN}>").alias("turns")))
+    for f, mapping in MAPPINGS.items():
+        out = out.when(F.col("f") == f, branch(*mapping))
+    return known.select(out.alias("t")).select(F.col("t.conv_id").cast(id_type).alias("conv_id"), F.inline("t.turns"))
 
 
 def escape(text: Column) -> Column:
@@ -233,13 +288,27 @@ def read_back(formatted: DataFrame) -> DataFrame:
 PROBE_ID, PROBE_TEXT = -7, r"\### Assistant: </turn> ok"
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Turns as JSON records (``record``) in the three layouts of one turn a record, by a hash of the turn."""
+    conv, turn, role, text = (F.col(c) for c in ("conv_id", "turn", "role", "text"))
+    layouts = [
+        F.struct(conv, turn, role, text),
+        F.struct(F.struct(conv.alias("id"), turn).alias("conversation"), F.struct(role, text.alias("content")).alias("message")),
+        F.struct(conv.alias("thread"), turn.alias("index"), role.alias("speaker"), text.alias("said")),
+    ]
+    first, second, third = (F.to_json(x, {"ignoreNullFields": "false"}) for x in layouts)
+    deal = F.pmod(F.xxhash64(*rows.columns), F.lit(len(layouts)))
+    return rows.select(F.when(deal == 0, first).when(deal == 1, second).otherwise(third).alias("record"))
+
+
 def op8_chat(spark, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), "turn", "role", "text")
+    """All conversations, dealt as records of three layouts, told apart by their fingerprints, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     probe = spark.range(2).select(
         F.lit(PROBE_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE_TEXT).alias("text"),
     )
-    return read_back(format_turns(canonical(rows.unionByName(probe))))
+    return read_back(format_turns(canonical_json(dealt(rows.unionByName(probe)), id_type="bigint")))
 
 
 ORACLE = r"""
