@@ -110,3 +110,79 @@ def test_later_attempts_are_longer(place):
         assert laid.count(".") == 5
     else:
         assert len(laid) == same + 2 and (kind != "card+" or pii.luhn(re.sub(r"\D", "", laid)))
+
+
+@pytest.mark.parametrize("text, kinds", [
+    ("ssn 123-45-6789, on 2020-01-02", ["ssn"]),
+    ("to DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432, not DE88 3704 0044 0532 0130 00", ["iban", "iban"]),
+    ("from 2001:db8:0:0:1::1 and FE80::1:2 at 12:30:45, a::b, std::map", ["ip6", "ip6"]),
+    ("ghp_" + "a1B2" * 9 + " and sk-" + "Ab3" * 8, ["access", "access"]),
+    ("Dr. Brown saw Prof Green", ["surname:n:latin", "surname:n:latin"]),
+])
+def test_more_types(text, kinds):
+    found = pii.find(text)
+    assert [k for _, _, k, _ in found][: len(kinds)] == kinds
+    new, _ = pii.replace(text, {})
+    again = pii.find(new)
+    assert [k.split(":")[0] for _, _, k, _ in again][: len(kinds)] == [k.split(":")[0] for k in kinds]
+    for (b, e, _, _), (b2, e2, _, _) in list(zip(found, again))[: len(kinds)]:
+        if ":" not in kinds[0] or not kinds[0].startswith("surname"):
+            assert (b, e) == (b2, e2) and text[b:e] != new[b:e]
+            assert re.sub(r"[A-Za-z0-9]", "", text[b:e]) == re.sub(r"[A-Za-z0-9]", "", new[b:e])
+
+
+def test_names_are_replaced_wherever_they_stand():
+    new, kinds = pii.replace("Mr John Smith called. Later Smith said hi, SMITH's wife Mrs Smith too; a smith did not. John!", {})
+    assert len(kinds) == 6 and not re.search(r"\b(Smith|John|SMITH)\b", new)
+    _, given, surname, _, _, bare, *_ = new.split()
+    assert bare == surname and f"{surname.upper()}'s wife Mrs {surname} too; a smith did not. {given}!" in new
+
+
+def test_against_a_plain_version(documents_of):
+    """A table whose entities are known as they were laid: a plain assignment of places to entities, without detection."""
+    import random
+
+    rng = random.Random(11)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    cards = [c + next(d for d in "0123456789" if pii.luhn(c + d)) for c in ("4" + digits(14) for _ in range(20))]
+    made = {
+        "ip": [(x, [x]) for x in (f"10.{i}.{rng.randrange(256)}.7" for i in range(20))],
+        "card": [(c, [c, " ".join(c[i : i + 4] for i in range(0, 16, 4))]) for c in cards],
+        "phone": [(p, [f"{p[:3]}-{p[3:6]}-{p[6:]}", f"({p[:3]}) {p[3:6]}-{p[6:]}"]) for p in ("5" + digits(9) for _ in range(20))],
+        "email": [(m, [m, m.upper()]) for m in (f"user{i}@host{i % 5}.org" for i in range(20))],
+        "ssn": [(x, [f"{x[:3]}-{x[3:5]}-{x[5:]}"]) for x in ("3" + digits(8) for _ in range(20))],
+    }
+    names = [("Mr", "Walker"), ("Frau", "Schubert"), ("господин", "Иванов"), ("госпожа", "Петрова"), ("κύριος", "Παππας"), ("κυρία", "Νικου")]
+    rows, places = [], []
+    for i in range(150):
+        laid = []
+        for _ in range(rng.randrange(1, 5)):
+            kind = rng.choice(list(made))
+            entity, forms = rng.choice(made[kind])
+            laid.append((kind, entity, rng.choice(forms)))
+        title, name = rng.choice(names)
+        laid += [("surname", (title, name), f"{title} {name}"), ("surname", (title, name), name)]
+        rows.append((i, "start | " + " | ".join(x[2] for x in laid) + " | end"))
+        places.append(laid)
+    got = {r["doc_id"]: r for r in pii.anonymise(documents_of(rows)).collect()}
+    one, originals = {}, {(k, str(e)) for k in made for e, _ in made[k]}
+    for i, laid in enumerate(places):
+        start, *new, end = got[i]["text"].split(" | ")
+        assert (start, end, len(new)) == ("start", "end", len(laid)) and got[i]["pii_types"] == [x[0] for x in laid]
+        for (kind, entity, old), now in zip(laid, new):
+            bare = now
+            if kind == "surname":
+                assert now.startswith(entity[0] + " ") or old == entity[1]
+                bare = now.split(" ")[-1]
+                assert pii.script(bare) == pii.script(entity[1]) and bare[0].isupper()
+            elif kind == "email":
+                assert now.isupper() == old.isupper()
+                bare = now.lower()
+            else:
+                assert re.sub(r"\d", "9", now) == re.sub(r"\d", "9", old) or kind == "ip"
+                bare = now if kind == "ip" else re.sub(r"\D", "", now)
+            assert bare not in old and (kind, bare) not in originals
+            assert one.setdefault((kind, entity), bare) == bare  # one surrogate, however it is written
+    for kind in {k for k, _ in one}:
+        chosen = [v for (k, _), v in one.items() if k == kind]
+        assert len(set(chosen)) == len(chosen)

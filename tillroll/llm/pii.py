@@ -1,14 +1,19 @@
 """Personal data: each entity gets a keyed surrogate of its own type, gender, script and format.
 
-* Detection finds emails, phone and card numbers, IP addresses, access keys,
-  passwords and tokens, and names behind an honorific, in whole texts.
+* Detection finds emails, phone, card and social security numbers, IBANs with a
+  right check number, IP addresses of both versions, access keys, passwords and
+  tokens, and names behind an honorific, in whole texts.  A name found so is
+  found again wherever its words stand alone in the same text, and is one entity
+  there whatever the honorific (that of its first place tells the gender).
+  Names that no honorific introduces are not found.
 * An entity is its *canonical* form (digits of a number, lower case of an
   address, a word of a name), so the same number written in two ways, or the
   same person with and without a first name, stays one entity: coreference.
 * The surrogate is drawn from a keyed hash of type, canonical form and attempt,
   and then laid into the format of each place: separators, letter case and
   leading zeros stay, digits become digits, hexadecimal stays hexadecimal, a
-  card number that passed its check digit still does, names keep script and gender.
+  card number or IBAN that passed its check still does, names keep script and
+  gender (endings of either behind an honorific without one).
 * Collision checks over the whole corpus: no two entities of a type may get the
   same surrogate, and none may get what is another entity's original.  All but
   the first try the next attempt until none collides.  Formats can be full (all
@@ -27,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 
 import pyarrow as pa
@@ -45,6 +51,7 @@ MOST_ATTEMPTS = 64
 HONORIFICS = {
     "Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Don": "m", "господин": "m", "г-н": "m", "κύριος": "m",
     "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mademoiselle": "f", "Señora": "f", "Señorita": "f", "Sra": "f", "Doña": "f", "госпожа": "f", "г-жа": "f", "κυρία": "f",
+    "Dr": "n", "Prof": "n", "Professor": "n", "доктор": "n",
 }
 #: Syllables and endings of made-up names by script.
 SYLLABLES = {
@@ -58,7 +65,12 @@ _NUMBER = re.compile(r"[+(]?\d(?:[ ().-]{0,2}\d)+")
 _CARD = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}")
 _IP = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
 _PHONE = re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\) ?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\d{3}([.-])\d{3}\1\d{4}|\d{3} \d{3} \d{4}")
-_ACCESS = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")
+_SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IP6 = re.compile(r"(?<![\w:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])")
+_ACCESS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])")
+_ACCESS_STARTS = re.compile(r"AKIA|gh[opsu]_|sk-")
+_WORD = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
 _SECRET = re.compile(r"(?:password|passwd|secret|token|api_key|apikey)[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9_/+-]{8,})", re.I)
 _SECRET_WORDS = ("assw", "ecret", "oken", "ASSW", "ECRET", "OKEN", "api", "API")
 _NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(map(re.escape, HONORIFICS), key=len, reverse=True)) + r")\.?[  ]((?:[^\W\d_a-zа-яα-ω][^\W\d_]+)(?:[ -][^\W\d_a-zа-яα-ω][^\W\d_]+){0,2})")
@@ -74,6 +86,19 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_rest(canonical: str) -> int:
+    """The remainder that a right IBAN leaves 1 of."""
+    return int("".join(str(int(c, 36)) for c in canonical[4:] + canonical[:4])) % 97
+
+
+def _is_ip6(text: str) -> bool:
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return text.count(":") > 2 and _DIGIT.search(text) is not None
+
+
 def script(word: str) -> str:
     c = word[:1].lower()
     return "cyrillic" if "а" <= c <= "я" or c == "ё" else "greek" if "α" <= c <= "ω" or c in "άέήίόύώ" else "latin"
@@ -86,6 +111,8 @@ def _number(text: str) -> tuple[str, str] | None:
         return None
     if _IP.fullmatch(text):
         return ("ip", text) if all(int(x) <= 255 for x in text.split(".")) else None
+    if _SSN.fullmatch(text):
+        return "ssn", digits
     if _CARD.fullmatch(text):
         return ("card+" if luhn(digits) else "card", digits)
     if _PHONE.fullmatch(text) and 7 <= len(digits) <= 15:
@@ -99,8 +126,13 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     if any(w in text for w in _SECRET_WORDS):
         # The line to fill in on a form is no secret.
         found += [(*m.span(1), "secret", m[1]) for m in _SECRET.finditer(text) if _DRAWN.search(m[1])]
-    if "AKIA" in text:
+    if _ACCESS_STARTS.search(text):
         found += [(*m.span(), "access", m[0]) for m in _ACCESS.finditer(text)]
+    for m in _IBAN.finditer(text):
+        if iban_rest(canonical := m[0].replace(" ", "")) == 1:
+            found.append((*m.span(), "iban", canonical))
+    if text.count(":") > 2:
+        found += [(*m.span(), "ip6", m[0].lower()) for m in _IP6.finditer(text) if _is_ip6(m[0])]
     if "@" in text:
         found += [(*m.span(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
     if _DIGIT.search(text):
@@ -108,12 +140,16 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             for begin, end in _parts(m[0]):
                 if known := _number(m[0][begin:end]):
                     found.append((m.start() + begin, m.start() + end, *known))
+    named: dict[str, str] = {}
     for m in _NAME.finditer(text):
         gender, at = HONORIFICS[m[1]], m.start(2)
         words = list(re.finditer(r"[^ -]+", m[2]))
         for i, w in enumerate(words):
             kind = "surname" if i == len(words) - 1 else "given"
-            found.append((at + w.start(), at + w.end(), f"{kind}:{gender}:{script(w[0])}", w[0].lower()))
+            known = named.setdefault(w[0].lower(), f"{kind}:{gender}:{script(w[0])}")
+            found.append((at + w.start(), at + w.end(), known, w[0].lower()))
+    if named:
+        found += [(*m.span(), named[m[0].lower()], m[0].lower()) for m in _WORD.finditer(text) if m[0].lower() in named and m[0][0].isupper()]
     out, end = [], 0
     for x in sorted(found, key=lambda x: (x[0], -x[1])):
         if x[0] >= end:
@@ -151,7 +187,13 @@ def surrogate(kind: str, canonical: str, attempt: int, key: str = KEY) -> str:
     longer = max(0, attempt - MOST_ATTEMPTS + 1)
     if kind == "ip":
         return ".".join(str(1 + (next(draw) << 8 | next(draw)) % 254) for _ in range(4 + longer))
-    if kind in ("card", "card+", "phone"):
+    if kind == "ip6":
+        shape = canonical if not longer else ":".join(["0000"] * 8)
+        return "".join(c if c == ":" else pick("0123456789abcdef") for c in shape)
+    if kind == "iban":
+        body = _alike(_lengthened(canonical[4:], longer), draw)
+        return f"{canonical[:2]}{98 - iban_rest(canonical[:2] + '00' + body):02}{body}"
+    if kind in ("card", "card+", "phone", "ssn"):
         # The first digit (a country code, an issuer) stays.
         body = canonical[0] + "".join(pick("0123456789") for _ in range(len(canonical) - 1 + longer))
         if kind == "card+":
@@ -161,7 +203,7 @@ def surrogate(kind: str, canonical: str, attempt: int, key: str = KEY) -> str:
         part, gender, alphabet = kind.split(":")
         syllables, endings = SYLLABLES[alphabet]
         # Later attempts are longer, so there is always a free name.
-        return "".join(pick(syllables) for _ in range(2 + (part == "surname") + attempt // 2)) + pick(endings[gender])
+        return "".join(pick(syllables) for _ in range(2 + (part == "surname") + attempt // 2)) + pick(endings.get(gender) or endings["m"] + endings["f"])
     if kind == "email":
         local, _, domain = canonical.partition("@")
         host, _, top = domain.rpartition(".")
@@ -171,7 +213,8 @@ def surrogate(kind: str, canonical: str, attempt: int, key: str = KEY) -> str:
             longer = attempt
         return f"{_alike(_lengthened(local, longer), draw)}@{_alike(host, alike)}.{top}"
     text = _lengthened(canonical, longer)
-    return text[:4] + _alike(text[4:], draw) if kind == "access" else _alike(text, draw)
+    stays = _ACCESS_STARTS.match(text).end() if kind == "access" else 0
+    return text[:stays] + _alike(text[stays:], draw)
 
 
 def _lengthened(text: str, more: int) -> str:
@@ -192,7 +235,12 @@ def _alike(text: str, draw) -> str:
 
 def laid_into(place: str, kind: str, new: str) -> str:
     """A surrogate in the format of the place: its separators and its letter case."""
-    if kind in ("card", "card+", "phone"):
+    if kind == "iban":
+        letters = iter(new)
+        return "".join([*(c if c == " " else next(letters) for c in place), *letters])
+    if kind == "ip6":
+        return new.upper() if place != place.lower() else new
+    if kind in ("card", "card+", "phone", "ssn"):
         digits = iter(new)
         return "".join([*(next(digits) if c.isdecimal() else c for c in place), *digits])
     if ":" in kind:
