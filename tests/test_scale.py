@@ -3,10 +3,30 @@
 import pytest
 
 from tests.conftest import SF_SMALL
+from tillroll.plans.clean import as_trade_lines, cancellations, trade_lines, valid_sales
+from tillroll.plans.measures import cancellation_measures_by, cancellation_measures_of
 from tillroll.registry import JOBS
 from tillroll.relations import Relations
 from tillroll.sources import star
 
+ROWS = [
+    ("1", "P", " Cup ", 4, "2011-01-10 09:00", 1.00, "7", "UK"),
+    ("1", "P", " Cup ", 4, "2011-01-10 09:00", 1.00, "7", "UK"),
+    ("2", "P", "Cup", 4, "2011-01-12 09:00", 1.00, "7", "UK"),
+    ("C3", "P", "Cup", -4, "2011-01-11 09:00", 1.00, "7", "UK"),  # reverses invoice 1, not the later 2
+    ("C4", "P", "Cup", -4, "2011-01-09 09:00", 1.00, "7", "UK"),  # before any sale
+    ("C5", "P", "Cup", -2, "2011-01-13 09:00", 1.00, "7", "UK"),  # no sale of that size
+    ("C6", "P", "Cup", 4, "2011-01-13 09:00", 1.00, "7", "UK"),  # not negative: matches nothing
+    ("C7", "P", "Cup", -4, "2011-01-13 09:00", 1.00, None, "UK"),  # no customer
+    ("C8", None, "Cup", -3, "2011-01-13 09:00", 2.00, "7", "UK"),  # null keys never meet
+    ("8", None, "Cup", 3, "2011-01-10 09:00", 2.00, "7", "UK"),
+    ("C9", "Q", None, -1, "2011-01-13 09:00", 3.00, "8", "FR"),
+    ("9", "Q", None, 1, "2011-01-10 09:00", 3.00, "8", "FR"),  # no name: no sale
+    (None, "Q", "Jar", 1, "2011-01-10 09:00", 3.00, "8", "FR"),  # neither
+    ("10", "Q", "Jar", 1, None, 3.00, "8", "FR"),
+]
+
+
 def _sorted(df):
     return sorted(map(repr, df.collect()))
 
@@ -15,7 +35,25 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", ["dq_row_count"])
+def test_trade_lines_are_sales_and_cancellations(raw_of):
+    raw = raw_of(ROWS)
+    once, apart = trade_lines(raw), as_trade_lines(valid_sales(raw), cancellations(raw))
+    assert once.columns == apart.columns
+    assert _sorted(once) == _sorted(apart)
+    assert once.count() == 12
+
+
+@pytest.mark.parametrize("partitions", [None, 7])
+def test_invoices_by_product_without_a_second_copy_of_the_lines(raw_of, partitions):
+    raw = raw_of(ROWS)
+    df = cancellation_measures_of(trade_lines(raw), "product_name", "product_name", partitions)
+    assert "Expand" not in _plan(df)
+    assert _sorted(df) == _sorted(cancellation_measures_by(valid_sales(raw), cancellations(raw), *["product_name"] * 3))
+    rows = {r.product_name: (r.m_cancelled_value, r.m_cancelled_invoices, r.m_total_orders) for r in df.collect()}
+    assert rows == {"Cup": (24.0, 6, 3), "Jar": (0.0, 0, 1), None: (3.0, 1, 0)}
+
+
+@pytest.mark.parametrize("key", ["m_cancellations_by_product", "top_n_cancelled_products", "dq_row_count"])
 def test_every_line_is_joined_once(spark, key):
     plan = _plan(JOBS[key](Relations.from_star(spark, SF_SMALL)))
     assert sum("FileScan parquet [l_" in x for x in plan.splitlines()) == 1
