@@ -5,7 +5,7 @@ import pytest
 from tests.conftest import SF_SMALL
 from tillroll.plans.clean import as_trade_lines, cancellations, trade_lines, valid_sales
 from tillroll.plans.measures import cancellation_measures_by, cancellation_measures_of
-from tillroll.registry import JOBS
+from tillroll.registry import EXAMPLE_PAGE, JOBS
 from tillroll.relations import Relations
 from tillroll.sources import star
 
@@ -53,12 +53,19 @@ def test_invoices_by_product_without_a_second_copy_of_the_lines(raw_of, partitio
     assert rows == {"Cup": (24.0, 6, 3), "Jar": (0.0, 0, 1), None: (3.0, 1, 0)}
 
 
-@pytest.mark.parametrize("key", ["m_cancellations_by_product", "top_n_cancelled_products", "dq_row_count"])
+@pytest.mark.parametrize("key", ["kpi_page", "kpi_page_sliced_cancellations", "m_cancellations_by_product", "top_n_cancelled_products", "dq_row_count"])
 def test_every_line_is_joined_once(spark, key):
     plan = _plan(JOBS[key](Relations.from_star(spark, SF_SMALL)))
     assert sum("FileScan parquet [l_" in x for x in plan.splitlines()) == 1
 
 
+def test_a_page_works_its_masks_out_once(spark):
+    plan = _plan(JOBS["kpi_page"](Relations.from_star(spark, SF_SMALL)))
+    # A setting of the page stands in no filter of the lines.
+    assert not [x for x in plan.splitlines() if " Filter " in x and "2011-01-01" in x]
+    assert len(EXAMPLE_PAGE) > 1
+
+
 def test_many_lines_are_spread_by_their_number(spark, monkeypatch):
     small = Relations.from_star(spark, SF_SMALL)
     expected = _sorted(small.raw)
