@@ -53,6 +53,22 @@ def test_invoices_by_product_without_a_second_copy_of_the_lines(raw_of, partitio
     assert rows == {"Cup": (24.0, 6, 3), "Jar": (0.0, 0, 1), None: (3.0, 1, 0)}
 
 
+@pytest.mark.parametrize("way", [{}, {"BROADCAST_KEYS": 0}, {"BROADCAST_KEYS": 0, "MOST_BUCKETS": 0}])
+def test_bracket_whatever_way_the_index_goes(raw_of, monkeypatch, way):
+    from tillroll.operators import reversal
+
+    for name, value in way.items():
+        monkeypatch.setattr(reversal, name, value)
+    got = JOBS["reversal_bracket"](Relations(raw_of(ROWS))).first()
+    # Sales 8 + 4 + 6 + 3; identified cancellations 4 + 4 + 2 + 4 + 6 + 3, of which C3 reverses a sale.
+    assert tuple(got) == (23.0, 8.0, 19.0, -2.0, 13.0)
+
+
+def test_bracket_writes_its_lines_once_and_reads_only_them(spark):
+    plan = _plan(JOBS["reversal_bracket"](Relations.from_star(spark, SF_SMALL)))
+    assert "trade-lines" in plan and "lineitem" not in plan
+
+
 @pytest.mark.parametrize("key", ["kpi_page", "kpi_page_sliced_cancellations", "m_cancellations_by_product", "top_n_cancelled_products", "dq_row_count"])
 def test_every_line_is_joined_once(spark, key):
     plan = _plan(JOBS[key](Relations.from_star(spark, SF_SMALL)))
